@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, file_backed, shared_folder, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk. Without preallocation many small stores take little of it; changes are
+#: uploaded as a changelog instead of whole snapshots.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256_hex(text: Column) -> Column:
@@ -43,8 +48,9 @@ def fold_into_state(spark: SparkSession, ledger_path: str, schema, checkpoint: s
     Called again with the same checkpoint it reads only files that were added since:
     a restarted job neither counts a row twice nor forgets a digest.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         reader = spark.readStream.schema(schema)
         if max_files_per_trigger:
@@ -59,7 +65,8 @@ def fold_into_state(spark: SparkSession, ledger_path: str, schema, checkpoint: s
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
     stored = spark.read.format("statestore").load(checkpoint)
     count, keep = stored.schema["value"].dataType.fieldNames()[:2]
     return stored.select(
