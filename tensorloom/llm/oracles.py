@@ -16,13 +16,13 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP3 = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
            FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram
       FROM t, unnest(range(1, len(w) - 1)) AS u(i)),
 r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, unnest([0, 1, 2]) AS v(k) GROUP BY doc_id),
-m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .pii import find_pii, summary
 from .quality_rules import apply_policy, rule_ledger
 
 
@@ -21,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(rule_ledger(read_table(spark, sf_dir, "documents")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(find_pii(read_table(spark, sf_dir, "documents")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("source")
 
