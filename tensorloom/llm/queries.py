@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .pii import find_pii, summary
 from .quality_rules import apply_policy, rule_ledger
+from .simhash import simhash_components
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +31,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
