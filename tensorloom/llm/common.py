@@ -54,3 +54,10 @@ def file_backed(df: DataFrame, purpose: str) -> DataFrame:
         if getattr(e, "getCondition", lambda: "")() is None or "UNRESOLVED" not in str(e):
             raise
         return written(df, purpose)
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer file, which every worker has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
