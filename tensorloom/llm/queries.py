@@ -11,6 +11,7 @@ from .common import read_table, tokenizer_path
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .pii import find_pii, summary
+from .quality_model import score, train
 from .quality_rules import apply_policy, rule_ledger
 from .simhash import simhash_components
 
@@ -20,6 +21,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(rule_ledger(read_table(spark, sf_dir, "documents")))
 
