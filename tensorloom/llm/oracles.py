@@ -35,5 +35,15 @@ SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, 'v1' AS policy FRO
 """
 
 
+OP7 = """
+WITH t AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+g AS (SELECT html, max(page_id) AS keep FROM t WHERE payload_bytes >= 1000 GROUP BY html)
+SELECT page_id, payload_bytes, sha1(t.html) AS payload_digest,
+       CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keep <> page_id THEN keep END AS refers_to
+FROM t LEFT JOIN g ON t.html = g.html
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op3_quality_rules": OP3}
+    return {"op1_exact_dedup": OP1, "op3_quality_rules": OP3, "op7_warc": OP7}

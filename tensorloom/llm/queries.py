@@ -14,6 +14,7 @@ from .pii import find_pii, summary
 from .quality_model import score, train
 from .quality_rules import apply_policy, rule_ledger
 from .simhash import simhash_components
+from .warc import archive_round_trip
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     return encode_decode(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
