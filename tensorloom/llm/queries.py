@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_decode
 from .common import read_table, tokenizer_path
 from .exact_dedup import exact_dedup
+from .html_extract import extract
+from .html_extract import train as train_extractor
 from .mixing import mix
 from .pii import find_pii, summary
 from .quality_model import score, train
@@ -51,5 +53,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return extract(pages, train_extractor(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
