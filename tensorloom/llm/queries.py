@@ -16,6 +16,7 @@ from .pii import find_pii, summary
 from .quality_model import score, train
 from .quality_rules import apply_policy, rule_ledger
 from .simhash import simhash_components
+from .token_counts import count_tokens
 from .warc import archive_round_trip
 
 
@@ -49,6 +50,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
