@@ -167,15 +167,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document that a quota's edge cuts goes whole to the side that holds more of it.
     """
-    rows = mix(docs, **options)
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    counts = rows.filter("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), copies.alias("_copies"))
+    counts = mix(docs, **options).filter("size > 0").select("doc_id", "size", copies.alias("copies"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    held = held.select("row", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), word_count(F.col(f"row.`{text_col}`")).alias("size"))
     # rows that repeat an identifier and a size are interchangeable: pair them off by number
-    number = F.row_number()
-    counts = counts.withColumn("_n", number.over(Window.partitionBy("_id", "_size").orderBy("_copies"))).filter("_copies > 0")
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    columns = docs.columns
-    numbered = docs.withColumns({"_id": F.col(id_col).cast("long"), "_size": word_count(F.col(text_col))})
-    numbered = numbered.withColumn("_n", number.over(Window.partitionBy("_id", "_size").orderBy("_id")))
-    same = reduce(lambda a, b: a & b, [numbered[c].eqNullSafe(counts[c]) for c in ("_id", "_size", "_n")])
-    return numbered.join(counts, same).select(*[numbered[c] for c in columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    same = Window.partitionBy("doc_id", "size")
+    counts = counts.withColumn("n", F.row_number().over(same.orderBy("copies")))
+    held = held.withColumn("n", F.row_number().over(same.orderBy(F.xxhash64(F.col(f"row.`{text_col}`")))))
+    on = reduce(lambda a, b: a & b, [held[c].eqNullSafe(counts[c]) for c in ("doc_id", "size", "n")])
+    taken = held.join(counts.filter("copies > 0"), on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return taken.select("row.*")
