@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import known, require
+from ..session import settled
 
 
 def group_filter(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -88,7 +89,8 @@ def prepare_tensor(df: DataFrame, group_filtering: tuple[str, str] | None = None
     if group_filtering is not None:
         df = group_filter(df, *group_filtering)
     order = order or (["ord"] if "ord" in df.columns else ["values"])
-    cells = pivot_first(df, ["subject", "time_point", "labels"], "values", order)
+    # written once: axes, completeness and coordinates all read these cells, not their source
+    cells = settled(pivot_first(df, ["subject", "time_point", "labels"], "values", order), "cells")
     if incomplete == "drop":
         cells = complete_subjects(cells)
     valid = complete_labels(cells, ["subject", "time_point"], "labels")
