@@ -55,8 +55,7 @@ def check_strata(samples: DataFrame) -> None:
 
 def half_half(samples: DataFrame, repeats: int, seed: int = 0) -> DataFrame:
     """task_a (split), task_b (0 train, 1 test), pos, sample_idx of stratified half splits."""
-    rounds = samples.sparkSession.range(repeats).select(F.col("id").cast("int").alias("task_a"))
-    rows = samples.select("sample_idx", "stratum").join(F.broadcast(rounds))  # one row per repeat
+    rows = samples.select("sample_idx", "stratum", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("task_a"))
     order = Window.partitionBy("task_a", "stratum").orderBy("_h", "sample_idx")
     rows = rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("task_a"), seed)).withColumn("_k", F.row_number().over(order))
     rows = rows.join(train_counts(samples), "stratum").withColumn("task_b", (F.col("_k") > F.col("n_train")).cast("int"))
@@ -70,11 +69,11 @@ def cv_folds(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> Da
     Samples are placed class by class (classes by first appearance), hashed inside each;
     the fold is the place modulo splits, so sizes differ by one at most.
     """
-    rounds = samples.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat"))
     c = strata_counts(samples)
     before = F.coalesce(F.sum("n_c").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     c = c.select("stratum", before.alias("_before"))
-    rows = samples.select("sample_idx", "stratum").join(F.broadcast(rounds)).withColumn("_h", mixed(F.col("sample_idx"), F.col("repeat"), seed))
+    rows = samples.select("sample_idx", "stratum", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    rows = rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("repeat"), seed))
     order = Window.partitionBy("repeat", "stratum").orderBy("_h", "sample_idx")
     rows = rows.withColumn("_k", F.row_number().over(order) - 1).join(c, "stratum")
     return rows.select("repeat", ((F.col("_before") + F.col("_k")) % splits).cast("int").alias("fold"), "sample_idx")

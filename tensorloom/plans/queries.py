@@ -200,7 +200,9 @@ def planted(spark: SparkSession, d: str) -> DataFrame:
     modes = []
     for m, (key, value) in enumerate((("p_brand", F.sqrt(F.avg("p_retailprice"))), ("p_size", F.count(F.lit(1)) / 10.0), ("p_type", F.count(F.lit(1)) / 100.0))):
         modes.append(tensorize.axis(part, key).join(part.groupBy(key).agg(value.alias(f"v{m}")), key).select(F.col("idx").alias(f"m{m}"), f"v{m}"))
-    cells = modes[0].crossJoin(modes[1]).crossJoin(modes[2])  # the tensor's own cells
+    n1, n2 = modes[1].count(), modes[2].count()
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    cells = modes[0].select("m0", "v0", every(n1, "m1")).select("m0", "v0", "m1", every(n2, "m2")).join(modes[1], "m1").join(modes[2], "m2")
     return cells.select("m0", "m1", "m2", (F.col("v0") * F.col("v1") * F.col("v2")).alias("x"))
 
 
