@@ -21,12 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: Pieces of byte-level tokenizers with use_regex (fixed value of the tokenizer files).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose encoding a worker keeps; further ones are encoded each time.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 #: Pairs of tokens whose compatibility a worker keeps.
-KEPT_PAIRS = 500_000
+KEPT_PAIRS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -184,4 +186,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names)
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return held.mapInArrow(run, schema)
+    return map_batches(held, run, schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settled as written
+from ..session import shared_path as shared_folder
+
+__all__ = ["ascii_lower", "file_backed", "hash_sample", "map_batches", "read_table", "shared_folder", "tokenizer_path", "written"]
+
 #: White space of the word rule, and words themselves, as Java regular expressions.
 BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,25 +22,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+#: Rows and bytes of a batch that a Python worker gets at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 
-    Where that is unset (tests on one machine) a temporary folder is set once for
-    the session.
+def map_batches(rows: DataFrame, run, schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """rows.mapInArrow(run, schema) with batches bounded in rows and bytes.
+
+    A text may have any length; with the default bound of rows alone a batch of long
+    texts could outgrow a worker. The bounds are options of the session and stay set.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tensorloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
 
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """About the n rows with the smallest hash of keys, the same ones however df is partitioned.
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """df as a table written to the shared folder: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Rows above a threshold that leaves some four times n are dropped where they are read,
+    so what partitions send on to be ordered doesn't grow with the table.
+    """
+    total = df.count()
+    h = F.xxhash64(*keys).bitwiseAND((1 << 63) - 1)
+    if total > 8 * n:
+        df = df.filter(h < int((1 << 63) * (4 * n / total)))
+    return df.orderBy(h, *keys).limit(n)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -46,14 +57,12 @@ def ascii_lower(text: Column) -> Column:
 
 
 def file_backed(df: DataFrame, purpose: str) -> DataFrame:
-    """df itself if it is a plain file scan, else a written copy: only those have row locators."""
+    """df itself if its rows have locators (a plain file scan), else a written copy, which has them."""
     try:
         df.select("_metadata.row_index").schema
-        return df
-    except Exception as e:  # the plan has no file source at its root
-        if getattr(e, "getCondition", lambda: "")() is None or "UNRESOLVED" not in str(e):
-            raise
+    except AnalysisException:
         return written(df, purpose)
+    return df
 
 
 def tokenizer_path(name: str) -> str:

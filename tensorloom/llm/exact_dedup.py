@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, file_backed, shared_folder, written
 
 #: State on disk. Without preallocation many small stores take little of it; changes are
-#: uploaded as a changelog instead of whole snapshots.
+#: uploaded as a changelog instead of whole snapshots. All stores of an executor share a
+#: bounded native memory, and are closed as soon as their task has committed.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
-
-
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
@@ -135,10 +137,8 @@ def _by_text(docs: DataFrame, ledger: DataFrame, collided: DataFrame, norm: Colu
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
     docs = file_backed(docs, "dedup-input")
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("file").alias("__file"), F.col("pos").alias("__pos"))
-    columns = docs.columns
-    return (
-        docs.withColumns({"__file": F.col("_metadata.file_path"), "__pos": F.col("_metadata.row_index")})
-        .join(kept, ["__file", "__pos"], "left_semi")
-        .select(*[f"`{c}`" for c in columns])
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select("file", "pos")
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos")
     )
+    return held.join(kept, ["file", "pos"], "left_semi").select("row.*")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PIECES
+from .common import map_batches
 
 RULES = ("start", "end", "majority", "split")
 
@@ -101,5 +102,5 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "section", "start", "end", "n_tokens"])
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = held.mapInArrow(run, "doc_id long, section long, start long, end long, n_tokens double")
+    counted = map_batches(held, run, "doc_id long, section long, start long, end long, n_tokens double")
     return counted if rule == "split" else counted.withColumn("n_tokens", F.col("n_tokens").cast("long"))

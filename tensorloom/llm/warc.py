@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import map_batches, shared_folder
 
 LEAST_SHARED = 1000
 END = "\r\n\r\n"
@@ -145,7 +145,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pack(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{path}/warc").select("content")
-    return files.mapInArrow(run, SCHEMA)
+    return map_batches(files, run, SCHEMA)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
