@@ -55,7 +55,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(read_table(spark, sf_dir, "documents"))
+    return simhash_components(read_table(spark, sf_dir, "documents")).drop("text_hash", "root")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, written
+from .common import UPPER, map_batches, written
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Rows of a block that are compared with each other in one tile.
 TILE = 2048
+#: Rows of a batch of fingerprints, which are a few bytes each.
+NUMBERS = 20_000
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
@@ -54,15 +56,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) for each row of docs."""
+    """doc_id, text_hash and fp (the 64 bits as a signed long) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return held.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return map_batches(held, run, "doc_id long, text_hash long, fp long")
 
 
 def blocks(fps: DataFrame) -> DataFrame:
@@ -226,7 +229,7 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that join the distinct fingerprints fps into their components."""
     schema = "a long, b long, key long, tile long"
     sorted_blocks = blocks(fps).repartition("key").sortWithinPartitions("key")
-    found = written(sorted_blocks.mapInArrow(_compare, schema), "simhash-links")
+    found = written(map_batches(sorted_blocks, _compare, schema, NUMBERS), "simhash-links")
     edges = found.filter("key IS NULL").select("a", "b")
     large = found.filter("key IS NOT NULL")
     tiles = large.groupBy("key").agg((F.max("tile") + 1).alias("n"))
@@ -235,7 +238,7 @@ def links(fps: DataFrame) -> DataFrame:
         dealt = large.join(tiles, "key").select(F.col("a").alias("fp"), "key", "tile", other).filter("tile != other")
         low, high = F.least("tile", "other"), F.greatest("tile", "other")
         dealt = dealt.select("fp", F.concat_ws(":", "key", low, high).alias("pair"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
-        crossed = dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(_cross, schema)
+        crossed = map_batches(dealt.repartition("pair").sortWithinPartitions("pair"), _cross, schema, NUMBERS)
         edges = edges.unionByName(crossed.select("a", "b"))
     return edges
 
@@ -279,12 +282,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, text_hash, root.
 
     Words are lower-cased (A-Z); a text of fewer words than a shingle is one shingle; null
     and empty texts have fingerprint zero, linked like any other. component_id is the
     smallest doc_id reachable over links of at most 3 differing bits; rows that repeat a
-    text or identifier are rows of their own. An empty table gives an empty result.
+    text or identifier are rows of their own. root is the smallest fingerprint of the
+    component, and tells components apart where identifiers repeat. An empty table gives
+    an empty result.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
     roots = components(links(fps.select("fp").distinct()))
@@ -292,17 +297,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "simhash-roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(smallest, "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id.
 
-    Rows that share that identifier tie; one of them stays, the first by its text.
+    Rows that share that identifier tie; the smallest hash of their texts decides, and of
+    rows that share the text too any one stays.
     """
     found = simhash_components(docs, id_col, text_col)
-    stay = found.groupBy("component_id").agg(F.min("doc_id").alias("_id")).select("_id")
-    columns = docs.columns
-    kept = docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_id"]), "left_semi")
-    return kept.dropDuplicates([id_col]).select(*[f"`{c}`" for c in columns])
+    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("s.*")
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")
+    )
+    same = held["doc_id"].eqNullSafe(stay["doc_id"]) & (held["text_hash"] == stay["text_hash"])
+    return held.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")

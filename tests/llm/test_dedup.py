@@ -108,8 +108,9 @@ def test_simhash_edges(spark):
     assert len(found) == len(rows) and got[4, "0" * 16] == 2 and got[2, "0" * 16] == 2
     assert all(int(r["fingerprint"], 16) == brute_fingerprint(dict((i, t) for i, t, _ in rows)[r["doc_id"]]) for r in found)
     assert simhash.simhash_components(docs(spark, [])).count() == 0
-    kept = simhash.drop_near_duplicates(docs(spark, [r for r in rows if r[0]]))
-    assert kept.columns == docs(spark, []).columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 5, 7, 8]
+    more = [(9, "alpha beta gamma delta", "a"), (9, "zeta eta theta iota", "a")]  # one identifier, two components
+    kept = simhash.drop_near_duplicates(docs(spark, [r for r in rows if r[0]] + more))
+    assert kept.columns == docs(spark, []).columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 5, 7, 8, 9, 9]
 
 
 def test_bit_sliced_distances_and_tiles(monkeypatch):
