@@ -27,6 +27,8 @@ from .common import map_batches
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose encoding a worker keeps; further ones are encoded each time.
 KEPT_PIECES = 200_000
+#: Longest piece that is kept.
+KEPT_LENGTH = 40
 #: Pairs of tokens whose compatibility a worker keeps.
 KEPT_PAIRS = 200_000
 
@@ -139,7 +141,7 @@ class Codec:
                 if found is None:
                     ids = tuple(self.encode_piece(piece.encode()))
                     found = ids, ",".join(map(str, ids))
-                    if len(kept) < KEPT_PIECES:
+                    if len(kept) < KEPT_PIECES and len(piece) <= KEPT_LENGTH:
                         kept[piece] = found
                 yield found
 
