@@ -29,6 +29,10 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+#: Parts in which the texts of one digest are compared.
+SALTS = 16
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
@@ -101,11 +105,13 @@ def exact_dedup(
     ledger = spark.read.parquet(path)
     state = written(fold_into_state(spark, path, ledger.schema, shared_folder(spark, "dedup-state"), max_files_per_trigger), "dedup-groups")
 
-    hits = state.filter("group_size > 1").select("digest")
+    hits = state.filter("group_size > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     norm = ascii_lower(F.col(text_col))
+    salt = F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(SALTS)).cast("int")
+    # salted, so that the rows of a large group meet in many tasks; each then sends on one row a digest
     checked = written(
-        docs.select(digest(norm).alias("digest"), norm.alias("norm"))
-        .join(hits, "digest")
+        docs.select(digest(norm).alias("digest"), norm.alias("norm"), salt.alias("salt"))
+        .join(hits, ["digest", "salt"])
         .groupBy("digest")
         .agg((F.min("norm") == F.max("norm")).alias("same")),
         "dedup-checked",
