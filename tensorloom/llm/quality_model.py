@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample, map_batches
+
 #: Labelled rows of each class that the model is fitted on, at most.
 PER_CLASS = 2500
 #: Byte pairs have places of their own, triples are hashed to as many places as these bits count.
@@ -134,7 +136,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """The model for the labels of rows that are not held out."""
     usable = labels.filter(~held_out(id_col)).filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
-    chosen = [usable.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
+    chosen = [hash_sample(usable.filter(F.col("_y") == y), per_class, "_id") for y in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])  # at most 2 * per_class short rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     texts = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(
         F.xxhash64("_id", text_col).alias("h"), F.col("_y").alias("y"), F.col(text_col).cast("string").alias("text")
     )
-    got = texts.mapInArrow(run, "h long, y int, places array<int>").toArrow()
+    got = map_batches(texts, run, "h long, y int, places array<int>").toArrow()
     order = np.argsort(got["h"].to_numpy(), kind="stable")  # the same model however rows arrive
     lists = got["places"].combine_chunks() if got.num_rows else []
     rows = [lists[int(i)].values.to_numpy() for i in order]
@@ -168,5 +170,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    scored = held.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = map_batches(held, run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
