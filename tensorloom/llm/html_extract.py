@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample, map_batches
 from .html_blocks import Block, blocks
 
 #: Pages that the model is trained on, at most.
@@ -206,7 +207,7 @@ def lay_out(main: list[str], other: list[str], rng: random.Random) -> tuple[str,
     maybe("nav", "header", "notice", "ad", "form", "aside")
     tag = rng.choice(["article", "article", "main", "div", "div", "section"])
     attrs = name(MAIN_WORDS, rng.choice(MAIN_WORDS))
-    if not attrs and tag in ("div", "section"):
+    if not attrs and tag in ("div", "section") and rng.random() < 0.5:  # else the main part has no mark at all
         attrs = f' class="{rng.choice(MAIN_WORDS)}"'
     page.append(f"<{tag}{attrs}>")
     for k, t in enumerate(main):
@@ -244,10 +245,10 @@ def training_pages(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) ->
     return out
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> Chain:
+def train(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> Chain:
     """The chain for a bounded, hash-chosen sample of pages."""
-    held = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(html_col).cast("string").alias("_html")).filter(F.length("_html") < 200_000)
-    chosen = held.orderBy(F.xxhash64("_id"), "_html").limit(sample).collect()  # at most `sample` rows
+    held = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
+    chosen = hash_sample(held.filter(F.length("_html") < 200_000), sample, "_id", "_url").collect()  # at most `sample` rows
     return train_chain(training_pages([r["_html"] for r in chosen], layouts))
 
 
@@ -273,4 +274,4 @@ def extract(pages: DataFrame, chain: Chain, id_col: str = "page_id", url_col: st
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     held = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return held.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(held, run, "page_id long, url string, text string, n_chars long")
