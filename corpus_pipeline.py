@@ -12,8 +12,8 @@ from tensorloom.llm.bpe import encode_decode
 from tensorloom.llm.common import read_table, tokenizer_path, written
 from tensorloom.llm.exact_dedup import drop_duplicates
 from tensorloom.llm.mixing import mixed_documents
+from tensorloom.llm.near_dedup import drop_similar
 from tensorloom.llm.quality_rules import keep_good
-from tensorloom.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints: that with the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    """One document of each component of texts with five-word similarity of at least 0.8: that with the smallest doc_id."""
+    return drop_similar(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("bpe_encode", bpe_encode),
 ]
 
-#: Fingerprint components, seeded blocks and token ids are beyond SQL; tests compare with brute force.
+#: Similarity components, seeded blocks and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
