@@ -11,6 +11,10 @@ from dataclasses import dataclass
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
 HIDDEN = frozenset("script style template noscript iframe object svg math canvas head title textarea select datalist audio video".split())
+#: Those of them whose content is markup: they end with their parent at the latest.
+NESTED = frozenset("template object svg math canvas head select datalist audio video".split())
+#: Start tags that leave an open head open (fixed by the HTML standard).
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements that are part of a line of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -31,9 +35,10 @@ SIBLINGS = {
 }
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,8192}\"|'[^']{0,8192}'){0,256}+[^>]*)>",
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)",
     re.S,
 )
+SPECIAL = re.compile("[>\"']")
 ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -46,6 +51,43 @@ class Block:
     linked: int  # characters inside links
 
 
+class Tags:
+    """The ends of a page's tags, in time linear in the page.
+
+    A quote runs to the next one of its kind, however long; one without another is a
+    character like any. Quotes from which no tag end follows are remembered, and so is
+    the last place of a special character, so no part is scanned again and again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.dead: set[int] = set()
+        self.since, self.place = 0, -1  # no special character stands in page[since:place]
+        self.none_left: set[str] = set()
+
+    def special(self, at: int) -> int:
+        if not self.since <= at <= self.place:
+            m = SPECIAL.search(self.page, at)
+            self.since, self.place = at, m.start() if m else len(self.page)
+        return self.place
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at `at`, or -1."""
+        page, seen = self.page, []
+        while (at := self.special(at)) < len(page) and at not in self.dead:
+            kind = page[at]
+            if kind == ">":
+                return at
+            close = -1 if kind in self.none_left else page.find(kind, at + 1)
+            if close < 0:
+                self.none_left.add(kind)
+                return page.find(">", at)
+            seen.append(at)
+            at = close + 1
+        self.dead.update(seen)
+        return -1
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order; unclosed and stray tags are allowed anywhere."""
     page = page or ""
@@ -55,6 +97,9 @@ def blocks(page: str | None) -> list[Block]:
     links = 0
     parts: list[tuple[str, bool]] = []
 
+    hid: int | None = None  # the place in the stack of the outermost element that hides its content
+    tags = Tags(page)
+
     def flush() -> None:
         nonlocal parts
         if parts:
@@ -65,51 +110,71 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, tag, marks, linked))
             parts = []
 
-    def pop(names, stop=frozenset()) -> None:
+    def pop(names, stop=frozenset(), least: int = 0) -> None:
+        nonlocal hid
         if not any(opened[x] for x in names):
             return
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, least - 1, -1):
             if stack[k][0] in names:
-                flush()
+                if hid is None or k < hid:
+                    flush()
                 opened.subtract(x for x, _ in stack[k:])
                 del stack[k:]
+                hid = None if hid is None or k <= hid else hid
                 return
             if stack[k][0] in stop:
                 return
 
     at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = TOKEN.search(page, at) if at <= last else None
+        m, stop, look = None, -1, at
+        while look <= last and (m := TOKEN.search(page, look)) and m["name"] and (stop := tags.end(m.end())) < 0:
+            m, look = None, m.end()
         end = m.start() if m else n
         if end > at:
-            parts.append((page[at:end], links > 0))
+            if stack and stack[-1][0] == "head" and not page[at:end].isspace():
+                pop({"head"})
+            if hid is None:
+                parts.append((page[at:end], links > 0))
         if not m:
             break
-        at = m.end()
         name = (m["name"] or "").lower()
+        attrs = page[m.end() : stop] if name else ""
+        at = stop + 1 if name else m.end()
         if not name:
             continue
         if m["close"]:
             if name == "a":
-                links = max(0, links - 1)
+                links = max(0, links - (hid is None))
             elif name == "br":
-                parts.append((" ", False))
+                if hid is None:
+                    parts.append((" ", False))
             elif name not in INLINE:
                 pop({name})
             continue
-        if name in HIDDEN:
-            if name in ("svg", "math", "object", "noscript", "head", "select", "audio", "video"):
-                close = re.compile(rf"</{name}\s*>" + ("|<body[\\s>]" if name == "head" else ""), re.I)
-            else:
-                close = re.compile(rf"</{name}\s*>", re.I)
-            found = close.search(page, at)
-            # an element that is never closed hides the rest of the page
+        empty = attrs.rstrip().endswith("/")
+        if opened["head"] and name not in IN_HEAD and name != "head":
+            pop({"head"})
+        if empty and (name in ("svg", "math") or opened["svg"] or opened["math"]):
+            continue
+        if name in HIDDEN and name not in NESTED:
+            found = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            # raw text that is never closed goes on to the end of the page
             if found is None:
                 break
-            at = found.start() if found[0][1] != "/" else found.end()
+            at = found.end()
+            continue
+        if hid is not None or name in NESTED:
+            # what is hidden ends no block outside
+            if name in SIBLINGS and hid is not None:
+                pop(*SIBLINGS[name], least=hid + 1)
+            if name not in VOID and name not in INLINE:
+                hid = len(stack) if hid is None else hid
+                stack.append((name, stack[-1][1] if stack else frozenset()))
+                opened[name] += 1
             continue
         if name == "a":
-            links += not m["attrs"].rstrip().endswith("/")
+            links += not empty
             continue
         if name in INLINE:
             if name in ("br", "wbr", "img"):
@@ -123,7 +188,7 @@ def blocks(page: str | None) -> list[Block]:
             pop(*SIBLINGS[name])
         if name not in VOID:
             marks = ["<" + name]
-            for a in ATTR.finditer(m["attrs"]):
+            for a in ATTR.finditer(attrs):
                 value = a[2] or a[3] or a[4] or ""
                 key = a[1].lower()
                 if key in ("class", "id", "role", "itemprop"):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -122,3 +123,24 @@ def test_extraction_edges(spark):
     rows = html_extract.extract(pages(spark, [(1, None, None), (2, "u", ""), (2, "u", "")]), empty).collect()
     assert [(r["text"], r["n_chars"]) for r in rows] == [("", 0)] * 3
     assert html_extract.extract(pages(spark, []), empty).count() == 0
+
+
+def test_tags_and_quoted_values_of_any_length():
+    for n in (100, 9_000, 300_000):
+        assert texts(f'<div data-x="{"a" * n}<p>INSIDE</p>tail">hello</div>') == ["hello"]
+    assert texts("<div " + " ".join(f'a{k}="{k}"' for k in range(1000)) + ' title="x>y">z</div>') == ["z"]
+
+
+def test_hidden_elements_end_with_their_parent():
+    assert texts("<p>a<svg/>b</p>") == ["ab"] and texts("<p>a<svg><path d='x'/><text>t</text></svg>b</p>") == ["ab"]
+    for name in ("svg", "math", "select", "object", "canvas", "audio", "video", "template", "datalist"):
+        assert texts(f"<div>a<{name}>hidden</div><p>b</p>") == ["a", "b"]
+        assert texts(f"<div>a<{name}>hidden</div><p>b</p><{name}>c</{name}>d") == ["a", "b", "d"]
+    assert texts("<head><title>t</title><p>a") == ["a"] and texts("<html><head><meta x>t<body>b") == ["t", "b"]
+
+
+@pytest.mark.parametrize("page", ['<a x=">" ' * 40_000, "<a " * 60_000 + '">"', '<a "' * 40_000 + "'>'", "<svg>" * 20_000 + ">", "<a x='\">\"' " * 20_000])
+def test_unended_tags_cost_little(page):
+    start = time.process_time()
+    blocks(page)
+    assert time.process_time() - start < 5
