@@ -213,11 +213,11 @@ def cp_rank1(spark: SparkSession, d: str) -> DataFrame:
     return typed(linalg.reconstruct(x, factors), m0="bigint", m1="bigint", m2="bigint", x_hat="double").withColumn("x_hat", rounded("x_hat", 5))
 
 
-FAST = cps.CPOptions(max_iter=1000, starts=4, tol=1e-5)
+FULL = cps.CPOptions()
 
 
 def cp_best_of_n(spark: SparkSession, d: str) -> DataFrame:
-    best = cps.cp(coo(spark, d), RANK, FAST)
+    best = cps.cp(coo(spark, d), RANK, FULL)
     rows = best.select("seed", "n_iter", "error", "mode", "idx", F.posexplode("row").alias("r", "value"))
     return typed(rows, seed="bigint", n_iter="bigint", error="double", mode="bigint", idx="bigint", r="bigint", value="double")
 

@@ -128,3 +128,13 @@ def test_match_is_blind_to_order_and_scale(spark):
     a = spark.createDataFrame(rows, "pair int, mode int, idx int, row array<double>")
     b = a.withColumn("row", F.transform(F.reverse("row"), lambda v, k: v * (k + 1)))
     assert rep.factor_match(a, b, ["pair"], 3).first()["score"] == pytest.approx(1.0)
+
+
+def test_best_of_n_takes_the_default_starts(spark, data, monkeypatch):
+    from tensorloom.operators import cp as cps
+    from tensorloom.plans import queries
+
+    taken = []
+    monkeypatch.setattr(cps, "cp", lambda coo, rank, options: taken.append(options) or spark.createDataFrame([], cps.RESULT))
+    queries.cp_best_of_n(spark, data)
+    assert taken == [cps.CPOptions()]
