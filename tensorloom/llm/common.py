@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..session import settled as written
 from ..session import shared_path as shared_folder
 
-__all__ = ["ascii_lower", "file_backed", "hash_sample", "map_batches", "read_table", "shared_folder", "tokenizer_path", "written"]
+__all__ = ["ascii_lower", "hash_sample", "keep_rows", "located", "map_batches", "read_table", "shared", "shared_folder", "tokenizer_path", "written"]
 
 #: White space of the word rule, and words themselves, as Java regular expressions.
 BLANKS = " \t\n\x0b\f\r"
@@ -56,13 +56,60 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
-def file_backed(df: DataFrame, purpose: str) -> DataFrame:
-    """df itself if its rows have locators (a plain file scan), else a written copy, which has them."""
+#: Plan nodes that keep the rows of a scan apart, each with its own locator.
+ROW_WISE = ("Project", "Filter", "SubqueryAlias")
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is a file scan with nothing but projections and filters above it."""
     try:
-        df.select("_metadata.row_index").schema
+        df.select(df.metadataColumn("_metadata")["row_index"]).schema
     except AnalysisException:
-        return written(df, purpose)
-    return df
+        return False
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ROW_WISE:
+        plan = plan.children().head()
+    return plan.nodeName().startswith("Relation") or plan.nodeName() == "LogicalRelation"
+
+
+def located(docs: DataFrame, purpose: str) -> DataFrame:
+    """row (all columns of docs as a struct), file, pos: every row with a locator of its own.
+
+    Rows of a plain file scan are located where they lie; other tables (joins, unions,
+    generated rows) are written first.
+    """
+    if not _is_scan(docs):
+        docs = written(docs, purpose)
+    place = docs.metadataColumn("_metadata")
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), place["file_path"].alias("file"), place["row_index"].alias("pos"))
+
+
+#: Bytes of a table that is sent to all executors, at most.
+SHARED_BYTES = 64 << 20
+#: Bytes that a row of a few numbers takes in a shared table, about.
+ROW_BYTES = 48
+
+
+def shared(df: DataFrame, rows: int, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """df, for broadcast if its `rows` rows stay below the bound; else the join shuffles."""
+    return F.broadcast(df) if rows * row_bytes <= SHARED_BYTES else df
+
+
+def keep_rows(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """The columns of those rows (row, file, pos) that decided (file, pos, kept) keeps.
+
+    The smaller of both sides, the rows that go or those that stay, is sent to the scan if
+    it stays below a bound, so that no text is moved; else both meet by locator. A file is
+    known by a 64-bit hash of its path.
+    """
+    key = [F.xxhash64("file").alias("_f"), F.col("pos").alias("_p")]
+    decided = written(decided.select(*key, "kept"), "decided")
+    n, kept = decided.agg(F.count(F.lit(1)), F.count_if("kept")).first()
+    gone = n - kept <= kept
+    side = decided.filter(~F.col("kept") if gone else F.col("kept")).select("_f", "_p")
+    held = rows.select("row", *key).join(shared(side, n - kept if gone else kept), ["_f", "_p"], "left_anti" if gone else "left_semi")
+    return held.select("row.*")
 
 
 def tokenizer_path(name: str) -> str:

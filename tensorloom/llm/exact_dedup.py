@@ -7,16 +7,20 @@ that stays. The state is read back as a table. Where the state reports a hit (se
 rows under one digest) the full bytes of those rows are compared; rows whose bytes
 differ under one digest are grouped again by their text.
 
-Only digests and locators pass through the state; a text is moved only to be checked.
-Partial aggregation runs before each shuffle, so one group may hold a third of all rows.
+Only digests and locators pass through the state. The digests that were hit are sent to
+the scan as 64-bit hashes if they stay below a bound, so that no text but those of hits
+is moved; beyond the bound the texts meet them in salted parts. Partial aggregation runs
+before each shuffle, so one group may hold a third of all rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, file_backed, shared_folder, written
+from .common import ROW_BYTES, SHARED_BYTES, ascii_lower, keep_rows, located, shared_folder, written
 
 #: State on disk. Without preallocation many small stores take little of it; changes are
 #: uploaded as a changelog instead of whole snapshots. All stores of an executor share a
@@ -29,7 +33,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
-#: Parts in which the texts of one digest are compared.
+#: Parts in which the texts of one digest are compared where they have to be moved.
 SALTS = 16
 
 
@@ -37,17 +41,6 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def _ledger(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    norm = ascii_lower(F.col(text_col))
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("pos"),
-        sha256_hex(norm).alias("text_sha256"),
-        digest(norm).alias("digest"),
-    )
-
-
 def fold_into_state(spark: SparkSession, ledger_path: str, schema, checkpoint: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Fold all new ledger files into the keyed state at `checkpoint`; return the state.
 
@@ -82,12 +75,24 @@ def fold_into_state(spark: SparkSession, ledger_path: str, schema, checkpoint: s
     )
 
 
+def _texts_of(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """Those of texts(digest, ...) whose digest has the hash of a hit."""
+    hashes = written(hits.select(F.xxhash64("digest").alias("_h")).distinct(), "dedup-hits")
+    texts = texts.withColumn("_h", F.xxhash64("digest"))
+    if hashes.count() * ROW_BYTES <= SHARED_BYTES:
+        return texts.join(F.broadcast(hashes), "_h", "left_semi").drop("_h")
+    salted = hashes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("file", "pos"), F.lit(SALTS)).cast("int")
+    return texts.withColumn("_salt", salt).join(salted, ["_h", "_salt"], "left_semi").drop("_h", "_salt")
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     digest=sha256_hex,
     max_files_per_trigger: int | None = None,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, file, pos.
 
@@ -97,29 +102,40 @@ def exact_dedup(
     exactly one row of a group has kept = true. An empty table gives an empty result.
     Further columns of docs, whatever their names, are not read. `digest` maps the
     normalised text column to the key of the state; any key gives the right result.
+
+    With `checkpoint`, a folder that all executors reach, ledger and state stay there: a
+    later call with the same folder counts its rows to those of all calls before, whose
+    texts it reads again by their locators where a digest is hit. So their files, Parquet
+    with a column text_col, must still be there.
     """
-    spark = docs.sparkSession
-    docs = file_backed(docs, "dedup-input")
-    path = shared_folder(spark, "dedup-ledger")
-    _ledger(docs, id_col, text_col, digest).write.parquet(path)
-    ledger = spark.read.parquet(path)
-    state = written(fold_into_state(spark, path, ledger.schema, shared_folder(spark, "dedup-state"), max_files_per_trigger), "dedup-groups")
-
-    hits = state.filter("group_size > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    norm = ascii_lower(F.col(text_col))
-    salt = F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(SALTS)).cast("int")
-    # salted, so that the rows of a large group meet in many tasks; each then sends on one row a digest
-    checked = written(
-        docs.select(digest(norm).alias("digest"), norm.alias("norm"), salt.alias("salt"))
-        .join(hits, ["digest", "salt"])
-        .groupBy("digest")
-        .agg((F.min("norm") == F.max("norm")).alias("same")),
-        "dedup-checked",
-    )
-    marked = ledger.join(state, "digest")
-    collided = checked.filter(~F.col("same")).select("digest")
+    rows = located(docs, "dedup-input")
+    return _marked(rows, id_col, text_col, digest, max_files_per_trigger, checkpoint)
+
+
+def _marked(located_rows: DataFrame, id_col: str, text_col: str, digest=sha256_hex, max_files_per_trigger: int | None = None, checkpoint: str | None = None) -> DataFrame:
+    spark = located_rows.sparkSession
+    folder, batch = checkpoint or shared_folder(spark, "dedup"), uuid.uuid4().hex
+    norm = ascii_lower(F.col(f"row.`{text_col}`").cast("string"))
+    rows = located_rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "file", "pos", digest(norm).alias("digest"), norm.alias("norm"))
+    entry = rows.select("doc_id", "file", "pos", sha256_hex(F.col("norm")).alias("text_sha256"), "digest", F.lit(batch).alias("batch"))
+    entry.write.mode("append").parquet(f"{folder}/ledger")
+    ledger = spark.read.schema(entry.schema).parquet(f"{folder}/ledger")
+    mine = ledger.filter(F.col("batch") == batch).drop("batch")
+    state = fold_into_state(spark, f"{folder}/ledger", ledger.schema, f"{folder}/state", max_files_per_trigger)
+    marked = written(mine.join(state, "digest"), "dedup-marked")
+
+    hits = marked.filter("group_size > 1").select("digest").distinct()
+    found = _texts_of(rows, hits)
+    if checkpoint:
+        old = ledger.filter(F.col("batch") != batch).join(hits, "digest", "left_semi").select("doc_id", "file", "pos", "digest")
+        files = [r["file"] for r in old.select("file").distinct().collect()]  # paths of input files
+        if files:
+            before = located(spark.read.parquet(*files), "dedup-before").select("file", "pos", norm.alias("norm"))
+            found = found.unionByName(old.join(before, ["file", "pos"]))
+    checked = found.groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same"))
+    collided = written(checked.filter(~F.col("same")).select("digest"), "dedup-collisions")
     if not collided.isEmpty():
-        marked = marked.join(collided, "digest", "left_anti").unionByName(_by_text(docs, ledger, collided, norm))
+        marked = marked.join(collided, "digest", "left_anti").unionByName(_by_text(marked, found, collided))
     return marked.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
@@ -131,20 +147,15 @@ def exact_dedup(
     )
 
 
-def _by_text(docs: DataFrame, ledger: DataFrame, collided: DataFrame, norm: Column) -> DataFrame:
+def _by_text(marked: DataFrame, found: DataFrame, collided: DataFrame) -> DataFrame:
     """Rows of digests that stand for several texts, grouped by the text itself."""
-    rows = ledger.join(collided, "digest", "left_semi")
-    texts = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"), norm.alias("norm"))
-    rows = written(rows.join(texts, ["file", "pos"]), "dedup-collided")
-    groups = rows.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "file", "pos")).alias("keep"))
-    return rows.join(groups, "norm").drop("norm")
+    texts = written(found.join(collided, "digest", "left_semi"), "dedup-collided")
+    groups = texts.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "file", "pos")).alias("keep"))
+    mine = marked.join(collided, "digest", "left_semi").drop("group_size", "keep")
+    return mine.join(texts.select("file", "pos", "norm"), ["file", "pos"]).join(groups, "norm").drop("norm")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    docs = file_backed(docs, "dedup-input")
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select("file", "pos")
-    held = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos")
-    )
-    return held.join(kept, ["file", "pos"], "left_semi").select("row.*")
+    rows = located(docs, "dedup-input")
+    return keep_rows(rows, _marked(rows, id_col, text_col))

@@ -7,9 +7,9 @@ fingerprints that differ in at most 3 bits agree in one band; of the other 48 bi
 into four again, they agree in one sub-band. So each fingerprint goes to 16 blocks keyed
 by 28 bits, and every link shows in a block.
 
-Comparison: in a block the fingerprints are stored as 64 vertical bit planes; the
-distances of many pairs are kept in two carry-save counter planes and one plane of pairs
-beyond 3, and a tile is abandoned once all its pairs are beyond. Of the links in a tile
+Comparison: in a block the fingerprints are stored as vertical bit planes; the distances
+of many pairs are kept in carry-save counter planes and one plane of pairs beyond the
+radius, and a tile is abandoned once all its pairs are beyond. Of the links in a tile
 a spanning forest is enough. Blocks are compared in tiles of a bounded number of rows;
 a block with more rows than that has its pairs of tiles dealt out to other tasks.
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, map_batches, written
+from .common import UPPER, keep_rows, located, map_batches, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -82,36 +82,72 @@ def blocks(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
+def _bits(fps: np.ndarray) -> np.ndarray:
+    """A row of single bits for each fingerprint; fps is (n,) or, of several words each, (n, w)."""
+    return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+
+
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows of packed bits: bit i of row b is bit b of fps[i]."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    packed = np.packbits(bits.T, axis=1, bitorder="little")
-    wide = np.zeros((64, -(-packed.shape[1] // 8) * 8), np.uint8)
+    """A row of packed bits for each bit place: bit i of row b is bit b of fps[i]."""
+    packed = np.packbits(_bits(fps).T, axis=1, bitorder="little")
+    wide = np.zeros((packed.shape[0], -(-packed.shape[1] // 8) * 8), np.uint8)
     wide[:, : packed.shape[1]] = packed
     return wide.view(np.uint64)
 
 
-def _far(differences: Iterator[np.ndarray], shape) -> np.ndarray:
-    """Lanes with more than 3 set bits among the differences, by carry-save counting."""
-    one, two, far = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
+class Distances:
+    """Counters of many lanes at once, as bit planes; a lane is far once its count exceeds the radius.
+
+    A place of the counter holds its plane and at most one more of the same weight; a
+    third is added to both by a carry-save adder, whose carry goes to the next place. The
+    counters start so high that what leaves the last place says that the radius is passed.
+    """
+
+    def __init__(self, radius: int, shape) -> None:
+        places = radius.bit_length()
+        start = (1 << places) - 1 - radius
+        self.sums = [np.full(shape, ONES if start >> k & 1 else np.uint64(0), np.uint64) for k in range(places)]
+        self.waiting: list[np.ndarray | None] = [None] * places
+        self.far = np.zeros(shape, np.uint64)
+
+    def add(self, plane: np.ndarray, place: int = 0) -> None:
+        if place == len(self.sums):
+            self.far |= plane
+        elif (other := self.waiting[place]) is None:
+            self.waiting[place] = plane
+        else:
+            self.waiting[place] = None
+            both = self.sums[place] ^ other
+            carry = (self.sums[place] & other) | (both & plane)
+            self.sums[place] = both ^ plane
+            self.add(carry, place + 1)
+
+    def result(self) -> np.ndarray:
+        """The lanes that are far, after all planes."""
+        for place in range(len(self.sums)):
+            if self.waiting[place] is not None:
+                self.add(np.zeros_like(self.far), place)
+        return self.far
+
+
+def _far(differences: Iterator[np.ndarray], shape, radius: int = RADIUS) -> np.ndarray:
+    """Lanes with more than radius set bits among the differences; given up once all are."""
+    counted = Distances(radius, shape)
     for k, d in enumerate(differences):
-        carry = one & d
-        one ^= d
-        far |= two & carry
-        two ^= carry
-        if k % 8 == 7 and (far == ONES).all():
-            break
-    return far
+        counted.add(d)
+        if k % 8 == 7 and (counted.far == ONES).all():
+            return counted.far
+    return counted.result()
 
 
-def near_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of all pairs of left and right at 3 or fewer differing bits."""
+def near_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs of left and right at radius or fewer differing bits."""
     planes = _planes(right)
-    flip = np.where(np.unpackbits(left.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T.astype(bool), ONES, np.uint64(0))
+    flip = np.where(_bits(left).T.astype(bool), ONES, np.uint64(0))
     rows, cols = [], []
     for at in range(0, len(left), 256):
         f = flip[:, at : at + 256]
-        far = _far((planes[b][None, :] ^ f[b][:, None] for b in range(64)), (f.shape[1], planes.shape[1]))
+        far = _far((planes[b][None, :] ^ f[b][:, None] for b in range(len(planes))), (f.shape[1], planes.shape[1]), radius)
         hit = np.unpackbits((~far).view(np.uint8), axis=1, bitorder="little")[:, : len(right)]
         i, j = np.nonzero(hit)
         rows.append(i + at)
@@ -302,15 +338,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id.
+    """docs with one row of each component: the one with the smallest doc_id, null being the largest.
 
-    Rows that share that identifier tie; the smallest hash of their texts decides, and of
-    rows that share the text too any one stays.
+    Rows that share that identifier tie; the smallest hash of their texts and then the
+    locator decide. An empty table gives an empty result.
     """
-    found = simhash_components(docs, id_col, text_col)
-    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("s.*")
-    held = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")
-    )
-    same = held["doc_id"].eqNullSafe(stay["doc_id"]) & (held["text_hash"] == stay["text_hash"])
-    return held.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    rows = located(docs, "simhash-input")
+    text = F.col(f"row.`{text_col}`").cast("string")
+    held = rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), "file", "pos")
+    found = simhash_components(rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), text.alias("text"))).select("text_hash", "root").distinct()
+    return keep_rows(rows, least_of_each(held.join(found, "text_hash"), "text_hash"))
+
+
+def least_of_each(rows: DataFrame, *ties: str) -> DataFrame:
+    """file, pos, kept of rows (root, doc_id, file, pos): one row of each root is kept."""
+    rows = written(rows.select("root", "doc_id", *ties, "file", "pos"), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ties, "file", "pos")
+    stay = rows.groupBy("root").agg(F.min(order).alias("s")).select("s.file", "s.pos", F.lit(True).alias("kept"))
+    return rows.select("file", "pos").join(stay, ["file", "pos"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))

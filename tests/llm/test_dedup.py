@@ -62,6 +62,49 @@ def test_state_goes_on_after_a_restart(spark, tmp_path):
     assert {r["digest"]: (r["group_size"], r["keep"]["doc_id"]) for r in state.collect()} == {"d0": (3, 6), "d1": (3, 7), "d2": (3, 8)}
 
 
+def test_rows_of_one_place_are_told_apart(spark, data):
+    """Rows that an explode makes of one stored row are rows of their own."""
+    df = spark.read.parquet(f"{data}/documents.parquet").withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2))))
+    texts = df.select(F.lower("text")).distinct().count()
+    assert exact_dedup.drop_duplicates(df).count() == texts
+    assert exact_dedup.exact_dedup(df).where("kept").count() == texts
+    assert exact_dedup.exact_dedup(df.unionByName(df)).where("kept").count() == texts
+
+
+def test_a_column_named_metadata(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "m"), (2, "A", "m"), (3, "b", "m")], "doc_id long, text string, _metadata string")
+    df.write.parquet(f"{tmp_path}/t")
+    for t in (df, spark.read.parquet(f"{tmp_path}/t")):
+        kept = exact_dedup.drop_duplicates(t)
+        assert sorted(tuple(r) for r in kept.collect()) == [(2, "A", "m"), (3, "b", "m")]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_later_calls_count_on(spark, tmp_path, weak):
+    """Batches of rows through one checkpoint end as one table would, also where digests collide."""
+    digest = (lambda c: (F.crc32(F.encode(c, "UTF-8")) % 2).cast("string")) if weak else exact_dedup.sha256_hex
+    batches = [[(1, "a", "s"), (2, "b", "s"), (3, "A", "s")], [(4, "b", "s"), (5, "c", "s")], [(0, "a", "s"), (6, "C", "s")]]
+    seen = []
+    for k, rows in enumerate(batches):
+        docs(spark, rows).write.parquet(f"{tmp_path}/in{k}")
+        seen += rows
+        found = exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/in{k}"), digest=digest, checkpoint=f"{tmp_path}/state").collect()
+        want = [x for x in brute_groups(seen) if x[0] in {str(i) for i, _, _ in rows}]
+        assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"]) for r in found) == want
+
+
+@pytest.mark.parametrize("bound", [1 << 26, 0])
+def test_both_ways_of_moving_texts(spark, monkeypatch, bound):
+    from tensorloom.llm import common
+
+    monkeypatch.setattr(exact_dedup, "SHARED_BYTES", bound)
+    monkeypatch.setattr(common, "SHARED_BYTES", bound)
+    texts = {(t or "").translate(LOWER) for _, t, _ in EDGE}
+    assert exact_dedup.drop_duplicates(docs(spark, EDGE)).count() == len(texts)
+    found = exact_dedup.exact_dedup(docs(spark, EDGE)).collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"]) for r in found) == brute_groups(EDGE)
+
+
 def test_op1_on_the_table(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source").collect()]
     found = op1_exact_dedup(spark, data).collect()
@@ -109,12 +152,17 @@ def test_simhash_edges(spark):
     assert all(int(r["fingerprint"], 16) == brute_fingerprint(dict((i, t) for i, t, _ in rows)[r["doc_id"]]) for r in found)
     assert simhash.simhash_components(docs(spark, [])).count() == 0
     more = [(9, "alpha beta gamma delta", "a"), (9, "zeta eta theta iota", "a")]  # one identifier, two components
-    kept = simhash.drop_near_duplicates(docs(spark, [r for r in rows if r[0]] + more))
-    assert kept.columns == docs(spark, []).columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 5, 7, 8, 9, 9]
+    kept = simhash.drop_near_duplicates(docs(spark, rows + more + [(None, "one two", "a")]))
+    assert kept.columns == docs(spark, []).columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "5", "7", "8", "9", "9", "None"]
 
 
 def test_bit_sliced_distances_and_tiles(monkeypatch):
     rng = np.random.default_rng(1)
+    wide = rng.integers(0, 1 << 63, (90, 4), dtype=np.uint64)
+    wide[30:60] = wide[:30] ^ (wide[60:] & wide[60:][::-1] & np.roll(wide[60:], 7, axis=0))
+    apart = np.bitwise_count(wide[:, None, :] ^ wide[None, :, :]).sum(axis=2)
+    for radius in (0, 1, 3, 20, 31, 32, 40, 90, 127, 128):
+        assert set(zip(*map(np.ndarray.tolist, simhash.near_pairs(wide, wide, radius)))) == {(i, j) for i, j in np.argwhere(apart <= radius).tolist()}
     centre = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     values = [int(centre[k % 12]) ^ sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 6)))) for k in range(700)]
     fps = np.unique(np.array(values, np.uint64))

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+import numpy as np
 from test_dedup import LOWER, docs
 
 from tensorloom.llm import near_dedup
@@ -40,8 +41,43 @@ def test_copies_of_a_copy_and_tiles(spark, monkeypatch):
     base = [f"w{k}" for k in range(200)]
     chain = [(n, " ".join([f"x{n}_{k}" for k in range(5 * n)] + base[5 * n :]), "a") for n in range(12)]
     ends = [(90, None, "a"), (91, "", "a"), (92, "One two", "a"), (93, "one TWO", "a"), (94, "one two three four five six", "a")]
-    want = brute_kept([r[:2] for r in chain + ends])
+    rows = chain + ends
+    want = brute_kept([r[:2] for r in rows])
     for tile in (256, 3):
         monkeypatch.setattr(near_dedup, "TILE", tile)
-        assert sorted(r["doc_id"] for r in near_dedup.drop_similar(docs(spark, chain + ends)).collect()) == want
+        assert sorted(r["doc_id"] for r in near_dedup.drop_similar(docs(spark, rows)).collect()) == want
     assert near_dedup.drop_similar(docs(spark, [])).count() == 0
+
+
+def test_wide_fingerprints_find_what_is_similar():
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    far = []
+    for n in [4, 5, 8, 9, 20, 50, 200, 1000] * 40:
+        both = draw(n)
+        a, b = np.concatenate([both, draw(n // 8)]), np.concatenate([both, draw(n // 4 - n // 8)])
+        assert near_dedup.similar(np.sort(a), np.sort(b))
+        far.append(int(np.bitwise_count(near_dedup.wide_fingerprint(a) ^ near_dedup.wide_fingerprint(b)).sum()))
+    assert max(far) <= near_dedup.RADIUS - 10
+    assert min(int(np.bitwise_count(near_dedup.wide_fingerprint(draw(300)) ^ near_dedup.wide_fingerprint(draw(300))).sum()) for _ in range(300)) > near_dedup.RADIUS
+
+
+def test_parts_of_one_candidate_component(spark, monkeypatch):
+    """Groups that meet by bands but hang together by few links only: large and small parts in many tiles."""
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for part, at in enumerate((0, 14, 28, 42)):  # 14 of 120 words differ from part to part: near 0.6 by windows of five
+        own = base[:at] + [f"p{part}_{k}" for k in range(20)] + base[at + 20 :]
+        for n in range(14):
+            words = list(own)
+            words[int(rng.integers(60, 118))] = f"n{part}_{n}"
+            rows.append((100 * part + n, " ".join(words), "a"))
+    rows += [(900 + n, " ".join(base[: 110 + n]), "a") for n in range(3)]
+    want = brute_kept([r[:2] for r in rows])
+    assert 1 < len(want) < len(rows) / 2
+    sets = [near_dedup.shingles(t) for _, t, _ in rows]
+    met = [(k, m) for k in range(len(rows)) for m in range(k) if (near_dedup.band_keys(sets[k]) == near_dedup.band_keys(sets[m])).any()]
+    assert len({m // 14 for k, m in met if k // 14 != m // 14})  # some parts meet that are not linked
+    assert sorted(r["doc_id"] for r in near_dedup.drop_similar(docs(spark, rows)).collect()) == want

@@ -4,7 +4,8 @@ import sys
 
 import corpus_pipeline
 from conftest import DATA
-from test_dedup import LOWER, brute_components, brute_fingerprint, words
+from test_dedup import LOWER, words
+from test_near import brute_kept
 from test_text import brute_rules
 
 from tensorloom.llm import mixing
@@ -34,8 +35,7 @@ def test_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in unique.collect()) == sorted(last.values()) and unique.columns == columns
     apart = step("simhash_dedup", unique)
     rows = unique.collect()
-    groups = brute_components([brute_fingerprint(r["text"]) for r in rows], [r["doc_id"] for r in rows])
-    assert sorted(r["doc_id"] for r in apart.collect()) == sorted(set(groups)) and apart.columns == columns
+    assert sorted(r["doc_id"] for r in apart.collect()) == brute_kept([(r["doc_id"], r["text"]) for r in rows]) and apart.columns == columns
     mixed = step("source_mix", apart)
     copies = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in mixing.mix(apart).collect() if r["size"]}
     got = [r["doc_id"] for r in mixed.collect()]
