@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..session import settled as written
 from ..session import shared_path as shared_folder
 
-__all__ = ["ascii_lower", "hash_sample", "keep_rows", "located", "map_batches", "read_table", "shared", "shared_folder", "tokenizer_path", "written"]
+__all__ = ["ascii_lower", "hash_sample", "keep_rows", "located", "looked_up", "map_batches", "read_table", "shared", "shared_folder", "tokenizer_path", "written"]
 
 #: White space of the word rule, and words themselves, as Java regular expressions.
 BLANKS = " \t\n\x0b\f\r"
@@ -96,6 +96,22 @@ def shared(df: DataFrame, rows: int, row_bytes: int = ROW_BYTES) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= SHARED_BYTES else df
 
 
+#: Parts into which the rows of a key are dealt where a table is too large to be shared.
+SALTS = 16
+
+
+def looked_up(rows: DataFrame, table: DataFrame, n_rows: int, keys: list[str], salt, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """rows left-joined with table (one row a key), which is shared if its n_rows stay below the bound.
+
+    Else the rows of each key are dealt into parts by the hash of `salt`, so that a hot key
+    meets its row in many tasks.
+    """
+    if n_rows * row_bytes <= SHARED_BYTES:
+        return rows.join(F.broadcast(table), keys, "left")
+    dealt = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(dealt, [*keys, "_salt"], "left").drop("_salt")
+
+
 def keep_rows(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """The columns of those rows (row, file, pos) that decided (file, pos, kept) keeps.
 

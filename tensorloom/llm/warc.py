@@ -8,7 +8,11 @@ that each record has in its original, unfolded form (a response with its length)
 the digests that lead to its payload.
 
 Reading: the files are parsed by their Content-Length, every payload is digested again
-and held against its header, and originals come back by joining headers to payloads.
+and held against its header, and originals come back by joining headers to payloads. A
+payload or a record that is missing raises.
+
+Payloads move only into their files: which record keeps a payload is decided on digests.
+A file is one gzip stream, bounded in bytes before compression.
 """
 
 from __future__ import annotations
@@ -22,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, shared_folder
+from .common import looked_up, map_batches, shared_folder, written
 
 LEAST_SHARED = 1000
 END = "\r\n\r\n"
 #: Fixed, so that the same pages give the same archive.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 20_000
+#: Bytes of the payloads of a file, at most (but for a single larger payload).
+FILE_BYTES = 256 << 20
+#: Payloads up to each of these sizes share files; so do those that are larger than all.
+SIZES = (64 << 10, 4 << 20)
 
 
 def _urn(page_id: Column) -> Column:
@@ -59,8 +66,8 @@ def _header(kind: Column, page_id: Column, url: Column, sha1: Column, sha256: Co
 def assign(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, html, length, sha1, sha256, refers_to (null for responses).
 
-    The keeper of each digest is found by aggregation before the shuffle; a payload that
-    a third of all pages share only makes one row a task.
+    The keeper of each digest is found by aggregation before the shuffle, on identifiers
+    and digests alone, and sent to the pages.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     payload = F.encode(html, "UTF-8")
@@ -72,14 +79,14 @@ def assign(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
         F.sha1(payload).alias("sha1"),
         F.sha2(payload, 256).alias("sha256"),
     )
-    shared = rows.filter(F.col("length") >= LEAST_SHARED)
-    keepers = shared.groupBy("sha256", "length").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = rows.join(keepers.select("sha256", "length", "keeper"), ["sha256", "length"], "left")
+    counted = rows.filter(F.col("length") >= LEAST_SHARED).groupBy("sha256", "length").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    keepers = written(counted.filter("n > 1").drop("n"), "warc-keepers")
+    held = looked_up(rows, keepers, keepers.count(), ["sha256", "length"], F.struct("page_id", "url"), 200)
     return held.withColumn("refers_to", F.when(F.col("keeper") != F.col("page_id"), F.col("keeper"))).drop("keeper")
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write warc/ and headers/ below path."""
+    """Write warc/ and headers/ below path; pages of a size class go into files of their own."""
     rows = assign(pages, id_col, url_col, html_col)
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     args = (F.col("page_id"), F.col("url"), F.col("sha1"), F.col("sha256"))
@@ -89,10 +96,18 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     )
     no_ref = F.lit(None).cast("long")
     original = _header(F.lit("response"), *args, no_ref, F.col("length"))
-    both = rows.select(record.alias("value"), "page_id", "refers_to", "length", "sha1", "sha256", original.alias("header"))
-    records = both.select("value").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
-    records.text(f"{path}/warc")
-    both.drop("value").write.parquet(f"{path}/headers")
+    rows.select("page_id", "refers_to", "length", "sha1", "sha256", original.alias("header")).write.parquet(f"{path}/headers")
+
+    lengths = pages.select(F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0)).alias("n"))
+    bounds = [-1, *SIZES, 1 << 62]
+    classes = list(zip(bounds, bounds[1:]))
+    most = lengths.agg(*[F.max(F.when((F.col("n") > low) & (F.col("n") <= high), F.col("n"))) for low, high in classes]).first()
+    for (low, high), longest in zip(classes, most):
+        if longest is None and (low >= 0 or any(m is not None for m in most)):
+            continue  # a class without pages; an empty table still gets its empty folder
+        per_file = max(1, FILE_BYTES // min(high, max(longest or 1, SIZES[0])))
+        part = rows.filter((F.col("length") > low) & (F.col("length") <= high)).select(record.alias("value"))
+        part.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(f"{path}/warc")
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -148,32 +163,49 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return map_batches(files, run, SCHEMA)
 
 
+def _missing(what: str, column: str) -> Column:
+    """column, or an error where it is null."""
+    return F.coalesce(F.col(column), F.raise_error(F.concat(F.lit(f"{what} of record "), F.coalesce(F.col("page_id").cast("string"), F.lit("without page_id")))))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit takes length and digest from the response that it refers to, by a join.
+    A revisit takes length and digest from the response that it refers to, by a join; if
+    that is missing, reading it raises. Files without the records that headers/ lists, or
+    with others, raise at once.
     """
     read = read_warc(spark, path).select("page_id", "record_type", "refers_to", "sha256", "sha1", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    read = written(read, "warc-read")  # files are parsed once
+    listed = spark.read.parquet(f"{path}/headers").select("page_id", "sha256", F.lit(-1).alias("n"))
+    uneven = listed.unionByName(read.select("page_id", "sha256", F.lit(1).alias("n"))).groupBy("page_id", "sha256").agg(F.sum("n").alias("n")).filter("n != 0")
+    if not uneven.isEmpty():
+        raise ValueError(f"records and headers of {path} differ at page {uneven.first()['page_id']}")
     held = read.filter("record_type = 'response'")
     stored = held.filter(F.col("payload_bytes") >= LEAST_SHARED).select(
-        F.col("sha256").alias("_key"), F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), F.col("payload_bytes").alias("_bytes")
+        "sha256", F.col("page_id").alias("refers_to"), F.col("sha1").alias("_sha1"), F.col("payload_bytes").alias("_bytes")
     )
-    stored = stored.dropDuplicates(["_key", "_page"])
-    visits = read.filter("record_type = 'revisit'").drop("payload_bytes", "sha1")
-    found = visits.join(stored, (F.col("sha256") == F.col("_key")) & (F.col("refers_to") == F.col("_page")))
+    visits = read.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "sha256")
+    visited = visits.select("sha256", "refers_to").distinct()
+    stored = written(stored.join(visited, ["sha256", "refers_to"], "left_semi").dropDuplicates(["sha256", "refers_to"]), "warc-visited")
+    found = looked_up(visits, stored, stored.count(), ["sha256", "refers_to"], F.col("page_id"), 250)
+    found = found.withColumns({"payload_bytes": _missing("payload", "_bytes"), "payload_digest": _missing("payload", "_sha1")})
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return (
-        held.withColumn("payload_digest", F.col("sha1")).select(columns)
-        .unionByName(found.withColumns({"payload_bytes": F.col("_bytes"), "payload_digest": F.col("_sha1")}).select(columns))
-    )
+    return held.withColumnRenamed("sha1", "payload_digest").select(columns).unionByName(found.select(columns))
 
 
 def originals(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and the exact original record (header block, empty line, payload) of each page."""
+    """page_id and the exact original record (header block, empty line, payload) of each page; a missing payload raises.
+
+    Payloads under 1000 bytes are many to a digest, so each distinct one is sent on once,
+    as are all others; a header of a hot payload meets it in one of several parts.
+    """
     headers = spark.read.parquet(f"{path}/headers")
     payloads = read_warc(spark, path).filter("record_type = 'response'").select("sha256", "payload").dropDuplicates(["sha256"])
-    whole = F.concat(F.encode(F.col("header"), "UTF-8"), F.encode(F.lit(END), "UTF-8"), F.col("payload"))
-    return headers.join(payloads, "sha256").select("page_id", whole.alias("record"))
+    size = payloads.agg(F.sum(F.octet_length("payload") + 200)).first()[0] or 0
+    found = looked_up(headers, payloads, size, ["sha256"], F.struct("page_id", "header"), 1)
+    whole = F.concat(F.encode(F.col("header"), "UTF-8"), F.encode(F.lit(END), "UTF-8"), _missing("payload", "payload"))
+    return found.select("page_id", whole.alias("record"))
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
