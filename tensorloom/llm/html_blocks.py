@@ -12,7 +12,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not text of the page.
 HIDDEN = frozenset("script style template noscript iframe object svg math canvas head title textarea select datalist audio video".split())
 #: Those of them whose content is markup: they end with their parent at the latest.
-NESTED = frozenset("template object svg math canvas head select datalist audio video".split())
+NESTED = frozenset("template noscript object svg math canvas head select datalist audio video".split())
+#: Elements that block elements end: what stands in them are choices of a form.
+CHOICES = ("select", "datalist")
 #: Start tags that leave an open head open (fixed by the HTML standard).
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements that are part of a line of text.
@@ -95,7 +97,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, frozenset[str]]] = []  # open block elements, each with all marks so far
     opened: Counter[str] = Counter()
     links = 0
-    parts: list[tuple[str, bool]] = []
+    parts: list[tuple[str, bool]] = []  # text as it reads, and whether it stands in a link
 
     hid: int | None = None  # the place in the stack of the outermost element that hides its content
     tags = Tags(page)
@@ -103,7 +105,7 @@ def blocks(page: str | None) -> list[Block]:
     def flush() -> None:
         nonlocal parts
         if parts:
-            text = SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
+            text = SPACE.sub(" ", "".join(p for p, _ in parts)).strip()
             if text:
                 linked = sum(len(p) for p, in_link in parts if in_link)
                 tag, marks = stack[-1] if stack else ("", frozenset())
@@ -135,7 +137,7 @@ def blocks(page: str | None) -> list[Block]:
             if stack and stack[-1][0] == "head" and not page[at:end].isspace():
                 pop({"head"})
             if hid is None:
-                parts.append((page[at:end], links > 0))
+                parts.append((html.unescape(page[at:end]), links > 0))
         if not m:
             break
         name = (m["name"] or "").lower()
@@ -155,9 +157,12 @@ def blocks(page: str | None) -> list[Block]:
         empty = attrs.rstrip().endswith("/")
         if opened["head"] and name not in IN_HEAD and name != "head":
             pop({"head"})
-        if empty and (name in ("svg", "math") or opened["svg"] or opened["math"]):
+        drawn = opened["svg"] or opened["math"]
+        if empty and (name in ("svg", "math") or drawn):
             continue
-        if name in HIDDEN and name not in NESTED:
+        if name in ENDS_P:
+            pop(CHOICES)
+        if name in HIDDEN and name not in NESTED and not drawn:
             found = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             # raw text that is never closed goes on to the end of the page
             if found is None:

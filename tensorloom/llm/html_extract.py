@@ -5,8 +5,10 @@ around it, the words of their classes, ids and roles, and the shape of its text.
 of two labels (main, other) is trained by the gradient of its log-likelihood and decoded
 by Viterbi.
 
-Labelled pages: of a bounded, hash-chosen sample of pages, blocks inside <article> or
-<main> are main text, and what stands in navigation, footers, forms and the like is not.
+Labelled pages: of a bounded, hash-chosen sample of pages with an <article> or <main>,
+blocks inside these are main text, and what stands in navigation, footers, forms and the
+like is not. Where no page has such a mark, longer blocks outside those parts are taken
+for main text.
 Each is also laid out anew in random templates (other containers and class names,
 sidebars, notices, adverts, forms, reader comments), so that the model does not hang on
 one site's markup.
@@ -30,6 +32,10 @@ from .html_blocks import Block, blocks
 
 #: Pages that the model is trained on, at most.
 SAMPLE_PAGES = 120
+#: Characters of a page that it is trained on, at most: longer pages are extracted like any, but not learned from.
+SAMPLE_CHARS = 200_000
+#: Words from which a block of a page without marks counts as main text in training.
+LONG_BLOCK = 12
 #: Random layouts of each of them.
 LAYOUTS = 12
 EPOCHS = 6
@@ -56,9 +62,12 @@ INSIDE, WORDED = frozenset(("<article", "<main")), frozenset(MAIN_WORDS)
 
 
 def labels(page: list[Block]) -> np.ndarray | None:
-    """1 for main text, for pages whose markup says so; else None."""
-    inside = np.array([("<article" in b.marks or "<main" in b.marks) and not b.marks & OUTSIDE for b in page], int)
-    return inside if len(page) and inside.any() else None
+    """1 for main text, as the markup says or, without marks, the length of blocks; None if no block is."""
+    outside = [bool(b.marks & OUTSIDE) for b in page]
+    inside = np.array([bool(b.marks & INSIDE) and not o for b, o in zip(page, outside)], int)
+    if not inside.any():
+        inside = np.array([2 * b.linked < len(b.text) and b.text.count(" ") + 1 >= LONG_BLOCK and not o for b, o in zip(page, outside)], int)
+    return inside if inside.any() else None
 
 
 def features(b: Block) -> list[str]:
@@ -246,9 +255,19 @@ def training_pages(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) ->
 
 
 def train(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> Chain:
-    """The chain for a bounded, hash-chosen sample of pages."""
+    """The chain for a bounded, hash-chosen sample of pages.
+
+    Pages with <article> or <main> are sampled; if there is none, any. Null html has no
+    blocks, and pages that repeat count as often as they are drawn; without any block of
+    main text (an empty table) the chain knows nothing and finds no main text. Further
+    columns of pages are not read.
+    """
     held = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
-    chosen = hash_sample(held.filter(F.length("_html") < 200_000), sample, "_id", "_url").collect()  # at most `sample` rows
+    held = held.filter(F.length("_html").between(1, SAMPLE_CHARS))
+    for rows in (held.filter(F.col("_html").rlike("(?i)<(article|main)[\\s>]")), held):
+        chosen = hash_sample(rows, sample, "_id", "_url").collect()  # at most `sample` pages of at most SAMPLE_CHARS
+        if chosen:
+            break
     return train_chain(training_pages([r["_html"] for r in chosen], layouts))
 
 

@@ -1,8 +1,10 @@
 """WARC archives and HTML extraction."""
 
 import hashlib
+import html
 import random
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -52,6 +54,40 @@ def test_archive(spark, tmp_path):
     assert listed(warc.archive_round_trip(pages(spark, []))) == []
 
 
+def test_missing_payloads_raise(spark, tmp_path):
+    """An archive without the response that others visit gives an error, not fewer rows."""
+    import gzip
+    from pathlib import Path
+
+    path = f"{tmp_path}/archive"
+    warc.write_archive(pages(spark, [(1, "u", "x" * 2000), (2, "u", "x" * 2000), (3, "u", "y")]), path)
+    for file in Path(f"{path}/warc").glob("*.gz"):
+        kept = [(f, block) for f, block in warc.parse(file.read_bytes()) if not (f["WARC-Type"] == "response" and len(block) == 2000)]
+        lines = ["\r\n".join(["WARC/1.1", *[f"{k}: {v}" for k, v in f.items()]]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n" for f, block in kept]
+        file.write_bytes(gzip.compress(b"".join(lines)))
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="differ at page 2"):
+        warc.records(spark, path).collect()
+    with pytest.raises(Exception, match="payload of record"):
+        warc.originals(spark, path).collect()
+
+
+@pytest.mark.parametrize("bound", [1 << 26, 0])
+def test_hot_payloads_and_many_files(spark, tmp_path, monkeypatch, bound):
+    from pathlib import Path
+
+    from tensorloom.llm import common
+
+    monkeypatch.setattr(common, "SHARED_BYTES", bound)
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    rows = [(k, "u", None if k % 3 == 0 else "h" * 1500 if k % 3 == 1 else f"{k} " * 400) for k in range(300)] + [(k, "u", f"{k}" * 30_000) for k in range(1000, 1030)] + [(2000, "u", "b" * 5_000_000)]
+    path = f"{tmp_path}/archive"
+    warc.write_archive(pages(spark, rows), path)
+    assert listed(warc.records(spark, path)) == brute_records(rows)
+    assert max(sum(len(block) for _, block in warc.parse(f.read_bytes())) for f in Path(f"{path}/warc").glob("*.gz")) <= 5_000_000
+    assert {(r["page_id"], bytes(r["record"]).split(b"\r\n\r\n", 1)[1]) for r in warc.originals(spark, path).collect()} == {(i, (h or "").encode()) for i, _, h in rows}
+
+
 def test_parser_refuses_damage():
     import gzip
 
@@ -99,13 +135,118 @@ def test_viterbi_is_the_best_labelling():
         assert value(chain.decode(page)) == pytest.approx(max(map(value, itertools.product((0, 1), repeat=5))))
 
 
+class Reference(HTMLParser):
+    """Blocks of well-formed pages by the standard library's parser; `only` keeps those inside that element."""
+
+    INLINE = {"a", "b", "i", "em", "strong", "span", "code", "small", "sup"}
+    HIDDEN = {"head", "script", "style", "template", "svg", "object", "select", "noscript"}
+
+    def __init__(self, only=None):
+        super().__init__(convert_charrefs=False)
+        self.only, self.open, self.parts, self.blocks = only, [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.INLINE | self.HIDDEN and not self.hidden():
+            self.flush()
+        if tag not in ("meta", "link", "img", "br", "hr", "input"):
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE | self.HIDDEN and not self.hidden():
+            self.flush()
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def hidden(self):
+        return any(t in self.HIDDEN for t in self.open)
+
+    def text(self, value):
+        if not self.hidden() and (self.only is None or self.only in self.open):
+            self.parts.append(value)
+
+    def handle_data(self, data):
+        self.text(data)
+
+    def handle_entityref(self, name):
+        self.text(html.unescape(f"&{name};"))
+
+    def handle_charref(self, name):
+        self.text(html.unescape(f"&#{name};"))
+
+
+def by_reference(page, only=None):
+    parser = Reference(only)
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    return parser.blocks
+
+
+def test_blocks_against_another_parser():
+    rng = random.Random(8)
+
+    def words():
+        return " ".join(rng.choice(["alpha", "beta", "&amp;", "&#233;", "&lt;b&gt;", "x", "\n", "&nbsp;c", "AT&amp;T"]) for _ in range(rng.randint(1, 6)))
+
+    def attrs():
+        return rng.choice(["", ' class="c"', " data-x='a > b'", f' title="{"q" * rng.choice([3, 9000])} > z"', " hidden=hidden"])
+
+    def node(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return words()
+        if kind < 0.45:
+            return f"<{(t := rng.choice(sorted(Reference.INLINE)))}{attrs()}>{words()}</{t}>"
+        if kind < 0.6:
+            t = rng.choice(["svg", "object", "template", "noscript"])
+            return f"<{t}{attrs()}>{words()}" + (f"<{t}>{words()}</{t}>{words()}" if t == "object" else "") + f"</{t}>"
+        if kind < 0.7:
+            return rng.choice(["<svg/>", "<script>if (a < b) x('</p>')</script>", "<style>p > a {}</style>", "<!-- <p>no</p> -->", "<select><option>1</option><option>2</option></select>"])
+        t = rng.choice(["div", "section", "article", "blockquote", "main"])
+        return f"<{t}{attrs()}>" + "".join(node(depth - 1) for _ in range(rng.randint(0, 4))) + f"</{t}>"
+
+    for _ in range(400):
+        page = "<html><head><title>t</title></head><body>" + "".join(node(4) for _ in range(4)) + "</body></html>"
+        assert texts(page) == by_reference(page), page
+
+
+def test_text_that_damage_must_not_hide():
+    story = "<article><p>one</p><p>two</p></article>"
+    assert texts(f"<html><head><title>t</title>{story}") == ["one", "two"]
+    assert texts(f"<svg/>{story}") == ["one", "two"] and texts(f"<body><select><option>x{story}") == ["one", "two"]
+    assert texts(f"<object>a<object>b</object>c</object>{story}") == ["one", "two"] and texts(f"<div><noscript>a</div>{story}") == ["one", "two"]
+    assert texts(f"<svg><title>x</svg>{story}") == ["one", "two"]
+    assert texts("AT&<b>amp;</b>T") == ["AT&amp;T"] and texts("&lt;<i>p&gt;") == ["<p>"]
+
+
 def test_extraction(spark, data):
     rows = {r["page_id"]: r for r in op10_html(spark, data).collect()}
     table = spark.read.parquet(f"{data}/pages.parquet").collect()
     assert len(rows) == len(table)
     for r in table:
-        inside = [b.text for b in blocks(r["html"]) if "<article" in b.marks]
-        assert rows[r["page_id"]]["text"] == "\n\n".join(inside) and rows[r["page_id"]]["n_chars"] == len("\n\n".join(inside)) and rows[r["page_id"]]["url"] == r["url"]
+        inside = "\n\n".join(by_reference(r["html"], "article"))
+        assert rows[r["page_id"]]["text"] == inside and rows[r["page_id"]]["n_chars"] == len(inside) and rows[r["page_id"]]["url"] == r["url"]
+
+
+def test_long_and_unmarked_pages(spark, data):
+    """A page of any length is extracted whole; pages without article or main can be learned from too."""
+    story = [f"Sentence {k} of a long story that goes on and on, with enough words for a paragraph." for k in range(20_000)]
+    long = "<html><body><nav><a href='/'>Home</a></nav><article>" + "".join(f"<p>{s}</p>" for s in story) + "</article><footer>(c)</footer></body></html>"
+    table = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    df = pages(spark, [*table, (-1, "u", long), (-1, "u", long), (-2, None, None)])
+    rows = html_extract.extract(df, html_extract.train(df)).where("page_id < 0").collect()
+    assert sorted(r["n_chars"] for r in rows) == [0] + [len("\n\n".join(story))] * 2 and html_extract.extract(df, html_extract.train(df)).columns == ["page_id", "url", "text", "n_chars"]
+    bare = pages(spark, [(i, u, h.replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div")) for i, u, h in table])
+    assert html_extract.extract(bare, html_extract.train(bare)).where("n_chars > 0").count() > 0.8 * len(table)
 
 
 def test_held_out_layouts(spark, data):
