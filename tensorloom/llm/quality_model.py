@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_batches
+from .common import hash_sample, map_batches, written
 
 #: Labelled rows of each class that the model is fitted on, at most.
 PER_CLASS = 2500
+#: N-gram places of all rows that the model is fitted on, at most; rows go in by their hash until these are used up.
+FIT_PLACES = 20_000_000
 #: Byte pairs have places of their own, triples are hashed to as many places as these bits count.
 TRIPLE_BITS = 18
 #: Word pairs have one place for each share of pairs of a word with itself that a text reaches.
@@ -133,26 +135,37 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """The model for the labels of rows that are not held out."""
-    usable = labels.filter(~held_out(id_col)).filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
-    chosen = [hash_sample(usable.filter(F.col("_y") == y), per_class, "_id") for y in (0, 1)]
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_places: int = FIT_PLACES) -> Model:
+    """The model for the labels of rows that are not held out.
+
+    Labels but 0 and 1 are passed over; an identifier with both labels is a row of each
+    class. Of rows that repeat an identifier the one with the smallest hash of its text is
+    learned from. A null text is empty. Without labelled rows every score is one half.
+    Further columns of both tables, whatever their names, are not read.
+    """
+    usable = labels.filter(~held_out(id_col)).filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    chosen = [hash_sample(usable.filter(F.col("y") == y), per_class, "id") for y in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])  # at most 2 * per_class short rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Indicators()
         for b in batches:
             found = [places(t.as_py()).astype(np.int32) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(found, pa.list_(pa.int32()))], ["h", "y", "places"])
-
-    texts = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(
-        F.xxhash64("_id", text_col).alias("h"), F.col("_y").alias("y"), F.col(text_col).cast("string").alias("text")
-    )
-    got = map_batches(texts, run, "h long, y int, places array<int>").toArrow()
-    order = np.argsort(got["h"].to_numpy(), kind="stable")  # the same model however rows arrive
-    lists = got["places"].combine_chunks() if got.num_rows else []
-    rows = [lists[int(i)].values.to_numpy() for i in order]
-    return fit(rows, got["y"].to_numpy()[order] if got.num_rows else np.zeros(0, int))
+            sizes = pa.array([len(f) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), sizes, pa.array(found, pa.list_(pa.int32()))], ["h", "y", "size", "places"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    once = texts.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("id", "text").alias("h"), "text")).alias("s")).select("s.h", "y", "s.text")
+    got = written(map_batches(once, run, "h long, y int, size long, places array<int>"), "quality-sample")
+    order, used = got.select("h", "y", "size").orderBy("h", "y").collect(), 0  # at most 2 * per_class rows
+    for row in order:
+        used += row["size"]
+        if used > fit_places:
+            got = got.filter((F.col("h") < row["h"]) | ((F.col("h") == row["h"]) & (F.col("y") < row["y"])))
+            break
+    table = got.toArrow().sort_by([("h", "ascending"), ("y", "ascending")])  # the same model however rows arrive
+    lists = table["places"].combine_chunks() if table.num_rows else []
+    return fit([lists[k].values.to_numpy() for k in range(table.num_rows)], table["y"].to_numpy() if table.num_rows else np.zeros(0, int))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
