@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
-from .common import read_table, tokenizer_path
+from .common import read_table, tokenizer_path, written
 from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .html_extract import train as train_extractor
@@ -31,7 +31,10 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_policy(rule_ledger(read_table(spark, sf_dir, "documents")))
+    ledger = written(rule_ledger(read_table(spark, sf_dir, "documents")), "rule-ledger")
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    rated = apply_policy(ledger)
+    return rated.select(*first, *[c for c in rated.columns if c not in first])
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
