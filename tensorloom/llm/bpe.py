@@ -41,12 +41,29 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def check_supported(spec: dict) -> None:
+    """A ValueError for a tokenizer file whose settings the codec doesn't follow."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [
+        pre.get("type") != "ByteLevel" and "pre_tokenizer",
+        pre.get("add_prefix_space") and "add_prefix_space",
+        not pre.get("use_regex", True) and "use_regex",
+        spec.get("normalizer") and "normalizer",
+        model.get("type", "BPE") != "BPE" and "model",
+        *[model.get(k) and k for k in ("ignore_merges", "dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")],
+        *[t.get(k) and f"added token with {k}" for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")],
+    ]
+    if any(wrong):
+        raise ValueError(f"tokenizer settings that are not supported: {sorted({w for w in wrong if w})}")
+
+
 class Codec:
     """Encoder and decoder of one byte-level tokenizer file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_supported(spec)
         letters = byte_letters()
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         raw = {t: bytes(letters[c] for c in t) for t in vocab}
