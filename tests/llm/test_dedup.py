@@ -264,6 +264,50 @@ def test_mix_edges(spark):
     assert mixed.count() == wanted
 
 
+def test_words_taken_by_brute_force(spark):
+    """Blocks written out word by word, seats given one by one to the highest quotient."""
+    rows = EDGE + [(k, "w " * (k * 13 % 41), f"s{k % 3}") for k in range(20, 150)] + [(150 + k, "", "empty") for k in range(50)]
+    block, seed = 8, mixing.SEED
+    df = docs(spark, rows)
+    sized = mixing._sized(df, "doc_id", "text", "source", seed)
+    found = mixing.mix(df, shard_words=500).select("doc_id", "source", "size", "taken").collect()
+    hashed = sized.withColumn("s", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).collect()
+    total = Counter()
+    for r in hashed:
+        total[r["skey"]] += r["size"]
+    targets = brute_targets({(None if k == "n" else k[1:]): v for k, v in total.items()})
+    shards = {}
+    for r in hashed:
+        n = max(1, -(-total[r["skey"]] // 500))
+        shards.setdefault((r["skey"], r["s"] % n), []).append(r)
+    shards = {k: sorted(v, key=lambda r: (r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_hash"])) for k, v in shards.items() if sum(r["size"] for r in v)}
+    size = {k: sum(r["size"] for r in v) for k, v in shards.items()}
+    value = {k: targets[None if k[0] == "n" else k[0][1:]] * size[k] / total[k[0]] for k in shards}
+    quota, blocks = dict.fromkeys(shards, 0), {k: -(-n // block) for k, n in size.items()}
+    for _ in range(round(sum(value.values()) / block)):
+        best = max((k for k in sorted(shards) if quota[k] < 2 * blocks[k]), key=lambda k: value[k] / (2 * quota[k] + 1))
+        quota[best] += 1
+    starts = {(r["skey"], r["shard"]): r["h"] for r in spark.createDataFrame(list(shards), "skey string, shard long").select("skey", "shard", F.xxhash64(F.lit(seed + 2), "skey", "shard").alias("h")).collect()}
+    want = [(r["doc_id"], r["source"], 0, 0) for r in hashed if not r["size"]]
+    for k, members in shards.items():
+        first, run = starts[k] % blocks[k], quota[k] % blocks[k]
+        chosen = {(first + b) % blocks[k] for b in range(run)}
+        words = [quota[k] // blocks[k] + (w // block in chosen) for w in range(size[k])]
+        at = 0
+        for r in members:
+            if r["size"]:
+                want.append((r["doc_id"], r["source"], r["size"], sum(words[at : at + r["size"]])))
+            at += r["size"]
+    assert Counter(tuple(r) for r in found) == Counter(want)
+    copies = Counter()
+    for i, _, n, taken in want:
+        copies[str(i)] += int(taken / n + 0.5) if n else 0
+    for bound in (1 << 26, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("tensorloom.llm.common.SHARED_BYTES", bound)
+            assert Counter(str(r["doc_id"]) for r in mixing.mixed_documents(df, shard_words=500).collect()) == +copies
+
+
 def test_shards_of_one_source_keep_to_the_target(spark):
     rows = [(k, "w " * (1 + k * 37 % 300), "s" if k % 3 else "t") for k in range(600)]
     check_mix(rows, mixing.mix(docs(spark, rows), shard_words=2000).collect())

@@ -156,6 +156,73 @@ def test_dual_coordinate_descent_separates():
     assert all((model.score(p) > 0.5) == bool(y) for p, y in zip(rows, labels))
 
 
+def test_fit_against_a_plain_solver():
+    """Ratios by counting, and the same dual solved by small projected gradient steps on all rows at once."""
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 2, 60)
+    rows = [np.unique(np.r_[rng.choice(40, 8), rng.choice(10, 3) + 40 + 10 * y]) for y in labels]
+    cost = 0.5
+    model = quality_model.fit(rows, labels, cost=cost, beta=1.0, epochs=2000)
+    have = np.zeros((60, quality_model.PLACES), bool)
+    for k, p in enumerate(rows):
+        have[k, p] = True
+    shares = [1.0 + have[labels == y].sum(axis=0) for y in (0, 1)]
+    ratio = np.log(shares[1] / shares[1].sum()) - np.log(shares[0] / shares[0].sum())
+    assert np.allclose(model.ratio, ratio, atol=1e-6)
+    x = have[:, :60] * ratio[:60]
+    x = np.c_[x / np.linalg.norm(x, axis=1, keepdims=True), np.ones(60)]
+    sign = np.where(labels > 0, 1.0, -1.0)
+    most = cost * 60 / 2 / np.where(labels > 0, labels.sum(), 60 - labels.sum())
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    dual, step = np.zeros(60), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(100_000):
+        dual = np.clip(dual - step * (q @ dual - 1), 0, most)
+    weight = (dual * sign) @ x
+    assert np.allclose([model.margin(p) for p in rows], x @ weight, atol=0.02)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """One row for an identifier however often it is repeated, clashing columns, and a budget of places."""
+    rows = [(k, f"good words {k}" if k % 2 else f"BAD!! {k * 7}", "i", "y", 5) for k in range(40)]
+    df = spark.createDataFrame(rows + [(1, "good words 1", "i", "y", 5)] * 500, "doc_id long, text string, _id string, _y string, y int")
+    labels = spark.createDataFrame([(k, k % 2, "i") for k in range(40)] + [(1, 1, "i"), (2, 7, "i"), (None, 1, "i")], "doc_id long, quality int, id string")
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", lambda rows, labels: seen.append((rows, labels)))
+    quality_model.train(df, labels)
+    import zlib
+
+    wanted = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(40))
+    assert len(seen[0][0]) == wanted
+    quality_model.train(df, labels, fit_places=200)
+    sizes = [len(p) for p in seen[0][0]]
+    cut = len(seen[1][0])
+    assert 0 < cut < wanted and sum(sizes[:cut]) <= 200 < sum(sizes[: cut + 1])
+    quality_model.train(df.limit(0), labels)
+    quality_model.train(df, labels.limit(0))
+    assert [len(s[0]) for s in seen[2:]] == [0, 0]
+
+
+def test_good_rows_and_redaction_of_edge_rows(spark):
+    df = docs(spark, TEXTS + TEXTS + ["mail a@b.cd"] * 3)
+    kept = quality_rules.keep_good(df)
+    want = [t for t in TEXTS + TEXTS if (r := brute_rules(t))[0] >= 50 and 2 * r[4] <= r[0]]
+    assert kept.columns == df.columns and kept.count() <= len(want)
+    good = docs(spark, [" ".join(f"wort{k}" for k in range(60))] * 3)
+    assert [tuple(r) for r in quality_rules.keep_good(good).orderBy("doc_id").collect()] == [tuple(r) for r in good.orderBy("doc_id").collect()]
+    clean = pii.redacted(df)
+    assert clean.columns == df.columns and clean.where("text = 'mail [email]'").count() == 3 and clean.where("text IS NULL").count() == 2
+    for f in (quality_rules.keep_good, pii.redacted):
+        assert f(docs(spark, [])).count() == 0
+
+
+def test_unsupported_tokenizers_are_refused():
+    good = {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {}, "added_tokens": [{"content": "x", "lstrip": False}]}
+    bpe.check_supported(good)
+    for wrong in ({"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"normalizer": {"type": "NFC"}}, {"model": {"ignore_merges": True}}, {"added_tokens": [{"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.check_supported(good | wrong)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -243,6 +310,13 @@ def test_token_counts(spark, rule):
     assert got[got.doc_id >= len(texts)][["start", "end", "n_tokens"]].to_numpy().tolist() == [[0, 0, 0]] * 2
 
 
+def test_token_counts_of_a_long_text(spark):
+    text = "".join(f"line {k} of a long text\n" for k in range(60_000))
+    got = token_counts.count_tokens(docs(spark, [text, text]), public_tokenizers.path("byte_bpe_50k.tiktoken")).groupBy("doc_id").agg(F.count("section").alias("s"), F.sum("n_tokens").alias("n"), F.max("end").alias("e")).collect()
+    n = len(bpe.Codec(public_tokenizers.path("byte_bpe_50k.json")).encode(text)[0])
+    assert [(r["s"], r["n"], r["e"]) for r in got] == [(60_001, n, len(text))] * 2
+
+
 def test_token_counts_add_up(spark, data):
     got = op8_token_counts(spark, data).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
     codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
