@@ -46,32 +46,36 @@ def correlation_p(r: float, n: int) -> float | None:
     return beta_inc((n - 2) / 2.0, 0.5, max(0.0, 1.0 - r * r))
 
 
-@lru_cache(256)
-def rank_sum_counts(n1: int, n2: int) -> tuple[float, ...]:
+#: Values of U, n1 * n2 of them, up to which the exact distribution is written out: 64 MB.
+EXACT_VALUES = 8_000_000
+
+
+@lru_cache(4)
+def rank_sum_counts(n1: int, n2: int) -> np.ndarray:
     """How many arrangements give each U, for sizes n1 and n2 without ties."""
     ways = np.zeros(n1 * n2 + 1)
     ways[0] = 1.0
     for k in range(1, n1 + 1):  # times (1 - q^(n2 + k)) / (1 - q^k)
         if n2 + k < len(ways):
             ways[n2 + k :] -= ways[: len(ways) - n2 - k].copy()
-        for u in range(k, len(ways)):
-            ways[u] += ways[u - k]
-    return tuple(ways)
+        for first in range(k):
+            ways[first::k] = np.cumsum(ways[first::k])
+    return ways
 
 
 def mann_whitney_p(u1: float, n1: int, n2: int, ties: float) -> float | None:
     """Two-sided p of U1; ties is the sum of t^3 - t over groups of equal values.
 
-    Exact if the smaller sample has at most 8 values and none tie, else the normal
-    approximation with continuity and tie correction.
+    Exact if the smaller sample has at most 8 values, none tie and U has at most
+    EXACT_VALUES values (the other sample a million or more), else the normal
+    approximation with continuity and tie correction, which is as good there.
     """
     if not n1 or not n2:
         return None
     u = max(u1, n1 * n2 - u1)
-    if min(n1, n2) <= 8 and not ties and n1 * n2 <= 100_000:
+    if min(n1, n2) <= 8 and not ties and n1 * n2 <= EXACT_VALUES:
         ways = rank_sum_counts(min(n1, n2), max(n1, n2))
-        tail = sum(ways[math.ceil(u) :])
-        return min(1.0, 2.0 * tail / sum(ways))
+        return min(1.0, float(2.0 * ways[math.ceil(u) :].sum() / ways.sum()))
     n = n1 + n2
     var = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))
     if var <= 0:

@@ -38,7 +38,7 @@ class CPOptions:
 
 def shape_of(coo: DataFrame) -> tuple[int, ...]:
     """The extent of each mode."""
-    modes = [c for c in coo.columns if c.startswith("m") and c[1:].isdigit()]
+    modes = sorted((c for c in coo.columns if c.startswith("m") and c[1:].isdigit()), key=lambda c: int(c[1:]))
     top = coo.agg(*[F.max(m) for m in modes]).first()
     return tuple(int(n) + 1 if n is not None else 0 for n in top)
 
@@ -73,7 +73,7 @@ def fit_starts(spark: SparkSession, x: np.ndarray, tasks: dict[str, list[int] |
             for task, seed in zip(b.column("task").to_pylist(), b.column("seed").to_pylist()):
                 chosen = members[task]
                 fit = kernel.decompose(whole if chosen is None else whole[chosen], rank, options.max_iter, options.tol, seed)
-                state = kernel.status(fit, options.max_iter)
+                state = kernel.status(fit.errors, [f.T @ f for f in fit.factors], options.max_iter)
                 head = [task, seed, state, len(fit.errors), fit.errors[-1] if fit.errors else None]
                 if state == "accepted":
                     rows = [(*head, m, i, f[i].tolist()) for m, f in enumerate(fit.factors) for i in range(len(f))]
@@ -113,18 +113,19 @@ def cp(coo: DataFrame, rank: int, options: CPOptions = CPOptions(), task_bytes:
             raise ConvergenceError(f"none of {options.starts} starts was accepted: {[tuple(r) for r in fits(results).groupBy('status').count().collect()]}")
         return best
     found = [cp_table(coo, rank, options, seed) for seed in range(options.starts)]
-    good = [(errors[-1], seed, factors) for seed, (factors, errors) in enumerate(found) if len(errors) < options.max_iter]
+    states = [kernel.status(errors, [linalg.gram_matrix(f, rank) for f in factors], options.max_iter) for factors, errors in found]
+    good = [(found[seed][1][-1], seed) for seed, state in enumerate(states) if state == "accepted"]
     if not good:
-        raise ConvergenceError(f"none of {options.starts} starts was accepted")
-    error, seed, factors = min(good, key=lambda g: g[:2])
-    parts = [f.select(F.lit("all").alias("task"), F.lit(seed).alias("seed"), F.lit("accepted").alias("status"), F.lit(len(found[seed][1])).alias("n_iter"), F.lit(error).alias("error"), F.lit(m).alias("mode"), "idx", "row") for m, f in enumerate(factors)]
+        raise ConvergenceError(f"none of {options.starts} starts was accepted: {states}")
+    error, seed = min(good)
+    factors, errors = found[seed]
+    parts = [f.select(F.lit("all").alias("task"), F.lit(seed).alias("seed"), F.lit("accepted").alias("status"), F.lit(len(errors)).alias("n_iter"), F.lit(error).alias("error"), F.lit(m).alias("mode"), "idx", "row") for m, f in enumerate(factors)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def start_table(spark: SparkSession, n: int, rank: int, seed: int, mode: int) -> DataFrame:
-    """Random rows for a long mode: a function of seed, mode, index and component alone."""
-    cell = lambda r: (F.xxhash64(F.lit(seed), F.lit(mode), F.lit(r), F.col("id")).bitwiseAND((1 << 53) - 1)) / float(1 << 53)
-    return spark.range(n).select(F.col("id").cast("int").alias("idx"), F.array(*[cell(r) for r in range(rank)]).alias("row"))
+    """The same start as kernel.start, as a table."""
+    return spark.range(n).select(F.col("id").cast("int").alias("idx"), F.array(*[kernel.drawn(F.col("id"), F.lit(r).cast("long"), mode, seed) for r in range(rank)]).alias("row"))
 
 
 def cp_table(coo: DataFrame, rank: int, options: CPOptions = CPOptions(), seed: int = 0, init: list[DataFrame] | None = None) -> tuple[list[DataFrame], list[float]]:

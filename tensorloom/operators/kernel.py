@@ -17,10 +17,22 @@ class Fit:
     errors: list[float] = field(default_factory=list)
 
 
+#: Modulus and steps of the hash that starts are drawn by; whole numbers of 63 bits hold all products.
+PRIME, STEPS, ROUNDS = (1 << 31) - 1, (1_000_003, 7919, 104_729, 15_485_863), 4
+
+
+def drawn(idx, r, mode: int, seed: int):
+    """A number in [0, 1) for a cell of a start, by arithmetic that arrays, Spark columns and SQL share."""
+    a, b, c, d = STEPS
+    u = (idx * a + r * b + (mode * c + seed * d + 11)) % PRIME
+    for k in range(ROUNDS):
+        u = (u * u + u * 48_271 + 12_345 * (k + 1)) % PRIME
+    return u / float(PRIME)
+
+
 def start(shape: tuple[int, ...], rank: int, seed: int) -> list[np.ndarray]:
-    """Random factors in [0, 1): one generator for a seed, modes drawn in order."""
-    rng = np.random.RandomState(seed)
-    return [rng.random_sample((n, rank)) for n in shape]
+    """Random factors in [0, 1), a function of seed, mode, index and component alone."""
+    return [drawn(np.arange(n, dtype=np.int64)[:, None], np.arange(rank, dtype=np.int64)[None, :], m, seed) for m, n in enumerate(shape)]
 
 
 def product(x: np.ndarray, factors: list[np.ndarray], mode: int) -> np.ndarray:
@@ -62,44 +74,56 @@ def decompose(x: np.ndarray, rank: int, max_iter: int = 500, tol: float = 1e-5,
     return fit
 
 
-def degeneracy(factors: list[np.ndarray]) -> float:
-    """Least product over the modes of the cosines of two components; 1 for a single component."""
-    total = 1.0
-    for f in factors:
-        norm = np.linalg.norm(f, axis=0)
-        unit = f / np.where(norm > 0, norm, 1.0)
-        total = total * (unit.T @ unit)
-    off = np.asarray(total)[~np.eye(factors[0].shape[1], dtype=bool)]
+def degeneracy(grams: list[np.ndarray]) -> float:
+    """Least product over the modes of the cosines of two components, from the modes' Grams; 1 for a single component."""
+    total = np.ones_like(grams[0])
+    for g in grams:
+        norm = np.sqrt(np.diag(g))
+        norm = np.where(norm > 0, norm, 1.0)
+        total = total * (g / norm[:, None] / norm[None, :])
+    off = total[~np.eye(len(total), dtype=bool)]
     return float(off.min()) if off.size else 1.0
 
 
-def status(fit: Fit, max_iter: int) -> str:
+def status(errors: list[float], grams: list[np.ndarray], max_iter: int) -> str:
     """accepted, or why not: a start that used all iterations counts as not converged."""
-    if len(fit.errors) > max_iter - 1:
+    if errors and not np.isfinite(errors[-1]):
+        return "not finite"
+    if len(errors) > max_iter - 1:
         return "not converged"
-    return "degenerate" if degeneracy(fit.factors) < -0.85 else "accepted"
+    return "degenerate" if degeneracy(grams) < -0.85 else "accepted"
 
 
 def match_score(cosines: np.ndarray) -> tuple[float, list[int]]:
     """Best one-to-one matching of components: mean product of |cosines| over the modes (modes x R x R).
 
-    Exact, by dynamic programming over sets of columns; of equal matchings the first in
-    lexicographic order.
+    Exact, by the Hungarian method: rows are matched one after another along shortest
+    augmenting paths over reduced costs, in O(R^3).
     """
     c = np.abs(np.asarray(cosines)).prod(axis=0)
-    rank = len(c)
-    layer = best = {0: 0.0}
-    for r in range(rank - 1, -1, -1):  # best[used]: rows r.. matched, with these columns
-        above: dict[int, float] = {}
-        for used, value in layer.items():
-            for s in range(rank):
-                if not used >> s & 1:
-                    key = used | 1 << s
-                    above[key] = max(above.get(key, -1.0), value + c[r, s])
-        layer, best = above, best | above
-    order, left = [], (1 << rank) - 1
-    for r in range(rank):
-        pick = next(s for s in range(rank) if left >> s & 1 and best[left] == best[left & ~(1 << s)] + c[r, s])
-        order.append(pick)
-        left &= ~(1 << pick)
+    cost, rank = -c, len(c)
+    row_price, col_price = np.zeros(rank), np.zeros(rank)
+    row_of = np.full(rank, -1)
+    for row in range(rank):
+        least, came, done = np.full(rank, np.inf), np.full(rank, -1), np.zeros(rank, bool)
+        path, col, far, r = [], -1, 0.0, row
+        while True:  # grow the tree of tight edges until it meets a free column
+            reach = far + cost[r] - row_price[r] - col_price
+            better = ~done & (reach < least)
+            least[better], came[better] = reach[better], col
+            col = int(np.where(done, np.inf, least).argmin())
+            far, r = least[col], row_of[col]
+            done[col] = True
+            path.append(col)
+            if r < 0:
+                break
+        for k in path[:-1]:
+            row_price[row_of[k]] += far - least[k]
+            col_price[k] -= far - least[k]
+        row_price[row] += far
+        while col >= 0:
+            before = came[col]
+            row_of[col] = row_of[before] if before >= 0 else row
+            col = before
+    order = np.argsort(row_of).tolist()
     return float(c[np.arange(rank), order].mean()), order

@@ -98,6 +98,12 @@ def reconstruct(coo: DataFrame, factors: list[DataFrame]) -> DataFrame:
     return coo.withColumn("x_hat", value).drop(*[f"_f{k}" for k in range(len(factors))])
 
 
+def gram_cells(factor: DataFrame) -> DataFrame:
+    """r, s, value: the Gram of a factor (idx, row) of any number of columns, added up cell by cell before the shuffle."""
+    cells = factor.select("row", F.posexplode("row").alias("r", "_a")).select("r", "_a", F.posexplode("row").alias("s", "_b"))
+    return cells.groupBy("r", "s").agg(F.sum(F.col("_a") * F.col("_b")).alias("value"))
+
+
 def congruence(a: DataFrame, b: DataFrame, keys: list[str], rank: int) -> DataFrame:
     """keys, cosines: for rows (keys, idx, row) of two models, the R x R cosines of their columns.
 

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from ..schema import ConvergenceError
 from ..session import settled
 from . import kernel, linalg
-from .cp import TASK_BYTES, CPOptions, best_start, check_tensor, dense, fit_starts, shape_of
+from .cp import TASK_BYTES, CPOptions, best_start, check_tensor, cp, dense, fit_starts, shape_of
+from .tensorize import gather_rows
 
 
 def mixed(idx: Column, round_: Column, seed: int = 0) -> Column:
@@ -96,6 +97,12 @@ def cv_pairs(splits: int, repeats: int, spark) -> DataFrame:
     return folds.join(other, "repeat").where("fold_i < fold_j")
 
 
+def common_members(members: DataFrame, pairs: DataFrame, group: str, member: str) -> DataFrame:
+    """fold_i, fold_j and the members that both groups of each pair hold."""
+    sides = [members.select(F.col(group).alias(side), member) for side in ("fold_i", "fold_j")]
+    return sides[0].join(pairs, "fold_i").join(sides[1], ["fold_j", member]).select("fold_i", "fold_j", member)
+
+
 @F.pandas_udf(T.DoubleType())
 def matched(cosines: pd.Series, rank: pd.Series) -> pd.Series:
     return pd.Series([kernel.match_score(np.array([list(m) for m in c]).reshape(-1, int(r), int(r)))[0] for c, r in zip(cosines, rank)], dtype="float64")
@@ -161,27 +168,43 @@ class CrossValidation:
         named = named.withColumn("fold", F.split("task", ":")[0].cast("int")).select("fold", "mode", "idx", "row")
         a = named.withColumnRenamed("fold", "fold_i").join(pairs, "fold_i")
         b = named.withColumnRenamed("fold", "fold_j").join(pairs, "fold_j")
-        both = a.where("mode = 0").select("fold_i", "fold_j", "idx").join(b.where("mode = 0").select("fold_i", "fold_j", "idx"), ["fold_i", "fold_j", "idx"])
+        both = common_members(named.where("mode = 0").select("fold", "idx"), pairs, "fold", "idx")
         common = both.groupBy("fold_i", "fold_j").agg(F.array_sort(F.collect_list("idx")).alias("common"))
         scores = factor_match(a, b, ["fold_i", "fold_j"], rank)
         return common.join(scores, ["fold_i", "fold_j"]).select("common", "fold_i", "fold_j", "score")
 
 
-def evaluate(engine: Engine, coo: DataFrame, rank: int, strata: DataFrame | None = None, options: CPOptions = CPOptions()) -> DataFrame:
+#: Bytes that a sample of a task takes on the driver, about.
+MEMBER_BYTES = 64
+
+
+def _table_models(coo: DataFrame, tasks: DataFrame, rank: int, options: CPOptions, task_bytes: int) -> DataFrame:
+    """task, mode, idx, row of the best start of each task, decomposed one task after another."""
+    models = None
+    for a, b in sorted(tasks.select("task_a", "task_b").distinct().collect()):  # as many as there are tasks
+        mine = tasks.where((F.col("task_a") == a) & (F.col("task_b") == b)).select(F.lit(0).alias("task"), "pos", "sample_idx")
+        best = cp(gather_rows(coo, mine).drop("task"), rank, options, task_bytes)
+        rows = best.select(F.lit(f"{a}:{b}").alias("task"), "mode", "idx", "row")
+        models = rows if models is None else models.unionByName(rows)
+    return models
+
+
+def evaluate(engine: Engine, coo: DataFrame, rank: int, strata: DataFrame | None = None, options: CPOptions = CPOptions(), task_bytes: int = TASK_BYTES) -> DataFrame:
     """Scores of the engine's comparison for a tensor whose mode 0 are the samples.
 
-    strata: sample_idx, stratum (default: one class). Every task's starts run side by
-    side; a task without an accepted start raises ConvergenceError. The tensor has to fit
-    a task (its size is checked): a resampled model needs nearly all of it.
+    strata: sample_idx, stratum (default: one class). A task without an accepted start
+    raises ConvergenceError. Where tensor and tasks fit a worker (their sizes are checked)
+    every task's starts run side by side; else each task's rows are gathered as a table
+    and decomposed by cp, which starts alike in both ways.
     """
     coo = settled(coo, "tensor")
     check_tensor(coo)
     shape = shape_of(coo)
-    if 8 * np.prod(shape, dtype=float) > TASK_BYTES:
-        raise ValueError(f"a tensor of shape {shape} is too large for resampling in tasks")
     samples = strata if strata is not None else coo.select(F.col("m0").alias("sample_idx")).distinct().withColumn("stratum", F.lit("all"))
     tasks = settled(engine.tasks(samples), "tasks")
-    members: dict[str, list[int]] = {}  # tasks times samples: a mode that fits a worker
+    if max(8 * np.prod(shape, dtype=float), MEMBER_BYTES * tasks.count()) > task_bytes:
+        return engine.compare(_table_models(coo, tasks, rank, options, task_bytes), tasks, rank)
+    members: dict[str, list[int]] = {}
     for a, b, _, i in tasks.select("task_a", "task_b", "pos", "sample_idx").orderBy("task_a", "task_b", "pos").collect():
         members.setdefault(f"{a}:{b}", []).append(i)
     results = settled(fit_starts(coo.sparkSession, dense(coo, shape), members, rank, options), "cp-starts")

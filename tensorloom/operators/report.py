@@ -85,8 +85,9 @@ def _per(rank: int, make) -> DataFrame:
 
 def component_correlations(table: DataFrame, rank: int, group: str) -> DataFrame:
     """Regressions by group of component_y on component_x for every ordered pair of components."""
-    cells = F.array(*[F.struct(F.lit(a).alias("component_x"), F.lit(b).alias("component_y"), F.col(f"comp_{a}").alias("x"), F.col(f"comp_{b}").alias("y")) for a in range(rank) for b in range(rank) if a != b])
-    return regressions(table.select(group, F.inline(cells)), ["component_x", "component_y", group], "x", "y")
+    held = table.select(group, F.array(*[F.col(f"comp_{a}").cast("double") for a in range(rank)]).alias("_c"))
+    pairs = held.select(group, "_c", F.posexplode("_c").alias("component_x", "x")).select(group, "component_x", "x", F.posexplode("_c").alias("component_y", "y"))
+    return regressions(pairs.where("component_x != component_y"), ["component_x", "component_y", group], "x", "y")
 
 
 def scatter_to_grid(values: DataFrame, index: DataFrame, tissue: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.pvalues import rank_test_p, regression_p
 from ..functions.tracer import stars
 from ..schema import known
+from ..session import settled
 from .linalg import first_position
 
 
@@ -32,14 +33,31 @@ def colour_limits(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def average_rank(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """df with rank_avg, the mean rank of equal values within by.
 
-    Ranks come from the counts of distinct values, so rows themselves are never sorted in one task.
+    Ranks come from the counts of distinct values, added up in ranges of values.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(*by, value, (before + (F.col("_n") + 1) / 2.0).alias("rank_avg"))
+    ranks = sums_before(counts, by, value, _below="_n").select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias("rank_avg"))
     return df.join(ranks, [*by, value])
 
 
+def sums_before(df: DataFrame, by: list[str], order: str, **sums: str) -> DataFrame:
+    """df with new columns: for each name=column the sum of column over the rows of `by` with a smaller `order`.
+
+    Rows are dealt out by ranges of (by, order), summed inside each range, and the ranges'
+    totals, one row for each, are added up; so a group of any size is the work of many
+    tasks. `order` is unique in `by`.
+    """
+    ranged = settled(df.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    here = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_total_{name}") for name, c in sums.items()])
+    starts = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)).alias(f"_start_{name}") for name in sums])
+    found = ranged.join(starts, [*by, "_range"])
+    for name, c in sums.items():
+        found = found.withColumn(name, F.coalesce(F.sum(c).over(here), F.lit(0)) + F.col(f"_start_{name}"))
+    return found.drop("_range", *[f"_start_{name}" for name in sums])
+
+
 def rank_tests(df: DataFrame, category: str, value: str, order: list[str]) -> DataFrame:
     """category_a, category_b, n_a, n_b, u, p, star for all pairs, in order of first appearance.
 
@@ -52,14 +70,13 @@ def rank_tests(df: DataFrame, category: str, value: str, order: list[str]) -> Da
     named = first_position(held, category, order).join(sizes, category)
     a = named.select(F.col(category).alias("category_a"), F.col("pos").alias("_pa"), F.col("n").alias("n_a"))
     b = named.select(F.col(category).alias("category_b"), F.col("pos").alias("_pb"), F.col("n").alias("n_b"))
-    pairs = a.join(b, F.col("_pa") < F.col("_pb")).drop("_pa", "_pb")
-    member = (F.col(category) == F.col("category_a")) | (F.col(category) == F.col("category_b"))
+    pairs = b.where("_pb > 0").withColumn("_pa", F.explode(F.sequence(F.lit(0), F.col("_pb") - 1))).join(a, "_pa").drop("_pa", "_pb")
     keys = ["category_a", "category_b", "n_a", "n_b"]
-    is_a = F.col(category) == F.col("category_a")
-    pooled = hist.join(pairs, member).groupBy(*keys, "_x").agg(F.sum(F.when(is_a, F.col("_n")).otherwise(0)).alias("_a"), F.sum(F.when(is_a, 0).otherwise(F.col("_n"))).alias("_b"))
-    below = F.coalesce(F.sum("_b").over(Window.partitionBy("category_a", "category_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sides = F.inline(F.array(F.struct(F.col("category_a").alias(category), F.lit(True).alias("_is_a")), F.struct(F.col("category_b").alias(category), F.lit(False).alias("_is_a"))))
+    member = hist.join(pairs.select(*keys, sides), category)
+    pooled = member.groupBy(*keys, "_x").agg(F.sum(F.when(F.col("_is_a"), F.col("_n")).otherwise(0)).alias("_a"), F.sum(F.when(F.col("_is_a"), 0).otherwise(F.col("_n"))).alias("_b"))
     t = F.col("_a") + F.col("_b")
-    u = pooled.withColumn("_below", below).groupBy(*keys).agg(
+    u = sums_before(pooled, ["category_a", "category_b"], "_x", _below="_b").groupBy(*keys).agg(
         F.sum(F.col("_a") * (F.col("_below") + F.col("_b") / 2.0)).alias("u"), F.sum((t * t * t - t).cast("double")).alias("_ties")
     )
     tested = u.withColumn("p", rank_test_p("u", "n_a", "n_b", "_ties"))

@@ -115,4 +115,5 @@ def from_numpy(spark, array: np.ndarray) -> DataFrame:
 
 def gather_rows(coo: DataFrame, tasks: DataFrame) -> DataFrame:
     """The sub-tensor of each task: rows m0 = sample_idx renumbered to the task's pos."""
-    return coo.join(tasks, coo.m0 == tasks.sample_idx).drop("m0", "sample_idx").withColumnRenamed("pos", "m0")
+    found = coo.join(tasks, coo.m0 == tasks.sample_idx).drop("m0", "sample_idx").withColumnRenamed("pos", "m0")
+    return found.select(*[c for c in tasks.columns if c not in ("pos", "sample_idx")], *coo.columns)

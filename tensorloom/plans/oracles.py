@@ -122,7 +122,7 @@ SQL = {
     "common_subjects": """WITH y AS (SELECT DISTINCT year(o_orderdate) AS y, o_custkey AS c FROM orders)
         SELECT a.y::BIGINT AS year_a, b.y::BIGINT AS year_b, count(*) AS n_common, sum(a.c)::BIGINT AS key_sum FROM y a JOIN y b ON a.c = b.c AND a.y < b.y GROUP BY ALL""",
     "mode_scale": f"WITH {EMB} SELECT vec_id::BIGINT AS vec_id, dim::BIGINT AS dim, round(value / nullif(sqrt(sum(value * value) OVER (PARTITION BY dim)), 0), 8) + 0.0 AS value FROM e",
-    "gram": f"WITH {EMB} SELECT p.dim::BIGINT AS r, q.dim::BIGINT AS s, round(sum(p.value * q.value), 6) + 0.0 AS value FROM e p JOIN e q USING (vec_id) WHERE p.dim < 4 AND q.dim < 4 GROUP BY ALL",
+    "gram": f"WITH {EMB} SELECT p.dim::BIGINT AS r, q.dim::BIGINT AS s, round(sum(p.value * q.value), 6) + 0.0 AS value FROM e p JOIN e q USING (vec_id) GROUP BY ALL",
     "mttkrp": f"WITH {MT} SELECT idx, r, round(value, 4) + 0.0 AS value FROM mt",
     "mu_step": MU,
     "cp_norm_error": f"""WITH {COO}, d AS (SELECT x, {fac("m0", "0")} * {fac("m1", "0")} * {fac("m2", "0")} + {fac("m0", "1")} * {fac("m1", "1")} * {fac("m2", "1")} AS y FROM t)
@@ -157,7 +157,7 @@ SQL = {
         s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem)
         SELECT l_returnflag, step, round(lo + step * (hi - lo) / 49.0::DOUBLE, 6) + 0.0 AS x, round(m * (lo + step * (hi - lo) / 49.0::DOUBLE) + b, 2) + 0.0 AS y_hat FROM f, s, (SELECT unnest(range(0, 50)) AS step)""",
     "component_pairs": f"""WITH {EMB} SELECT p.dim::BIGINT AS component_x, q.dim::BIGINT AS component_y, p.label::BIGINT AS label, count(*) AS n, round(regr_slope(q.value, p.value), 6) + 0.0 AS slope,
-        round(corr(q.value, p.value) * corr(q.value, p.value), 6) + 0.0 AS r2 FROM e p JOIN e q USING (vec_id) WHERE p.dim < 4 AND q.dim < 4 AND p.dim <> q.dim GROUP BY ALL""",
+        round(corr(q.value, p.value) * corr(q.value, p.value), 6) + 0.0 AS r2 FROM e p JOIN e q USING (vec_id) WHERE p.dim <> q.dim GROUP BY ALL""",
     "voxel_scatter": f"WITH {INDEX} SELECT r, i::BIGINT AS i, j::BIGINT AS j, k::BIGINT AS k, round(value, 8) + 0.0 AS value FROM sc JOIN vi USING (l) WHERE is_csf",
     "slice_rot90": f"WITH {INDEX} SELECT r, k::BIGINT AS slice, (12 - j)::BIGINT AS row, i::BIGINT AS col, value FROM sm JOIN vi USING (l)",
     "spatial_limits": f"""WITH {INDEX} SELECT CASE WHEN is_csf THEN 'csf' ELSE 'parenchyma' END AS tissue, r, round(quantile_cont(value, 0.05), 8) + 0.0 AS vmin, round(quantile_cont(value, 0.95), 8) + 0.0 AS vmax
@@ -166,7 +166,7 @@ SQL = {
         SELECT r, t, round(value, 6) + 0.0 AS value, -0.1::DOUBLE AS y_low, round(1.1::DOUBLE * max(value) OVER (), 6) + 0.0 AS y_high FROM s""",
     "star_labels": """WITH p AS (SELECT s_suppkey::BIGINT AS s_suppkey, abs(s_acctbal) / 100000.0::DOUBLE AS p FROM supplier)
         SELECT s_suppkey, p, CASE WHEN p <= 1e-4 THEN '****' WHEN p <= 1e-3 THEN '***' WHEN p <= 1e-2 THEN '**' WHEN p <= 0.05 THEN '*' ELSE 'ns' END AS star FROM p""",
-    "volume_scan": """SELECT p_brand AS volume_id, (p_size % 16)::BIGINT AS i, (p_partkey % 7)::BIGINT AS j, (p_partkey % 5)::BIGINT AS k, max(p_retailprice) AS value FROM part GROUP BY ALL""",
+    "volume_scan": """SELECT 'slab' || (p_partkey // 143 // 16) AS volume_id, (p_partkey % 11)::BIGINT AS i, (p_partkey // 11 % 13)::BIGINT AS j, (p_partkey // 143 % 16)::BIGINT AS k, p_retailprice AS value FROM part""",
 }
 
 

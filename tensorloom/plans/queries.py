@@ -151,10 +151,11 @@ def union_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 def common_subjects(spark: SparkSession, d: str) -> DataFrame:
     """Customers seen in both of two years, for each pair of years."""
-    years = table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), F.col("o_custkey").alias("c")).distinct()
-    other = years.select(F.col("y").alias("y2"), "c")
-    rows = years.join(other, "c").where("y < y2").groupBy("y", "y2").agg(F.count(F.lit(1)).alias("n_common"), F.sum("c").alias("key_sum"))
-    return typed(rows.withColumnsRenamed({"y": "year_a", "y2": "year_b"}), year_a="bigint", year_b="bigint", n_common="bigint", key_sum="bigint")
+    members = table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), F.col("o_custkey").alias("c")).distinct()
+    years = members.groupBy(F.lit(0).alias("all")).agg(F.sort_array(F.collect_set("y")).alias("ys"))  # a few years
+    pairs = years.select("ys", F.explode("ys").alias("fold_i")).select("fold_i", F.explode("ys").alias("fold_j")).where("fold_i < fold_j")
+    rows = rep.common_members(members, pairs, "y", "c").groupBy("fold_i", "fold_j").agg(F.count(F.lit(1)).alias("n_common"), F.sum("c").alias("key_sum"))
+    return typed(rows.withColumnsRenamed({"fold_i": "year_a", "fold_j": "year_b"}), year_a="bigint", year_b="bigint", n_common="bigint", key_sum="bigint")
 
 
 def embedding_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -168,8 +169,8 @@ def mode_scale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gram(spark: SparkSession, d: str) -> DataFrame:
-    packed = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("row"))
-    return typed(linalg.gram(packed, 4), r="bigint", s="bigint", value="double").withColumn("value", rounded("value"))
+    packed = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.transform("embedding", lambda v: v.cast("double")).alias("row"))
+    return typed(linalg.gram_cells(packed), r="bigint", s="bigint", value="double").withColumn("value", rounded("value"))
 
 
 def mttkrp(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +233,9 @@ def cp_table_fit(spark: SparkSession, d: str) -> DataFrame:
     return typed(out, mode="bigint", idx="bigint", r="bigint", value="double", error="double")
 
 
-N_LABELS = 10
+def n_labels(spark: SparkSession, d: str) -> int:
+    """Labels of the embeddings, numbered from 0."""
+    return (table(spark, d, "embeddings").agg(F.max("label")).first()[0] or 0) + 1
 
 
 def label_model(spark: SparkSession, d: str, stat: str = "avg") -> DataFrame:
@@ -240,30 +243,30 @@ def label_model(spark: SparkSession, d: str, stat: str = "avg") -> DataFrame:
     cells = embedding_cells(spark, d)
     value = F.avg("value") if stat == "avg" else F.max("value")
     by = cells.groupBy("dim", "label").agg(value.alias("value"))
-    row = F.array(*[F.coalesce(F.max(F.when(F.col("label") == r, F.col("value"))), F.lit(0.0)) for r in range(N_LABELS)])
+    row = F.array(*[F.coalesce(F.max(F.when(F.col("label") == r, F.col("value"))), F.lit(0.0)) for r in range(n_labels(spark, d))])
     return by.groupBy(F.col("dim").alias("idx")).agg(row.alias("row")).withColumns({"pair": F.lit(1), "mode": F.lit(0)})
 
 
-def _cosines(cos: DataFrame) -> DataFrame:
-    rows = cos.select(F.posexplode("cosines").alias("p", "cosine"))
-    rows = rows.select(F.floor(F.col("p") / N_LABELS).alias("r"), (F.col("p") % N_LABELS).alias("s"), "cosine")
+def _cosines(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
+    rows = linalg.congruence(a, b, ["pair", "mode"], n).select(F.posexplode("cosines").alias("p", "cosine"))
+    rows = rows.select(F.floor(F.col("p") / n).alias("r"), (F.col("p") % n).alias("s"), "cosine")
     return typed(rows, r="bigint", s="bigint", cosine="double").withColumn("cosine", rounded("cosine"))
 
 
 def congruence(spark: SparkSession, d: str) -> DataFrame:
-    return _cosines(linalg.congruence(label_model(spark, d), label_model(spark, d, "max"), ["pair", "mode"], N_LABELS))
+    return _cosines(label_model(spark, d), label_model(spark, d, "max"), n_labels(spark, d))
 
 
 def degeneracy(spark: SparkSession, d: str) -> DataFrame:
     a = label_model(spark, d)
-    rows = _cosines(linalg.congruence(a, a, ["pair", "mode"], N_LABELS)).where("r != s")
+    rows = _cosines(a, a, n_labels(spark, d)).where("r != s")
     return rows.agg(F.min("cosine").alias("degeneracy"))
 
 
 def _fms(other: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         a = label_model(spark, d)
-        found = rep.factor_match(a, other(a), ["pair"], N_LABELS)
+        found = rep.factor_match(a, other(a), ["pair"], n_labels(spark, d))
         return typed(found, pair="bigint", score="double").withColumn("score", rounded("score"))
 
     return query
@@ -300,18 +303,21 @@ def cv_fold_sizes(spark: SparkSession, d: str) -> DataFrame:
 def cv_pairs(spark: SparkSession, d: str) -> DataFrame:
     """For each pair of folds of one repeat, the samples that both train sets hold."""
     tasks = rep.cv_tasks(samples(spark, d), 5, 2)
-    a = tasks.select(F.col("task_a").alias("fold_i"), "task_b", "sample_idx")
-    b = tasks.select(F.col("task_a").alias("fold_j"), "task_b", "sample_idx")
-    rows = a.join(b, ["task_b", "sample_idx"]).where("fold_i < fold_j").groupBy("fold_i", "fold_j").agg(F.count(F.lit(1)).alias("n_common"))
+    both = rep.common_members(tasks, rep.cv_pairs(5, 2, spark).drop("repeat"), "task_a", "sample_idx")
+    rows = both.groupBy("fold_i", "fold_j").agg(F.count(F.lit(1)).alias("n_common"))
     return typed(rows, fold_i="bigint", fold_j="bigint", n_common="bigint")
 
 
+#: Ten starts for each of the 20 halves and the 10 train sets.
+SCORED = cps.CPOptions(starts=10)
+
+
 def fms_half(spark: SparkSession, d: str) -> DataFrame:
-    return rep.evaluate(rep.HalfHalf(2), coo(spark, d), RANK, options=cps.CPOptions(max_iter=1000, starts=2))
+    return rep.evaluate(rep.HalfHalf(10), coo(spark, d), RANK, options=SCORED)
 
 
 def fms_cv(spark: SparkSession, d: str) -> DataFrame:
-    return rep.evaluate(rep.CrossValidation(3, 1), coo(spark, d), RANK, options=cps.CPOptions(max_iter=1000, starts=2))
+    return rep.evaluate(rep.CrossValidation(5, 2), coo(spark, d), RANK, options=SCORED)
 
 
 def nation_mode(spark: SparkSession, d: str) -> DataFrame:
@@ -389,13 +395,16 @@ def regression_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 def component_pairs(spark: SparkSession, d: str) -> DataFrame:
-    comps = [F.get("embedding", F.lit(k)).cast("double").alias(f"comp_{k}") for k in range(4)]
-    rows = report.component_correlations(table(spark, d, "embeddings").select("label", *comps), 4, "label")
+    vectors = table(spark, d, "embeddings")
+    n = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    comps = [F.get("embedding", F.lit(k)).alias(f"comp_{k}") for k in range(n)]
+    rows = report.component_correlations(vectors.select("label", *comps), n, "label")
     rows = typed(rows, component_x="bigint", component_y="bigint", label="bigint", n="bigint", slope="double", r2="double")
     return rows.withColumns({c: rounded(c) for c in ("slope", "r2")})
 
 
 SHAPE = (11, 13, 1 << 20)
+SLAB = 16
 
 
 def voxel_index(spark: SparkSession, d: str) -> DataFrame:
@@ -441,18 +450,19 @@ def star_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def volume_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as one image for each brand: built as NIfTI-1 bytes and read back as voxel rows."""
-    cells = table(spark, d, "part").groupBy("p_brand", (F.col("p_size") % 16).alias("i"), (F.col("p_partkey") % 7).alias("j"), (F.col("p_partkey") % 5).alias("k")).agg(F.max("p_retailprice").alias("v"))
+    """Each part as a voxel, in images of SLAB slices: built as NIfTI-1 bytes and read back as voxel rows."""
+    at = voxel_index(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("l"), F.col("p_retailprice").alias("v")), "l")
+    cells = at.select(F.concat(F.lit("slab"), F.floor(F.col("k") / SLAB)).alias("slab"), "i", "j", (F.col("k") % SLAB).alias("k"), "v")
 
     def image(key, pdf):
         import pandas as pd
 
-        out = np.zeros((16, 7, 5))
+        out = np.full((11, 13, SLAB), np.nan)
         out[pdf.i, pdf.j, pdf.k] = pdf.v
         return pd.DataFrame({"volume_id": [key[0]], "content": [nifti.build(out)]})
 
-    images = cells.groupBy("p_brand").applyInPandas(image, "volume_id string, content binary")
-    return typed(nifti.voxels_of(images).where("value != 0"), volume_id="string", i="bigint", j="bigint", k="bigint", value="double")
+    images = cells.groupBy("slab").applyInPandas(image, "volume_id string, content binary")  # SLAB * 143 voxels at most
+    return typed(nifti.voxels_of(images).where("NOT isnan(value)"), volume_id="string", i="bigint", j="bigint", k="bigint", value="double")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

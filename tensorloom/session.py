@@ -24,9 +24,11 @@ def session(app: str = "tensorloom", cores_per_task: int = 1, **options: str) ->
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary folder of this session."""
+    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary folder of a local session."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tensorloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -122,6 +122,45 @@ def test_scores(spark):
     assert rep.evaluate(rep.CrossValidation(2, 1), coo, 2, options=options).count() == 0
 
 
+def test_both_ways_start_and_end_alike(spark):
+    """A seed means the same start as arrays and as tables, and so the same model."""
+    want = kernel.start((7, 4), 3, 5)
+    for mode, n in enumerate((7, 4)):
+        got = np.array([r["row"] for r in cp.start_table(spark, n, 3, 5, mode).orderBy("idx").collect()])
+        assert np.array_equal(got, want[mode])
+    cells = kernel.start((20_000,), 3, 1)[0]
+    assert 0 <= cells.min() and cells.max() < 1 and np.allclose(np.histogram(cells, 10)[0] / cells.size, 0.1, atol=0.01)
+    assert np.abs(np.corrcoef(np.c_[cells[:-1], cells[1:], kernel.start((19_999,), 3, 2)[0]].T) - np.eye(9)).max() < 0.05
+    x, _ = planted((4, 3, 3))
+    coo, options = tensorize.from_numpy(spark, x), cp.CPOptions(60, 1, 3e-2)
+    rows = [sorted(map(tuple, cp.cp(coo, 1, options, task_bytes=b).select("n_iter", "mode", "idx", F.round(F.col("row")[0], 8)).collect())) for b in (1 << 20, 0)]
+    assert rows[0] == rows[1]
+
+
+def test_scores_of_a_tensor_that_stays_a_table(spark):
+    x, _ = planted((6, 2, 2))
+    coo, options = tensorize.from_numpy(spark, x), cp.CPOptions(40, 1, 5e-2)
+    small, large = (rep.evaluate(rep.HalfHalf(1), coo, 1, options=options, task_bytes=b).first()["score"] for b in (1 << 20, 0))
+    assert small == pytest.approx(large, abs=1e-8)
+
+
+def test_status_is_told_from_grams():
+    rng = np.random.default_rng(1)
+    a = rng.random((5, 2))
+    opposed = np.c_[a[:, 0], -a[:, 0] + 1e-3 * a[:, 1]]
+    grams = lambda fs: [f.T @ f for f in fs]
+    assert kernel.status([0.5, 0.4], grams([a, a]), 10) == "accepted" and kernel.status([0.5, 0.4], grams([np.c_[a[:, 0], a[:, 0]], opposed, np.c_[a[:, 1], a[:, 1]]]), 10) == "degenerate"
+    assert kernel.status([0.5, float("nan")], grams([a, a]), 10) == "not finite" and kernel.status([0.5] * 10, grams([a, a]), 10) == "not converged"
+
+
+def test_matching_many_components():
+    rng = np.random.default_rng(6)
+    order = rng.permutation(60)
+    c = 0.5 * rng.random((1, 60, 60))
+    c[0, np.arange(60), order] = 0.9
+    assert kernel.match_score(c)[1] == order.tolist()
+
+
 def test_match_is_blind_to_order_and_scale(spark):
     rng = np.random.default_rng(4)
     rows = [(1, m, i, rng.random(3).tolist()) for m in range(2) for i in range(6)]

@@ -37,6 +37,17 @@ def test_published_values():
     assert pvalues.mann_whitney_p(u, n, n, 0) == pytest.approx(0.05, abs=1e-6)
 
 
+def test_sums_over_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v), int(n)) for g in "ab" for v, n in zip(rng.permutation(300), rng.integers(1, 9, 300))]
+    got = stats.sums_before(spark.createDataFrame(rows, "g string, v double, n long"), ["g"], "v", below="n").collect()
+    assert len(got) == 600 and all(r["below"] == sum(n for g, v, n in rows if g == r["g"] and v < r["v"]) for r in got)
+
+
+def test_exact_tests_of_uneven_samples_are_quick():
+    assert pvalues.mann_whitney_p(3 * 200_000.0, 3, 200_000, 0) == pytest.approx(2 / (200_003 * 200_002 * 200_001 / 6))
+
+
 def test_rank_tests_with_ties(spark):
     rows = [(k, g, v) for k, (g, v) in enumerate([("b", 1.0), ("a", 2.0), ("b", 2.0), ("a", 3.0), ("c", 1.0), ("a", None)])]
     got = {(r["category_a"], r["category_b"]): r for r in stats.rank_tests(spark.createDataFrame(rows, "k int, g string, v double"), "g", "v", ["k"]).collect()}
