@@ -166,6 +166,13 @@ SQL = {
         SELECT r, t, round(value, 6) + 0.0 AS value, -0.1::DOUBLE AS y_low, round(1.1::DOUBLE * max(value) OVER (), 6) + 0.0 AS y_high FROM s""",
     "star_labels": """WITH p AS (SELECT s_suppkey::BIGINT AS s_suppkey, abs(s_acctbal) / 100000.0::DOUBLE AS p FROM supplier)
         SELECT s_suppkey, p, CASE WHEN p <= 1e-4 THEN '****' WHEN p <= 1e-3 THEN '***' WHEN p <= 1e-2 THEN '**' WHEN p <= 0.05 THEN '*' ELSE 'ns' END AS star FROM p""",
+    "image_regions": """WITH p AS (SELECT 'slab' || (p_partkey // 143 // 16) AS subject, p_retailprice AS r, p_retailprice + 10.0::DOUBLE * p_size AS s, p_size::DOUBLE AS z, (p_partkey % 6) * 0.5::DOUBLE AS l FROM part WHERE p_size > 10),
+        v AS (SELECT subject, 0 AS t, l, s / r AS value FROM p UNION ALL SELECT subject, 1 AS t, l, 1 / r - 1 / z AS value FROM p)
+        SELECT subject, t::BIGINT AS time_point, round_even(l, 0) AS labels, round(median(value), 6) + 0.0 AS values FROM v WHERE l > 1e-6 GROUP BY subject, t, l""",
+    "plane_pixels": f"""WITH {INDEX}, c AS (SELECT CASE WHEN is_csf THEN 'csf' ELSE 'parenchyma' END AS tissue, r, i, j, k, value FROM sc JOIN vi USING (l) WHERE abs(value) > 1e-8),
+        x AS (SELECT tissue, 0 AS plane, r, 1048575 - k AS row, 12 - j AS col, value FROM c WHERE i = 5 UNION ALL SELECT tissue, 1 AS plane, r, 1048575 - k AS row, i AS col, value FROM c WHERE j = 6
+              UNION ALL SELECT tissue, 2 AS plane, r, 12 - j AS row, i AS col, value FROM c WHERE k = 0)
+        SELECT tissue, plane::BIGINT AS plane, r, row::BIGINT AS row, col::BIGINT AS col, round(value, 8) + 0.0 AS value FROM x""",
     "volume_scan": """SELECT 'slab' || (p_partkey // 143 // 16) AS volume_id, (p_partkey % 11)::BIGINT AS i, (p_partkey // 11 % 13)::BIGINT AS j, (p_partkey // 143 % 16)::BIGINT AS k, p_retailprice AS value FROM part""",
 }
 

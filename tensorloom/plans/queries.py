@@ -16,7 +16,7 @@ from ..functions.tracer import aligned, rot90, stars, tracer, valid_label
 from ..operators import cp as cps
 from ..operators import linalg, report, stats, tensorize
 from ..operators import replicability as rep
-from ..operators.region import region_summary
+from ..operators.region import region_summary, tracer_table
 from ..session import settled
 from ..sources import nifti
 
@@ -465,12 +465,47 @@ def volume_scan(spark: SparkSession, d: str) -> DataFrame:
     return typed(nifti.voxels_of(images).where("NOT isnan(value)"), volume_id="string", i="bigint", j="bigint", k="bigint", value="double")
 
 
+def image_regions(spark: SparkSession, d: str) -> DataFrame:
+    """From images to the long table: each slab of parts is a subject with two time points, a mask and half-way labels."""
+    size = F.col("p_size").cast("double")
+    values = {"retail": F.col("p_retailprice"), "shifted": F.col("p_retailprice") + 10.0 * size, "size": size, "mask": size - 10.0, "regions": (F.col("p_partkey") % 6) * 0.5}
+    names = list(values)
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l"), *[v.cast("double").alias(name) for name, v in values.items()])
+    cells = voxel_index(spark, d).join(parts, "l").withColumns({"slab": F.concat(F.lit("slab"), F.floor(F.col("k") / SLAB)), "k": F.col("k") % SLAB})
+
+    def made(key, pdf):
+        import pandas as pd
+
+        rows = []
+        for name in names:
+            out = np.full((11, 13, SLAB), np.nan)
+            out[pdf.i, pdf.j, pdf.k] = pdf[name]
+            rows.append((f"{key[0]}/{name}", nifti.build(out)))
+        return pd.DataFrame(rows, columns=["volume_id", "content"])
+
+    images = settled(cells.select("slab", "i", "j", "k", *names).groupBy("slab").applyInPandas(made, "volume_id string, content binary"))
+    path = lambda name: F.concat("subject", F.lit(f"/{name}"))
+    subjects = cells.select(F.col("slab").alias("subject")).distinct()
+    jobs = [
+        subjects.select("subject", F.lit(t).alias("time_point"), path(a).alias("baseline_path"), path(b).alias("post_injection_path"), F.lit(kind).alias("signal_type"), path("mask").alias("mask_path"), path("regions").alias("segmentation_path"))
+        for t, (a, b, kind) in enumerate((("retail", "shifted", "T1w"), ("size", "retail", "T1map")))
+    ]
+    found = tracer_table(settled(jobs[0].unionByName(jobs[1])), nifti.voxels_of(images), nifti.volumes_of(images))
+    return typed(found, labels="double", values="double", subject="string", time_point="bigint").withColumn("values", rounded("values"))
+
+
+def plane_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """The pixels of three planes, turned and, for the first, mirrored; those that an overlay shows."""
+    pixels, _ = report.spatial_report(spatial_mode(spark, d), voxel_index(spark, d), SHAPE, (5, 6, 0))
+    return typed(report.overlay(pixels), tissue="string", plane="bigint", r="bigint", row="bigint", col="bigint", value="double").withColumn("value", rounded("value", 8))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         mask_and_label_filter, grid_alignment, group_filter, pivot_first, valid_subjects, label_completeness, tensor_coo, axis_index, row_gather, union_jobs, common_subjects,
         mode_scale, gram, mttkrp, mu_step, cp_norm_error, cp_rank1, cp_best_of_n, cp_table_fit, congruence, degeneracy, half_half_split, half_half_sizes, cv_folds, cv_fold_sizes, cv_pairs,
         fms_half, fms_cv, subject_merge, subject_boxes, box_stats, colour_limits, avg_rank, mann_whitney_u, mann_whitney_p, linregress, regression_test, regression_line, component_pairs,
-        voxel_scatter, slice_rot90, spatial_limits, time_curve, star_labels, volume_scan,
+        voxel_scatter, slice_rot90, spatial_limits, time_curve, star_labels, volume_scan, image_regions, plane_pixels,
     ]
     out = {"tracer_t1map": _signal("T1map"), "tracer_t1w": _signal("T1w")}
     out |= {f"region_{n}": _reduced(f) for n, f in (("median", "median"), ("reduce_mean", "mean"), ("reduce_min", "min"), ("reduce_max", "max"), ("reduce_std", "std"), ("reduce_pct", "p95"), ("udf", np.median))}
