@@ -177,7 +177,8 @@ class Reference(HTMLParser):
         self.text(data)
 
     def handle_entityref(self, name):
-        self.text(html.unescape(f"&{name};"))
+        found = html.unescape(f"&{name};")
+        self.text(f"&{name}" if found.endswith(";") else found)
 
     def handle_charref(self, name):
         self.text(html.unescape(f"&#{name};"))
