@@ -46,6 +46,19 @@ def stars(p: Column) -> Column:
     return out.otherwise("ns")
 
 
+def one_digit(x: Column) -> Column:
+    """The text of a number >= 0 to one significant digit, as %.1g gives it (ties of the digit go up)."""
+    text = F.format_string("%.0e", x)
+    digit, power = F.substring(text, 1, 1), F.substring_index(text, "e", -1).cast("int")
+    plain = F.when(power == 0, digit).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digit))
+    return F.when(x.isNotNull(), F.when((power < -4) | (power > 0), text).otherwise(plain))
+
+
+def fit_text(r2: Column, p: Column) -> Column:
+    """The legend of a regression line; NULL without a test."""
+    return F.when(r2.isNotNull() & p.isNotNull(), F.concat(F.format_string("$R^2=%.2f$, $p=", r2), one_digit(p), F.lit(" $")))
+
+
 def rot90(a: Column, b: Column, height: int, width: int, flip: bool = False) -> tuple[Column, Column]:
     """Where pixel (a, b) of a height x width slice goes under a quarter turn (then mirrored if flip)."""
     return (F.lit(width - 1) - b).cast("int"), ((F.lit(height - 1) - a) if flip else a).cast("int")

@@ -118,7 +118,7 @@ def congruence(a: DataFrame, b: DataFrame, keys: list[str], rank: int) -> DataFr
     return out.select(*keys, F.array(*cos).alias("cosines"))
 
 
-def first_position(df: DataFrame, category: str, order: list[str]) -> DataFrame:
-    """Distinct categories with pos, their rank by first appearance in the stated order."""
-    seen = df.groupBy(category).agg(F.min(F.struct(*order)).alias("_at"))
-    return seen.select(category, (F.row_number().over(Window.orderBy("_at")) - 1).alias("pos"))
+def first_position(df: DataFrame, category: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, distinct categories and pos, their rank by first appearance in the stated order (within `by`)."""
+    seen = df.groupBy(*by, category).agg(F.min(F.struct(*order)).alias("_at"))
+    return seen.select(*by, category, (F.row_number().over(Window.partitionBy(*by).orderBy("_at")) - 1).alias("pos"))

@@ -6,28 +6,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import rank_test_p, regression_p
-from ..functions.tracer import stars
+from ..functions.tracer import fit_text, stars
 from ..schema import known
 from ..session import settled
 from .linalg import first_position
 
 
-def box_stats(df: DataFrame, category: str, value: str) -> DataFrame:
-    """category, n, q1, median, q3, low, high, n_fliers: whiskers reach the last point within 1.5 IQR."""
-    held = df.select(F.col(category), known(F.col(value)).alias("_x")).where("_x IS NOT NULL")
-    q = held.groupBy(category).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(category, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+def percentiles(df: DataFrame, by: list[str], value: str, **shares: float) -> DataFrame:
+    """by, n, a column for each share: that percentile of the known values, linear between neighbours.
+
+    Values are counted, counts are added up in ranges of values, and each share takes the
+    two values at its place; so no task holds a group. Rows without a group are left out.
+    """
+    counts = df.select(*by, known(F.col(value)).alias("_x")).dropna(subset=[*by, "_x"]).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    placed = sums_before(counts, by, "_x", _below="_n")
+    totals = placed.groupBy(*by).agg(F.sum("_n").alias("n"))
+    low = {name: F.floor(F.lit(share) * (F.col("n") - 1)) for name, share in shares.items()}
+    high = {name: F.least(low[name] + 1, F.col("n") - 1) for name in shares}
+    at = lambda place: F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), F.col("_x")))
+    found = placed.join(totals, by).groupBy(*by, "n").agg(*[at(place[name]).alias(f"_{side}_{name}") for side, place in (("low", low), ("high", high)) for name in shares])
+    part = {name: F.lit(share) * (F.col("n") - 1) - low[name] for name, share in shares.items()}
+    return found.select(*by, "n", *[(F.col(f"_low_{name}") + part[name] * (F.col(f"_high_{name}") - F.col(f"_low_{name}"))).alias(name) for name in shares])
+
+
+def box_stats(df: DataFrame, category: str | list[str], value: str) -> DataFrame:
+    """category (one column or several), n, q1, median, q3, low, high, n_fliers: whiskers reach the last point within 1.5 IQR."""
+    keys = [category] if isinstance(category, str) else category
+    held = df.select(*keys, known(F.col(value)).alias("_x")).where("_x IS NOT NULL")
+    q = percentiles(held, keys, "_x", q1=0.25, median=0.5, q3=0.75).drop("n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("_x") >= F.col("q1") - reach) & (F.col("_x") <= F.col("q3") + reach)
-    return held.join(q, category).groupBy(category, "q1", "median", "q3").agg(
+    return held.join(q, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(inside, F.col("_x"))).alias("low"), F.max(F.when(inside, F.col("_x"))).alias("high"), F.count_if(~inside).alias("n_fliers")
     )
 
 
 def colour_limits(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, vmin, vmax: the 5th and 95th percentile of the positive values."""
-    held = df.where(known(F.col(value)) > 0).groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("_p"))
-    return held.select(*by, F.col("_p")[0].alias("vmin"), F.col("_p")[1].alias("vmax"))
+    return percentiles(df.where(known(F.col(value)) > 0), by, value, vmin=0.05, vmax=0.95).drop("n")
 
 
 def average_rank(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -58,43 +74,50 @@ def sums_before(df: DataFrame, by: list[str], order: str, **sums: str) -> DataFr
     return found.drop("_range", *[f"_start_{name}" for name in sums])
 
 
-def rank_tests(df: DataFrame, category: str, value: str, order: list[str]) -> DataFrame:
-    """category_a, category_b, n_a, n_b, u, p, star for all pairs, in order of first appearance.
+def rank_tests(df: DataFrame, category: str, value: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, category_a, category_b, n_a, n_b, u, p, star for all pairs, in order of first appearance.
 
     Mann-Whitney, two-sided, from histograms: only counts of distinct values are joined
     with the pairs. u is that of category_a.
     """
     held = df.withColumn("_x", known(F.col(value))).where(F.col("_x").isNotNull() & F.col(category).isNotNull())
-    hist = held.groupBy(category, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = hist.groupBy(category).agg(F.sum("_n").alias("n"))
-    named = first_position(held, category, order).join(sizes, category)
-    a = named.select(F.col(category).alias("category_a"), F.col("pos").alias("_pa"), F.col("n").alias("n_a"))
-    b = named.select(F.col(category).alias("category_b"), F.col("pos").alias("_pb"), F.col("n").alias("n_b"))
-    pairs = b.where("_pb > 0").withColumn("_pa", F.explode(F.sequence(F.lit(0), F.col("_pb") - 1))).join(a, "_pa").drop("_pa", "_pb")
-    keys = ["category_a", "category_b", "n_a", "n_b"]
+    hist = held.groupBy(*by, category, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = hist.groupBy(*by, category).agg(F.sum("_n").alias("n"))
+    named = first_position(held, category, order, by).join(sizes, [*by, category])
+    a = named.select(*by, F.col(category).alias("category_a"), F.col("pos").alias("_pa"), F.col("n").alias("n_a"))
+    b = named.select(*by, F.col(category).alias("category_b"), F.col("pos").alias("_pb"), F.col("n").alias("n_b"))
+    pairs = b.where("_pb > 0").withColumn("_pa", F.explode(F.sequence(F.lit(0), F.col("_pb") - 1))).join(a, [*by, "_pa"]).drop("_pa", "_pb")
+    keys = [*by, "category_a", "category_b", "n_a", "n_b"]
     sides = F.inline(F.array(F.struct(F.col("category_a").alias(category), F.lit(True).alias("_is_a")), F.struct(F.col("category_b").alias(category), F.lit(False).alias("_is_a"))))
-    member = hist.join(pairs.select(*keys, sides), category)
+    member = hist.join(pairs.select(*keys, sides), [*by, category])
     pooled = member.groupBy(*keys, "_x").agg(F.sum(F.when(F.col("_is_a"), F.col("_n")).otherwise(0)).alias("_a"), F.sum(F.when(F.col("_is_a"), 0).otherwise(F.col("_n"))).alias("_b"))
     t = F.col("_a") + F.col("_b")
-    u = sums_before(pooled, ["category_a", "category_b"], "_x", _below="_b").groupBy(*keys).agg(
+    u = sums_before(pooled, [*by, "category_a", "category_b"], "_x", _below="_b").groupBy(*keys).agg(
         F.sum(F.col("_a") * (F.col("_below") + F.col("_b") / 2.0)).alias("u"), F.sum((t * t * t - t).cast("double")).alias("_ties")
     )
     tested = u.withColumn("p", rank_test_p("u", "n_a", "n_b", "_ties"))
     return tested.select(*keys, "u", "p", stars(F.col("p")).alias("star"))
 
 
+def shown_pairs(tests: DataFrame) -> DataFrame:
+    """The rank tests that a plot marks: those with p of at most 0.05."""
+    return tests.where(F.col("p") <= 0.05)
+
+
 def regressions(df: DataFrame, category: list[str], x: str, y: str) -> DataFrame:
-    """category, n, slope, intercept, r, r2, p, significant of y on x; NULL for constant x or too few points."""
+    """category, n, slope, intercept, r, r2, p, significant, text of y on x; NULL for constant x or too few points."""
     held = df.select(*category, known(F.col(x)).alias("_x"), known(F.col(y)).alias("_y")).dropna(subset=["_x", "_y"])
     r = F.try_divide(F.covar_pop("_y", "_x"), F.sqrt(F.var_pop("_x") * F.var_pop("_y")))
     out = held.groupBy(*category).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), r.alias("r"))
     out = out.withColumn("p", regression_p("r", "n"))
-    return out.select(*category, "n", "slope", "intercept", "r", (F.col("r") * F.col("r")).alias("r2"), "p", (F.col("p") < 0.05).alias("significant"))
+    out = out.withColumns({"r2": F.col("r") * F.col("r"), "significant": F.col("p") < 0.05})
+    return out.select(*category, "n", "slope", "intercept", "r", "r2", "p", "significant", fit_text(F.col("r2"), F.col("p")).alias("text"))
 
 
-def regression_lines(fits: DataFrame, df: DataFrame, x: str, points: int = 50) -> DataFrame:
-    """fits with step, x, y_hat at evenly spaced points over the range of x in all of df."""
-    span = df.agg(F.min(known(F.col(x))).alias("_lo"), F.max(known(F.col(x))).alias("_hi"))
-    rows = fits.join(F.broadcast(span)).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))  # one row is broadcast
+def regression_lines(fits: DataFrame, df: DataFrame, x: str, points: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
+    """fits with step, x, y_hat at evenly spaced points over the range of x in all of df, or in its rows of `by`."""
+    span = df.groupBy(*by).agg(F.min(known(F.col(x))).alias("_lo"), F.max(known(F.col(x))).alias("_hi"))
+    ranged = fits.join(span, list(by)) if by else fits.join(F.broadcast(span))  # one row is broadcast
+    rows = ranged.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     rows = rows.withColumn("x", F.col("_lo") + F.col("step") * (F.col("_hi") - F.col("_lo")) / float(points - 1))
     return rows.withColumn("y_hat", F.col("slope") * F.col("x") + F.col("intercept")).drop("_lo", "_hi")

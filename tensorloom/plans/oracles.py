@@ -95,6 +95,73 @@ b AS (SELECT dense_rank() OVER (ORDER BY p_brand) - 1 AS m0, sqrt(avg(p_retailpr
 z AS (SELECT dense_rank() OVER (ORDER BY p_size) - 1 AS m1, count(*) / 10.0::DOUBLE AS v1 FROM part GROUP BY p_size),
 y AS (SELECT dense_rank() OVER (ORDER BY p_type) - 1 AS m2, count(*) / 100.0::DOUBLE AS v2 FROM part GROUP BY p_type)"""
 
+# erfc by the series of erf with positive terms: 2 / sqrt(pi) * exp(-z^2) * sum of 2^k z^(2k+1) / (1 * 3 * .. (2k+1))
+ERFC = """(CASE WHEN {z} > 6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 300),
+    lambda k: exp(-{z} * {z} + k * ln(2::DOUBLE) + (2 * k + 1) * ln(greatest({z}, 1e-300)) - (lgamma(2 * k + 2::DOUBLE) - k * ln(2::DOUBLE) - lgamma(k + 1::DOUBLE))))) END)"""
+STAR = "CASE WHEN p <= 1e-4 THEN '****' WHEN p <= 1e-3 THEN '***' WHEN p <= 1e-2 THEN '**' WHEN p <= 0.05 THEN '*' ELSE 'ns' END"
+
+
+def _ranks(rows: str, g: str, x: str, first: str) -> str:
+    """w: ga, gb, na, nb, u, z of the normal approximation with continuity and ties, for pairs in order of `first`."""
+    return f"""f AS (SELECT {g} AS g, min({first}) AS first, count(*) AS n FROM {rows} GROUP BY ALL),
+        pr AS (SELECT a.g AS ga, b.g AS gb, a.n::DOUBLE AS na, b.n::DOUBLE AS nb FROM f a JOIN f b ON a.first < b.first),
+        kr AS (SELECT ga, gb, na, nb, {g} AS g, rank() OVER (PARTITION BY ga, gb ORDER BY {x}) + (count(*) OVER (PARTITION BY ga, gb, {x}) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY ga, gb, {x})::DOUBLE AS t
+              FROM {rows} JOIN pr ON {g} IN (ga, gb)),
+        ur AS (SELECT ga, gb, na, nb, sum(r) FILTER (g = ga) - na * (na + 1) / 2 AS u, sum(t * t - 1) AS ties FROM kr GROUP BY ga, gb, na, nb),
+        w AS (SELECT *, greatest(0, (abs(u - na * nb / 2) - 0.5::DOUBLE) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))) / sqrt(2::DOUBLE)) AS z FROM ur),
+        wp AS (SELECT *, least(1, {ERFC.format(z="z")}) AS p FROM w)"""
+
+
+def _correlation_p(r: str, n: str) -> str:
+    """1 - I(r^2; 1/2, (n - 2) / 2), by the series of the incomplete beta function with positive terms."""
+    return f"""(CASE WHEN {n} < 3 OR {r} IS NULL THEN NULL WHEN abs({r}) >= 1 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 1500),
+    lambda k: exp((k + 0.5::DOUBLE) * ln(greatest({r} * {r}, 1e-300)) + ({n} - 2) / 2.0::DOUBLE * ln(1 - {r} * {r}) + lgamma(({n} - 1) / 2.0::DOUBLE + k) - lgamma(k + 1.5::DOUBLE) - lgamma(({n} - 2) / 2.0::DOUBLE)))) END)"""
+
+
+def _update(mode: int, it: int, held: list[str]) -> str:
+    """CTEs of one multiplicative update; held names the factors (idx, r, v) before it."""
+    a, b = (k for k in range(3) if k != mode)
+    name, eps = f"f{mode}_{it}", "2.220446049250313e-16::DOUBLE"
+    g = lambda k: f"(SELECT p.r, q.r AS s, sum(p.v * q.v) AS g FROM {held[k]} p JOIN {held[k]} q USING (idx) GROUP BY ALL)"
+    return f"""
+m{name} AS MATERIALIZED (SELECT t.m{mode} AS idx, p.r, sum(t.x * p.v * q.v) AS m FROM t JOIN {held[a]} p ON p.idx = t.m{a} JOIN {held[b]} q ON q.idx = t.m{b} AND q.r = p.r GROUP BY ALL),
+g{name} AS MATERIALIZED (SELECT x.r, x.s, x.g * y.g AS g FROM {g(a)} x JOIN {g(b)} y USING (r, s)),
+d{name} AS MATERIALIZED (SELECT h.idx, g.s AS r, sum(h.v * g.g) AS d FROM {held[mode]} h JOIN g{name} g ON g.r = h.r GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT h.idx, h.r, h.v * greatest(coalesce(m, 0), {eps}) / greatest(d, {eps}) AS v FROM {held[mode]} h JOIN d{name} USING (idx, r) LEFT JOIN m{name} USING (idx, r))"""
+
+
+def _table_fit(iterations: int) -> str:
+    """Updates in SQL from the start that arithmetic gives for seed 0, and the error of the model."""
+    ctes, held = [], []
+    for mode in range(3):
+        u = f"(idx * 1000003 + r * 7919 + {mode * 104729 + 11}) % 2147483647"
+        ctes.append(f"s{mode}_0 AS (SELECT idx, r, {u} AS u FROM (SELECT DISTINCT m{mode}::BIGINT AS idx FROM t), {R2})")
+        ctes += [f"s{mode}_{k + 1} AS (SELECT idx, r, (u * u + u * 48271 + {12345 * (k + 1)}) % 2147483647 AS u FROM s{mode}_{k})" for k in range(4)]
+        ctes.append(f"f{mode}_0 AS MATERIALIZED (SELECT idx, r, u / 2147483647::DOUBLE AS v FROM s{mode}_4)")
+        held.append(f"f{mode}_0")
+    for it in range(1, iterations + 1):
+        for mode in range(3):
+            ctes.append(_update(mode, it, held))
+            held[mode] = f"f{mode}_{it}"
+    a, b, c = held
+    ctes.append(f"y AS (SELECT any_value(t.x) AS x, sum(p.v * q.v * w.v) AS y FROM t JOIN {a} p ON p.idx = t.m0 JOIN {b} q ON q.idx = t.m1 AND q.r = p.r JOIN {c} w ON w.idx = t.m2 AND w.r = p.r GROUP BY t.m0, t.m1, t.m2)")
+    ctes.append("er AS (SELECT round(sqrt(sum((x - y) * (x - y))) / sqrt(sum(x * x)), 6) + 0.0 AS error FROM y)")
+    rows = " UNION ALL ".join(f"SELECT {m}::BIGINT AS mode, idx, r, round(v, 6) + 0.0 AS value, error FROM {name}, er" for m, name in enumerate(held))
+    return f"WITH {COO.replace('t AS (', 't AS MATERIALIZED (')}, {', '.join(ctes)} {rows}"
+
+
+# long components of the nations' mode, and variables
+LONG = f"""{MODE},
+lc AS (SELECT subjects, r_name, length(n_name)::DOUBLE AS letters, subjects::DOUBLE AS key, unnest([0, 1, 2])::BIGINT AS component, unnest([comp_0, comp_1, comp_2]) AS value FROM m)"""
+XY = "xy AS (SELECT component, r_name, value AS y, unnest(['letters', 'key']) AS variable, unnest([letters, key]) AS x FROM lc)"
+LIMITS = "li AS (SELECT component, 0::DOUBLE AS y_low, max(value) + 0.05::DOUBLE * (max(value) - min(value)) AS y_high, (SELECT count(DISTINCT r_name) FROM m) AS g FROM lc GROUP BY ALL)"
+
+
+def _lines(fits: str, span: str) -> str:
+    x = "lo + step * (hi - lo) / 49.0::DOUBLE"
+    return f"SELECT * EXCLUDE (lo, hi, a, b), round({x}, 6) + 0.0 AS x, round(a * ({x}) + b, 6) + 0.0 AS y_hat FROM {fits} JOIN {span}, (SELECT unnest(range(0, 50)) AS step)"
+
+
 SQL = {
     "tracer_t1map": _signal("1.0::DOUBLE / l_tax - 1.0::DOUBLE / l_discount", "abs(l_tax) >= 1e-6 AND abs(l_discount) >= 1e-6"),
     "tracer_t1w": _signal("l_tax / l_discount", "abs(l_discount) >= 1e-6"),
@@ -173,6 +240,39 @@ SQL = {
         x AS (SELECT tissue, 0 AS plane, r, 1048575 - k AS row, 12 - j AS col, value FROM c WHERE i = 5 UNION ALL SELECT tissue, 1 AS plane, r, 1048575 - k AS row, i AS col, value FROM c WHERE j = 6
               UNION ALL SELECT tissue, 2 AS plane, r, 12 - j AS row, i AS col, value FROM c WHERE k = 0)
         SELECT tissue, plane::BIGINT AS plane, r, row::BIGINT AS row, col::BIGINT AS col, round(value, 8) + 0.0 AS value FROM x""",
+    "mann_whitney_p": f"""WITH {_ranks("customer", "c_mktsegment", "c_acctbal", "c_custkey")}
+        SELECT ga AS category_a, gb AS category_b, u, round(p, 6) + 0.0 AS p, {STAR} AS star FROM wp""",
+    "shown_pairs": f"""WITH {_ranks("lineitem", "l_linenumber", "l_extendedprice", "l_linenumber")}
+        SELECT ga::BIGINT AS category_a, gb::BIGINT AS category_b, u, round(p, 6) + 0.0 AS p, {STAR} AS star FROM wp WHERE p <= 0.05""",
+    "regression_test": f"""WITH c AS (SELECT l_returnflag, l_linenumber::BIGINT AS l_linenumber, count(*) AS n, corr(l_tax, l_discount) AS r FROM lineitem GROUP BY ALL), d AS (SELECT *, {_correlation_p("r", "n")} AS p FROM c)
+        SELECT l_returnflag, l_linenumber, n, round(r, 6) + 0.0 AS r, round(p, 6) + 0.0 AS p, p < 0.05 AS significant, format('$R^2={{:.2f}}$, $p={{:.1g}} $', r * r, p) AS text FROM d""",
+    "global_regression": f"""WITH c AS (SELECT count(*) AS n, regr_slope(l_tax, l_discount) AS slope, regr_intercept(l_tax, l_discount) AS intercept, corr(l_tax, l_discount) AS r FROM lineitem), d AS (SELECT *, {_correlation_p("r", "n")} AS p FROM c)
+        SELECT n, round(slope, 6) + 0.0 AS slope, round(intercept, 6) + 0.0 AS intercept, round(r * r, 6) + 0.0 AS r2, round(p, 6) + 0.0 AS p, p < 0.05 AS significant, format('$R^2={{:.2f}}$, $p={{:.1g}} $', r * r, p) AS text FROM d""",
+    "cp_table_fit": _table_fit(3),
+    "subject_tests": f"""WITH {LONG}, f AS (SELECT component, r_name AS g, min(subjects) AS first, count(*) AS n FROM lc GROUP BY ALL),
+        p AS (SELECT a.component, a.g AS ga, b.g AS gb, a.n AS na, b.n AS nb FROM f a JOIN f b ON a.component = b.component AND a.first < b.first)
+        SELECT p.component, ga AS category_a, gb AS category_b, na AS n_a, nb AS n_b, sum(CASE WHEN x.value > y.value THEN 1.0::DOUBLE WHEN x.value = y.value THEN 0.5::DOUBLE ELSE 0 END) AS u
+        FROM p JOIN lc x ON x.component = p.component AND x.r_name = ga JOIN lc y ON y.component = p.component AND y.r_name = gb GROUP BY ALL""",
+    "subject_fits": f"""WITH {LONG}, {XY}, c AS (SELECT variable, component, r_name, count(*) AS n, CASE WHEN var_pop(x) > 0 THEN regr_slope(y, x) END AS slope, CASE WHEN var_pop(x) > 0 THEN corr(y, x) END AS r FROM xy GROUP BY ALL),
+        d AS (SELECT *, {_correlation_p("r", "n")} AS p FROM c)
+        SELECT variable, component, r_name, n, round(slope, 6) + 0.0 AS slope, round(r * r, 6) + 0.0 AS r2, round(p, 6) + 0.0 AS p, p < 0.05 AS significant FROM d""",
+    "subject_lines": f"""WITH {LONG}, {XY}, c AS (SELECT variable, component, r_name, CASE WHEN var_pop(x) > 0 THEN regr_slope(y, x) END AS a, CASE WHEN var_pop(x) > 0 THEN regr_intercept(y, x) END AS b FROM xy GROUP BY ALL),
+        s AS (SELECT variable, min(x) AS lo, max(x) AS hi FROM xy GROUP BY ALL) {_lines("c", "s USING (variable)")}""",
+    "subject_limits": f"WITH {LONG}, {LIMITS} SELECT component, y_low, round(y_high, 6) + 0.0 AS y_high, -0.25::DOUBLE AS x_low, round(g - 1 + 0.825::DOUBLE, 6) AS x_high FROM li",
+    "subject_strips": f"""WITH {LONG}, f AS (SELECT r_name, row_number() OVER (ORDER BY min(subjects)) - 1 AS pos FROM m GROUP BY r_name)
+        SELECT component, subjects, r_name, pos, true AS inside, round(value, 6) + 0.0 AS value FROM lc JOIN f USING (r_name)""",
+    "component_limits": f"""WITH {LONG}, {LIMITS} SELECT a.component AS component_y, b.component AS component_x, a.y_low, round(a.y_high, 6) + 0.0 AS y_high,
+        CASE WHEN a.component = b.component THEN -0.25::DOUBLE ELSE 0 END AS x_low, round(CASE WHEN a.component = b.component THEN a.g - 1 + 0.325::DOUBLE ELSE b.y_high END, 6) + 0.0 AS x_high FROM li a, li b""",
+    "component_lines": f"""WITH {LONG}, c AS (SELECT p.component AS component_x, q.component AS component_y, p.r_name, CASE WHEN var_pop(p.value) > 0 THEN regr_slope(q.value, p.value) END AS a, CASE WHEN var_pop(p.value) > 0 THEN regr_intercept(q.value, p.value) END AS b
+              FROM lc p JOIN lc q USING (subjects) WHERE p.component <> q.component GROUP BY ALL),
+        s AS (SELECT component AS component_x, min(value) AS lo, max(value) AS hi FROM lc GROUP BY ALL) {_lines("c", "s USING (component_x)")}""",
+    "masked_overlay": f"""WITH {INDEX} SELECT -1::BIGINT AS r, (1048575 - k)::BIGINT AS row, i::BIGINT AS col, p_size::DOUBLE AS value FROM vi JOIN part ON l = p_partkey WHERE j = 6
+        UNION ALL SELECT r, 1048575 - k, i, value FROM sm JOIN vi USING (l) WHERE j = 6 AND is_csf""",
+    "mode_grid": f"""WITH {COO}, {INDEX}, g AS (SELECT CASE WHEN is_csf THEN 'csf' ELSE 'parenchyma' END AS part, r, i, j, k, value FROM sc JOIN vi USING (l)),
+        li AS (SELECT part, r, quantile_cont(value, 0.05) AS low, quantile_cont(value, 0.95) AS high FROM g WHERE value > 0 GROUP BY ALL),
+        ta AS (SELECT m2 AS r, m1 AS a, avg(x) AS v FROM t GROUP BY ALL), tb AS (SELECT r, a, v / sqrt(sum(v * v) OVER (PARTITION BY r)) AS value FROM ta),
+        al AS (SELECT part, r, 1048575 - k AS a, 12 - j AS b, value, low, high FROM g JOIN li USING (part, r) WHERE i = 5 UNION ALL SELECT 'time', r, a, 0, value, -0.1, 1.1::DOUBLE * max(value) OVER () FROM tb)
+        SELECT part, r::BIGINT AS r, a::BIGINT AS a, b::BIGINT AS b, round(value, 6) + 0.0 AS value, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high FROM al""",
     "volume_scan": """SELECT 'slab' || (p_partkey // 143 // 16) AS volume_id, (p_partkey % 11)::BIGINT AS i, (p_partkey // 11 % 13)::BIGINT AS j, (p_partkey // 143 % 16)::BIGINT AS k, p_retailprice AS value FROM part""",
 }
 

@@ -230,7 +230,7 @@ def cp_table_fit(spark: SparkSession, d: str) -> DataFrame:
     for m, f in enumerate(factors):
         part = linalg.to_long(f).withColumns({"mode": F.lit(m), "error": F.lit(errors[-1])})
         out = part if out is None else out.unionByName(part)
-    return typed(out, mode="bigint", idx="bigint", r="bigint", value="double", error="double")
+    return typed(out, mode="bigint", idx="bigint", r="bigint", value="double", error="double").withColumns({c: rounded(c) for c in ("value", "error")})
 
 
 def n_labels(spark: SparkSession, d: str) -> int:
@@ -332,19 +332,63 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
     return report.subject_table(nation_mode(spark, d), info, "r_name", 3)
 
 
+def subject_plots(spark: SparkSession, d: str) -> report.SubjectReport:
+    """The report of the nations' mode by region, with the number of letters of the name and the key as variables."""
+    rows = merged(spark, d).withColumns({"letters": F.length("n_name").cast("double"), "key": F.col("subjects").cast("double")})
+    return report.SubjectReport(rows, 3, "r_name", ("letters", "key"), legend=0.5)
+
+
 def subject_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = typed(merged(spark, d), subjects="bigint", n_name="string", r_name="string", comp_0="double", comp_1="double", comp_2="double")
     return rows.withColumns({f"comp_{k}": rounded(f"comp_{k}") for k in range(3)})
 
 
 def subject_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Rank tests and boxes of components by region (plot data of the subject mode)."""
-    long = report.long_components(merged(spark, d), 3, "subjects", "r_name")
-    rows = report._per(3, lambda r: stats.box_stats(long.where(F.col("component") == r), "r_name", "value"))
-    rows = typed(rows, component="bigint", r_name="string", n="bigint", q1="double", median="double", q3="double", low="double", high="double", n_fliers="bigint")
+    """Boxes of components by region (plot data of the subject mode)."""
+    rows = typed(subject_plots(spark, d).boxes, component="bigint", r_name="string", n="bigint", q1="double", median="double", q3="double", low="double", high="double", n_fliers="bigint")
     return rows.withColumns({c: rounded(c) for c in ("q1", "median", "q3", "low", "high")})
 
 
+def subject_tests(spark: SparkSession, d: str) -> DataFrame:
+    rows = subject_plots(spark, d).tests
+    return typed(rows, component="bigint", category_a="string", category_b="string", n_a="bigint", n_b="bigint", u="double")
+
+
+def subject_fits(spark: SparkSession, d: str) -> DataFrame:
+    rows = typed(subject_plots(spark, d).regressions, variable="string", component="bigint", r_name="string", n="bigint", slope="double", r2="double", p="double", significant="boolean")
+    return rows.withColumns({c: rounded(c) for c in ("slope", "r2", "p")})
+
+
+def subject_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = typed(subject_plots(spark, d).lines, variable="string", component="bigint", r_name="string", step="bigint", x="double", y_hat="double")
+    return rows.withColumns({c: rounded(c) for c in ("x", "y_hat")})
+
+
+def subject_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Limits that the plots of a row share."""
+    rows = typed(subject_plots(spark, d).limits, component="bigint", y_low="double", y_high="double", x_low="double", x_high="double")
+    return rows.withColumns({c: rounded(c) for c in ("y_high", "x_high")})
+
+
+def subject_strips(spark: SparkSession, d: str) -> DataFrame:
+    """Each point with the place of its box, and whether it lies within a strip's width of it."""
+    rows = subject_plots(spark, d).strips.withColumn("inside", F.abs(F.col("at") - F.col("pos")) <= report.JITTER)
+    return typed(rows, component="bigint", subjects="bigint", r_name="string", pos="bigint", inside="boolean", value="double").withColumn("value", rounded("value"))
+
+
+def component_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Limits of each cell of the plot of components against each other."""
+    rows = report.ComponentReport(merged(spark, d), 3, "r_name").limits
+    rows = typed(rows, component_y="bigint", component_x="bigint", y_low="double", y_high="double", x_low="double", x_high="double")
+    return rows.withColumns({c: rounded(c) for c in ("y_high", "x_low", "x_high")})
+
+
+def component_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = report.ComponentReport(merged(spark, d), 3, "r_name").lines
+    rows = typed(rows, component_x="bigint", component_y="bigint", r_name="string", step="bigint", x="double", y_hat="double")
+    return rows.withColumns({c: rounded(c) for c in ("x", "y_hat")})
+
+
 def box_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = stats.box_stats(table(spark, d, "orders"), "o_orderpriority", "o_totalprice")
     rows = typed(rows, o_orderpriority="string", n="bigint", q1="double", median="double", q3="double", low="double", high="double", n_fliers="bigint")
@@ -371,7 +415,13 @@ def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mann_whitney_p(spark: SparkSession, d: str) -> DataFrame:
-    return typed(_tests(spark, d), category_a="string", category_b="string", u="double", p="double", star="string")
+    return typed(_tests(spark, d), category_a="string", category_b="string", u="double", p="double", star="string").withColumn("p", rounded("p"))
+
+
+def shown_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of line numbers whose prices differ visibly."""
+    tests = stats.rank_tests(table(spark, d, "lineitem").select("l_linenumber", "l_extendedprice"), "l_linenumber", "l_extendedprice", ["l_linenumber"])
+    return typed(stats.shown_pairs(tests), category_a="bigint", category_b="bigint", u="double", p="double", star="string").withColumn("p", rounded("p"))
 
 
 def _fits(spark: SparkSession, d: str) -> DataFrame:
@@ -385,7 +435,14 @@ def linregress(spark: SparkSession, d: str) -> DataFrame:
 
 def regression_test(spark: SparkSession, d: str) -> DataFrame:
     rows = stats.regressions(table(spark, d, "lineitem"), ["l_returnflag", "l_linenumber"], "l_discount", "l_tax")
-    return typed(rows, l_returnflag="string", l_linenumber="bigint", n="bigint", r="double", p="double", significant="boolean")
+    rows = typed(rows, l_returnflag="string", l_linenumber="bigint", n="bigint", r="double", p="double", significant="boolean", text="string")
+    return rows.withColumns({c: rounded(c) for c in ("r", "p")})
+
+
+def global_regression(spark: SparkSession, d: str) -> DataFrame:
+    """One line through all rows."""
+    rows = typed(stats.regressions(table(spark, d, "lineitem"), [], "l_discount", "l_tax"), n="bigint", slope="double", intercept="double", r2="double", p="double", significant="boolean", text="string")
+    return rows.withColumns({c: rounded(c) for c in ("slope", "intercept", "r2", "p")})
 
 
 def regression_line(spark: SparkSession, d: str) -> DataFrame:
@@ -500,12 +557,34 @@ def plane_pixels(spark: SparkSession, d: str) -> DataFrame:
     return typed(report.overlay(pixels), tissue="string", plane="bigint", r="bigint", row="bigint", col="bigint", value="double").withColumn("value", rounded("value", 8))
 
 
+def masked_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """A plane of an image in grey and the signal over it where the mask holds, zeros too."""
+    index = voxel_index(spark, d)
+    image = index.join(table(spark, d, "part").select(F.col("p_partkey").alias("l"), F.col("p_size").cast("double").alias("value")), "l")
+    grid = report.scatter_to_grid(spatial_mode(spark, d), index)
+    grey, shown = report.enhancement(image, grid, SHAPE, 1, 6, index.where("is_csf"))
+    rows = grey.withColumn("r", F.lit(-1)).unionByName(shown)
+    return typed(rows, r="bigint", row="bigint", col="bigint", value="double")
+
+
+def mode_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The sagittal pixels of both tissues with the limits of their colours, and the points of the time curves."""
+    x = coo(spark, d).groupBy(F.col("m1").alias("t"), F.col("m2").alias("r")).agg(F.avg("x").alias("value"))
+    index = voxel_index(spark, d)
+    image = index.withColumn("value", F.lit(1.0))
+    g = report.ModeGrid(x, merged(spark, d), "r_name", spatial_mode(spark, d), index, image, SHAPE, 5, 3)
+    pixels = g.pixels.join(g.colours, ["tissue", "r"]).select(F.col("tissue").alias("part"), "r", F.col("row").alias("a"), F.col("col").alias("b"), "value", F.col("vmin").alias("low"), F.col("vmax").alias("high"))
+    curves = g.curves.select(F.lit("time").alias("part"), "r", F.col("t").alias("a"), F.lit(0).alias("b"), "value", F.col("y_low").alias("low"), F.col("y_high").alias("high"))
+    rows = typed(pixels.unionByName(curves), part="string", r="bigint", a="bigint", b="bigint", value="double", low="double", high="double")
+    return rows.withColumns({c: rounded(c) for c in ("value", "low", "high")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         mask_and_label_filter, grid_alignment, group_filter, pivot_first, valid_subjects, label_completeness, tensor_coo, axis_index, row_gather, union_jobs, common_subjects,
         mode_scale, gram, mttkrp, mu_step, cp_norm_error, cp_rank1, cp_best_of_n, cp_table_fit, congruence, degeneracy, half_half_split, half_half_sizes, cv_folds, cv_fold_sizes, cv_pairs,
-        fms_half, fms_cv, subject_merge, subject_boxes, box_stats, colour_limits, avg_rank, mann_whitney_u, mann_whitney_p, linregress, regression_test, regression_line, component_pairs,
-        voxel_scatter, slice_rot90, spatial_limits, time_curve, star_labels, volume_scan, image_regions, plane_pixels,
+        fms_half, fms_cv, subject_merge, subject_boxes, subject_tests, subject_fits, subject_lines, subject_limits, subject_strips, component_limits, component_lines, box_stats, colour_limits, avg_rank, mann_whitney_u, mann_whitney_p, shown_pairs, linregress, regression_test, global_regression, regression_line, component_pairs,
+        voxel_scatter, slice_rot90, spatial_limits, time_curve, star_labels, volume_scan, image_regions, plane_pixels, masked_overlay, mode_grid,
     ]
     out = {"tracer_t1map": _signal("T1map"), "tracer_t1w": _signal("T1w")}
     out |= {f"region_{n}": _reduced(f) for n, f in (("median", "median"), ("reduce_mean", "mean"), ("reduce_min", "min"), ("reduce_max", "max"), ("reduce_std", "std"), ("reduce_pct", "p95"), ("udf", np.median))}

@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["tracer_t1w", "region_median", "pivot_first", "box_stats", "linregress", "mode_scale", "half_half_split", "mann_whitney_u", "avg_rank", "cv_pairs", "common_subjects", "gram", "component_pairs", "row_gather"])
+@pytest.mark.parametrize("name", ["tracer_t1w", "region_median", "pivot_first", "box_stats", "linregress", "mode_scale", "half_half_split", "mann_whitney_u", "avg_rank", "cv_pairs", "common_subjects", "gram", "component_pairs", "row_gather", "colour_limits", "spatial_limits", "subject_fits", "subject_boxes", "masked_overlay"])
 def test_no_cross_join(spark, data, name):
     assert not re.search("CartesianProduct|NestedLoopJoin", plan(ALL[name](spark, data)))
 

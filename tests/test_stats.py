@@ -5,7 +5,10 @@ import itertools
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tensorloom.functions import pvalues
+from tensorloom.functions.tracer import fit_text, one_digit
 from tensorloom.operators import report, stats
 
 
@@ -79,7 +82,9 @@ def test_subject_table(spark):
     table = report.subject_table(mode(spark, "abcd"), info, "g", 2, ("v",))
     assert table.count() == 4
     assert sum(r["comp_0"] ** 2 for r in table.collect()) == pytest.approx(1.0)
-    out = report.subject_report(table, 2, "g", ("v",))
+    out = report.SubjectReport(table, 2, "g", ("v",))
+    assert report.SubjectReport(table, 2, "g").lines.count() == 0 and out.strips.count() == 8 and out.limits.count() == 2
+    assert all(abs(r["at"] - r["pos"]) <= report.JITTER for r in out.strips.collect())
     assert out.boxes.count() == 4 and out.tests.count() == 2 and out.regressions.count() == 4 and out.lines.count() == 200 and out.points.count() == 8
     assert report.component_correlations(table, 2, "g").count() == 4
     doubled = info.unionByName(info.where("subjects = 'a'"))
@@ -89,6 +94,41 @@ def test_subject_table(spark):
             report.subject_table(mode(spark, "abc"), bad, "g", 2)
 
 
+def test_percentiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, None if rng.random() < 0.05 else float(rng.integers(0, top))) for g, top in (("a", 5), ("b", 10**6), ("c", 2)) for _ in range(400)] + [("d", 7.0), ("e", None), (None, 1.0), ("d", float("nan"))]
+    got = {r["g"]: r for r in stats.percentiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", low=0.05, mid=0.5, top=1.0).collect()}
+    assert set(got) == set("abcd")
+    for g, r in got.items():
+        xs = [x for h, x in rows if h == g and x is not None and x == x]
+        assert r["n"] == len(xs) and [r["low"], r["mid"], r["top"]] == pytest.approx(np.percentile(xs, [5, 50, 100]).tolist())
+    assert stats.percentiles(spark.createDataFrame([], "g string, x double"), ["g"], "x", mid=0.5).count() == 0
+
+
+def test_texts_as_printed(spark):
+    values = [0.0, 1e-300, 3.21e-5, 9.6e-5, 0.00034, 0.0099, 0.034, 0.26, 0.97, 1.0, 23.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "p double").select(one_digit(F.col("p")).alias("t"), fit_text(F.lit(0.126), F.col("p")).alias("f"))
+    rows = df.collect()
+    assert [r["t"] for r in rows] == [None if v is None else f"{v:.1g}" for v in values]
+    assert rows[6]["f"] == "$R^2=0.13$, $p=0.03 $" and rows[-1]["f"] is None
+
+
+def test_tissues(spark):
+    index = spark.createDataFrame([(1, 0, 0, 0, True, False), (2, 0, 1, 0, False, True), (3, 1, 0, 0, None, False)], "l long, i int, j int, k int, is_csf boolean, is_parenchyma boolean")
+    rows = [(n, r, float(n + r)) for n in (1, 2, 3) for r in (0, 1)]
+    values = lambda held: spark.createDataFrame(held, "l long, r int, value double")
+    got = report.tissue_grid(values(rows), index).where("r = 0").collect()
+    assert sorted((g["tissue"], g["j"], round(g["value"], 6)) for g in got) == [("csf", 0, round(1 / 14**0.5, 6)), ("parenchyma", 1, round(2 / 14**0.5, 6))]
+    assert report.tissue_grid(values([]), index).count() == 0
+    for bad in (rows[:-1], rows[2:], [*rows[:4], rows[0], rows[1]]):
+        with pytest.raises(ValueError):
+            report.tissue_grid(values(bad), index)
+    grid = report.scatter_to_grid(values(rows), index)
+    grey, shown = report.enhancement(index.withColumn("value", F.lit(5.0)), grid, (2, 2, 1), 2, 0, index.where("l = 2"))
+    assert {(p["row"], p["col"]) for p in grey.collect()} == {(1, 0), (0, 0), (1, 1)} and {(p["row"], p["col"], p["value"]) for p in shown.where("r = 0").collect()} == {(0, 0, 2.0)}
+    assert report.enhancement(grid, grid, (2, 2, 1), 2, 0)[1].count() == 6
+
+
 def test_slices_turn_as_numpy_does(spark):
     shape = (3, 4, 5)
     x = np.arange(60.0).reshape(shape) + 1
@@ -103,3 +143,5 @@ def test_slices_turn_as_numpy_does(spark):
 
 def test_layout():
     assert report.figure_size(3, 2, 7.0, 1.75) == (7.0, pytest.approx(6.6)) and report.palette(3) == ["C0", "C3", "C6"]
+    assert report.plane_widths((4, 2, 8)) == [1.0, 2.0, 0.5, 0.05]
+    assert report.grid_widths((9, 4, 2), 0.5) == ([1.0, 1.0, 3.0, 3.0], 1.5)
