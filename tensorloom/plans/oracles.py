@@ -118,36 +118,66 @@ def _correlation_p(r: str, n: str) -> str:
     lambda k: exp((k + 0.5::DOUBLE) * ln(greatest({r} * {r}, 1e-300)) + ({n} - 2) / 2.0::DOUBLE * ln(1 - {r} * {r}) + lgamma(({n} - 1) / 2.0::DOUBLE + k) - lgamma(k + 1.5::DOUBLE) - lgamma(({n} - 2) / 2.0::DOUBLE)))) END)"""
 
 
-def _update(mode: int, it: int, held: list[str]) -> str:
-    """CTEs of one multiplicative update; held names the factors (idx, r, v) before it."""
+STARTS = 50
+T0 = COO.replace("t AS (", "t AS MATERIALIZED (")
+
+
+def _starts(n: int) -> list[str]:
+    """CTEs z0, z1, z2 (seed, idx, r, v): the factors of n starts by the arithmetic that the engine draws them with."""
+    ctes = []
+    for mode in range(3):
+        first = f"(idx * 1000003 + r * 7919 + {mode * 104729 + 11} + seed * 15485863) % 2147483647"
+        ctes.append(f"u{mode}_0 AS (SELECT seed, idx, r, {first} AS u FROM (SELECT DISTINCT m{mode}::BIGINT AS idx FROM t), {R2}, (SELECT unnest(range(0, {n})) AS seed))")
+        ctes += [f"u{mode}_{k + 1} AS (SELECT seed, idx, r, (u * u + u * 48271 + {12345 * (k + 1)}) % 2147483647 AS u FROM u{mode}_{k})" for k in range(4)]
+        ctes.append(f"z{mode} AS MATERIALIZED (SELECT seed, idx, r, u / 2147483647::DOUBLE AS v FROM u{mode}_4)")
+    return ctes
+
+
+def _update(mode: int, name: str, held: list[str]) -> str:
+    """CTEs of one multiplicative update of all starts; held names the factors (seed, idx, r, v) before it."""
     a, b = (k for k in range(3) if k != mode)
-    name, eps = f"f{mode}_{it}", "2.220446049250313e-16::DOUBLE"
-    g = lambda k: f"(SELECT p.r, q.r AS s, sum(p.v * q.v) AS g FROM {held[k]} p JOIN {held[k]} q USING (idx) GROUP BY ALL)"
+    eps = "2.220446049250313e-16::DOUBLE"
+    g = lambda k: f"(SELECT seed, p.r, q.r AS s, sum(p.v * q.v) AS g FROM {held[k]} p JOIN {held[k]} q USING (seed, idx) GROUP BY ALL)"
     return f"""
-m{name} AS MATERIALIZED (SELECT t.m{mode} AS idx, p.r, sum(t.x * p.v * q.v) AS m FROM t JOIN {held[a]} p ON p.idx = t.m{a} JOIN {held[b]} q ON q.idx = t.m{b} AND q.r = p.r GROUP BY ALL),
-g{name} AS MATERIALIZED (SELECT x.r, x.s, x.g * y.g AS g FROM {g(a)} x JOIN {g(b)} y USING (r, s)),
-d{name} AS MATERIALIZED (SELECT h.idx, g.s AS r, sum(h.v * g.g) AS d FROM {held[mode]} h JOIN g{name} g ON g.r = h.r GROUP BY ALL),
-{name} AS MATERIALIZED (SELECT h.idx, h.r, h.v * greatest(coalesce(m, 0), {eps}) / greatest(d, {eps}) AS v FROM {held[mode]} h JOIN d{name} USING (idx, r) LEFT JOIN m{name} USING (idx, r))"""
+m{name} AS MATERIALIZED (SELECT p.seed, t.m{mode} AS idx, p.r, sum(t.x * p.v * q.v) AS m FROM t JOIN {held[a]} p ON p.idx = t.m{a} JOIN {held[b]} q ON q.idx = t.m{b} AND q.r = p.r AND q.seed = p.seed GROUP BY ALL),
+g{name} AS MATERIALIZED (SELECT seed, x.r, x.s, x.g * y.g AS g FROM {g(a)} x JOIN {g(b)} y USING (seed, r, s)),
+d{name} AS MATERIALIZED (SELECT h.seed, h.idx, g.s AS r, sum(h.v * g.g) AS d FROM {held[mode]} h JOIN g{name} g ON g.r = h.r AND g.seed = h.seed GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT seed, idx, r, h.v * greatest(coalesce(m, 0), {eps}) / greatest(d, {eps}) AS v FROM {held[mode]} h JOIN d{name} USING (seed, idx, r) LEFT JOIN m{name} USING (seed, idx, r))"""
+
+
+def _error(held: list[str]) -> str:
+    """seed, error: the relative error of the models of held."""
+    a, b, c = held
+    cells = f"""SELECT p.seed, any_value(t.x) AS x, sum(p.v * q.v * w.v) AS y FROM t JOIN {a} p ON p.idx = t.m0 JOIN {b} q ON q.idx = t.m1 AND q.r = p.r AND q.seed = p.seed
+        JOIN {c} w ON w.idx = t.m2 AND w.r = p.r AND w.seed = p.seed GROUP BY p.seed, t.m0, t.m1, t.m2"""
+    return f"SELECT seed, sqrt(sum((x - y) * (x - y))) / sqrt(sum(x * x)) AS error FROM ({cells}) GROUP BY seed"
 
 
 def _table_fit(iterations: int) -> str:
-    """Updates in SQL from the start that arithmetic gives for seed 0, and the error of the model."""
-    ctes, held = [], []
-    for mode in range(3):
-        u = f"(idx * 1000003 + r * 7919 + {mode * 104729 + 11}) % 2147483647"
-        ctes.append(f"s{mode}_0 AS (SELECT idx, r, {u} AS u FROM (SELECT DISTINCT m{mode}::BIGINT AS idx FROM t), {R2})")
-        ctes += [f"s{mode}_{k + 1} AS (SELECT idx, r, (u * u + u * 48271 + {12345 * (k + 1)}) % 2147483647 AS u FROM s{mode}_{k})" for k in range(4)]
-        ctes.append(f"f{mode}_0 AS MATERIALIZED (SELECT idx, r, u / 2147483647::DOUBLE AS v FROM s{mode}_4)")
-        held.append(f"f{mode}_0")
-    for it in range(1, iterations + 1):
+    """A fixed number of iterations from seed 0."""
+    ctes, held = _starts(1), ["z0", "z1", "z2"]
+    for it in range(iterations):
         for mode in range(3):
-            ctes.append(_update(mode, it, held))
+            ctes.append(_update(mode, f"f{mode}_{it}", held))
             held[mode] = f"f{mode}_{it}"
-    a, b, c = held
-    ctes.append(f"y AS (SELECT any_value(t.x) AS x, sum(p.v * q.v * w.v) AS y FROM t JOIN {a} p ON p.idx = t.m0 JOIN {b} q ON q.idx = t.m1 AND q.r = p.r JOIN {c} w ON w.idx = t.m2 AND w.r = p.r GROUP BY t.m0, t.m1, t.m2)")
-    ctes.append("er AS (SELECT round(sqrt(sum((x - y) * (x - y))) / sqrt(sum(x * x)), 6) + 0.0 AS error FROM y)")
-    rows = " UNION ALL ".join(f"SELECT {m}::BIGINT AS mode, idx, r, round(v, 6) + 0.0 AS value, error FROM {name}, er" for m, name in enumerate(held))
-    return f"WITH {COO.replace('t AS (', 't AS MATERIALIZED (')}, {', '.join(ctes)} {rows}"
+    ctes.append(f"er AS ({_error(held)})")
+    rows = " UNION ALL ".join(f"SELECT {m}::BIGINT AS mode, idx, r, round(v, 6) + 0.0 AS value, round(error, 6) + 0.0 AS error FROM {name}, er" for m, name in enumerate(held))
+    return f"WITH {T0}, {', '.join(ctes)} {rows}"
+
+
+def _best_of(starts: int, tol: float) -> str:
+    """Every start until its error settles, by recursion; the factors of the start with the least error."""
+    step, held = [f"h{m} AS MATERIALIZED (SELECT seed, idx, r, v FROM st WHERE mode = {m} AND going)" for m in range(3)], ["h0", "h1", "h2"]
+    for mode in range(3):
+        step.append(_update(mode, f"f{mode}", held))
+        held[mode] = f"f{mode}"
+    step.append("old AS MATERIALIZED (SELECT seed, any_value(it) + 1 AS it, any_value(error) AS was FROM st WHERE going GROUP BY seed)")
+    step.append(f"now AS MATERIALIZED (SELECT seed, it, error, it < 2 OR abs(was - error) >= {tol}::DOUBLE AS going FROM ({_error(held)}) JOIN old USING (seed))")
+    base = " UNION ALL ".join(f"SELECT seed, 0::BIGINT AS it, {m} AS mode, idx, r, v, NULL::DOUBLE AS error, true AS going FROM z{m}" for m in range(3))
+    rows = " UNION ALL ".join(f"SELECT seed, it, {m} AS mode, idx, r, v, error, going FROM {name} JOIN now USING (seed)" for m, name in enumerate(held))
+    return f"""WITH RECURSIVE {T0}, {', '.join(_starts(starts))}, st AS (SELECT * FROM ({base}) UNION ALL (WITH {', '.join(step)} SELECT * FROM ({rows}))),
+        best AS (SELECT seed FROM st WHERE NOT going GROUP BY seed ORDER BY any_value(error), seed LIMIT 1)
+        SELECT seed, it AS n_iter, round(error, 6) + 0.0 AS error, mode::BIGINT AS mode, idx, r, round(v, 5) + 0.0 AS value FROM st JOIN best USING (seed) WHERE NOT going"""
 
 
 # long components of the nations' mode, and variables
@@ -249,6 +279,7 @@ SQL = {
     "global_regression": f"""WITH c AS (SELECT count(*) AS n, regr_slope(l_tax, l_discount) AS slope, regr_intercept(l_tax, l_discount) AS intercept, corr(l_tax, l_discount) AS r FROM lineitem), d AS (SELECT *, {_correlation_p("r", "n")} AS p FROM c)
         SELECT n, round(slope, 6) + 0.0 AS slope, round(intercept, 6) + 0.0 AS intercept, round(r * r, 6) + 0.0 AS r2, round(p, 6) + 0.0 AS p, p < 0.05 AS significant, format('$R^2={{:.2f}}$, $p={{:.1g}} $', r * r, p) AS text FROM d""",
     "cp_table_fit": _table_fit(3),
+    "cp_best_of_n": _best_of(STARTS, 1e-5),
     "subject_tests": f"""WITH {LONG}, f AS (SELECT component, r_name AS g, min(subjects) AS first, count(*) AS n FROM lc GROUP BY ALL),
         p AS (SELECT a.component, a.g AS ga, b.g AS gb, a.n AS na, b.n AS nb FROM f a JOIN f b ON a.component = b.component AND a.first < b.first)
         SELECT p.component, ga AS category_a, gb AS category_b, na AS n_a, nb AS n_b, sum(CASE WHEN x.value > y.value THEN 1.0::DOUBLE WHEN x.value = y.value THEN 0.5::DOUBLE ELSE 0 END) AS u

@@ -220,7 +220,8 @@ FULL = cps.CPOptions()
 def cp_best_of_n(spark: SparkSession, d: str) -> DataFrame:
     best = cps.cp(coo(spark, d), RANK, FULL)
     rows = best.select("seed", "n_iter", "error", "mode", "idx", F.posexplode("row").alias("r", "value"))
-    return typed(rows, seed="bigint", n_iter="bigint", error="double", mode="bigint", idx="bigint", r="bigint", value="double")
+    rows = typed(rows, seed="bigint", n_iter="bigint", error="double", mode="bigint", idx="bigint", r="bigint", value="double")
+    return rows.withColumns({"error": rounded("error"), "value": rounded("value", 5)})
 
 
 def cp_table_fit(spark: SparkSession, d: str) -> DataFrame:
