@@ -45,5 +45,56 @@ FROM t LEFT JOIN g ON t.html = g.html
 """
 
 
+ABLATION = f"""
+WITH f AS ({OP3}), rules AS (SELECT unnest(['too_short', 'repeated_windows', 'symbols', 'word_length', 'repeated_lines', 'capitals']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed = bit) AS n_only, count(*) FILTER (failed & ~bit = 0) AS n_kept_without, count(*) AS n_rows FROM f, rules GROUP BY rule
+"""
+
+#: Patterns of the base kinds as the contract states them.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+LUHN = f"""list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN {DIGITS}[-k]::INT
+    ELSE 2 * {DIGITS}[-k]::INT - CASE WHEN {DIGITS}[-k]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+VALID = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 0) > 255)) = 0",
+    "card": f"CASE WHEN length({DIGITS}) BETWEEN 13 AND 19 THEN {LUHN} ELSE false END",
+    "phone": f"length({DIGITS}) BETWEEN 9 AND 15",
+}
+
+
+def _spans(k: int, kind: str) -> str:
+    """Spans of a kind: matches and the gaps between them take turns, so their lengths add up to places."""
+    return f"""SELECT doc_id, {k} AS o, '{kind}' AS kind, v, s + before AS start, s + before + length(v) AS stop FROM (
+    SELECT doc_id, v, sum(length(gap)) OVER w AS s, coalesce(sum(length(v)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+        SELECT doc_id, unnest(range(1, len(vs) + 1)) AS i, unnest(vs) AS v, unnest(gaps[1:len(vs)]) AS gap FROM (
+            SELECT doc_id, regexp_extract_all(text, '{BASE[kind]}') AS vs, regexp_split_to_array(text, '{BASE[kind]}') AS gaps FROM t)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {VALID[kind]}"""
+
+
+PII = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_spans(k, kind) for k, kind in enumerate(BASE))}),
+a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY o, start) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in BASE)}, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN a USING (doc_id)
+"""
+
+# sources fill up in order of cap / weight; the level is that of the first one that the rest doesn't fill
+TARGETS = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS}) AS size FROM documents),
+g AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM g),
+c AS (SELECT *, cap / weight AS full_at, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+             sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+l AS (SELECT arg_min(((SELECT 1.5::DOUBLE * sum(source_size) FROM g) - held) / open, full_at) AS level FROM c WHERE ((SELECT 1.5::DOUBLE * sum(source_size) FROM g) - held) / open < full_at)
+SELECT d.doc_id, d.size, c.source_size, round(CASE WHEN level IS NULL OR full_at <= level THEN cap ELSE weight * level END, 3) AS target
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source, l
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op3_quality_rules": OP3, "op7_warc": OP7}
+    return {"op1_exact_dedup": OP1, "op3_quality_rules": OP3, "op7_warc": OP7, "rules_ablation": ABLATION, "pii_base": PII, "mixing_targets": TARGETS}
