@@ -3,29 +3,33 @@
 Two ways behind one call. A tensor that fits a task is shared with all of them and every
 (task, start) is a row whose kernel runs in one Python batch: tasks times starts is the
 parallelism, and control crosses to the executors once. A larger tensor stays a table:
-each update is a join-and-aggregate plan, only R x R Grams and scalars reach the driver,
-and each iteration's factors are written, which ends lineage.
+each update is a join-and-aggregate plan for many starts at once, whose columns lie side by
+side in a factor's rows. Writing the factor is the one job of an update and ends lineage;
+the R x R Grams that the driver needs are observed while it is written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ConvergenceError
-from ..session import settled
+from ..session import forget, settled, settled_at
 from . import kernel, linalg
 
 #: Bytes of a dense tensor up to which every task gets it whole.
 TASK_BYTES = 256 << 20
 
+#: Columns (starts times rank) that one pass over a tensor held as a table updates, about.
+PASS_COLUMNS = 64
+
 RESULT = "task string, seed int, status string, n_iter int, error double, mode int, idx int, row array<double>"
 
 
@@ -112,39 +116,106 @@ def cp(coo: DataFrame, rank: int, options: CPOptions = CPOptions(), task_bytes:
         if best.isEmpty():
             raise ConvergenceError(f"none of {options.starts} starts was accepted: {[tuple(r) for r in fits(results).groupBy('status').count().collect()]}")
         return best
-    found = [cp_table(coo, rank, options, seed) for seed in range(options.starts)]
-    states = [kernel.status(errors, [linalg.gram_matrix(f, rank) for f in factors], options.max_iter) for factors, errors in found]
-    good = [(found[seed][1][-1], seed) for seed, state in enumerate(states) if state == "accepted"]
+    found = cp_tables(coo, rank, options, range(options.starts))
+    states = {seed: kernel.status(fit.errors, fit.grams, options.max_iter) for seed, fit in found.items()}
+    good = [(found[seed].errors[-1], seed) for seed, state in states.items() if state == "accepted"]
     if not good:
-        raise ConvergenceError(f"none of {options.starts} starts was accepted: {states}")
+        raise ConvergenceError(f"none of {options.starts} starts was accepted: {list(states.values())}")
     error, seed = min(good)
-    factors, errors = found[seed]
+    factors, errors = found[seed].factors, found[seed].errors
     parts = [f.select(F.lit("all").alias("task"), F.lit(seed).alias("seed"), F.lit("accepted").alias("status"), F.lit(len(errors)).alias("n_iter"), F.lit(error).alias("error"), F.lit(m).alias("mode"), "idx", "row") for m, f in enumerate(factors)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def start_table(spark: SparkSession, n: int, rank: int, seed: int, mode: int) -> DataFrame:
     """The same start as kernel.start, as a table."""
-    return spark.range(n).select(F.col("id").cast("int").alias("idx"), F.array(*[kernel.drawn(F.col("id"), F.lit(r).cast("long"), mode, seed) for r in range(rank)]).alias("row"))
+    return _starts(spark, n, rank, [seed], mode)
 
 
-def cp_table(coo: DataFrame, rank: int, options: CPOptions = CPOptions(), seed: int = 0, init: list[DataFrame] | None = None) -> tuple[list[DataFrame], list[float]]:
-    """One start with the tensor and its factors as tables; (factors, errors)."""
-    spark, shape = coo.sparkSession, shape_of(coo)
-    factors = init or [start_table(spark, n, rank, seed, m) for m, n in enumerate(shape)]
-    factors = [settled(f, "factor") for f in factors]
-    grams = [linalg.gram_matrix(f, rank) for f in factors]
+def _starts(spark: SparkSession, n: int, rank: int, seeds: list[int], mode: int) -> DataFrame:
+    """idx, row: the starts of all seeds, one after another in each row."""
+    cells = F.array(*[F.struct(F.lit(s).cast("long").alias("seed"), F.lit(r).cast("long").alias("r")) for s in seeds for r in range(rank)])
+    row = F.transform(cells, lambda c: kernel.drawn(F.col("id"), c["r"], mode, c["seed"]))
+    return spark.range(n).select(F.col("id").cast("int").alias("idx"), row.alias("row"))
+
+
+@dataclass
+class TableFit:
+    """One start's factors (idx, row), the error after each iteration, and the factors' Grams."""
+
+    factors: list[DataFrame]
+    errors: list[float]
+    grams: list[np.ndarray]
+
+
+def _block(k: int, rank: int):
+    """The columns of the k-th start in a factor that holds several."""
+    return F.slice("row", k * rank + 1, rank)
+
+
+def _written(step: DataFrame, rank: int, starts: int) -> tuple[str, DataFrame, np.ndarray, np.ndarray]:
+    """Path and table of a factor (idx, row, product), its starts' Grams and inner products of rows and products, seen while it is written."""
+    seen = Observation()
+    at = lambda c, k, r: F.get(c, F.lit(k * rank + r))
+    grams = F.array(*[F.sum(at("row", k, r) * at("row", k, s)) for k in range(starts) for r in range(rank) for s in range(rank)])
+    inner = F.array(*[F.sum(reduce(lambda a, b: a + b, [at("row", k, r) * at("product", k, r) for r in range(rank)])) for k in range(starts)])
+    path, factor = settled_at(step.observe(seen, grams.alias("grams"), inner.alias("inner")).select("idx", "row"), "factor")
+    known = lambda values: np.array([v if v is not None else 0.0 for v in values])
+    return path, factor, known(seen.get["grams"]).reshape(starts, rank, rank), known(seen.get["inner"])
+
+
+def cp_tables(coo: DataFrame, rank: int, options: CPOptions, seeds: Iterable[int], init: list[DataFrame] | None = None) -> dict[int, TableFit]:
+    """The fits of all seeds with the tensor and its factors as tables, PASS_COLUMNS columns in a pass.
+
+    init: factors to start the first seed from. A start that has ended leaves the passes;
+    factors that no fit needs any more are removed.
+    """
+    shape, seeds = shape_of(coo), list(seeds)
     norm2 = coo.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
-    errors: list[float] = []
-    for _ in range(options.max_iter):
-        for mode in range(len(shape)):
-            m = linalg.mttkrp(coo, factors, mode, rank)
-            if mode == len(shape) - 1:
-                m = settled(m, "mttkrp")
+    together = max(1, PASS_COLUMNS // rank)
+    out: dict[int, TableFit] = {}
+    for first in range(0, len(seeds), together):
+        out |= _fit_together(coo, shape, norm2, rank, options, seeds[first : first + together], init if first == 0 else None)
+    return out
+
+
+def _fit_together(coo: DataFrame, shape: tuple[int, ...], norm2: float, rank: int, options: CPOptions, active: list[int], init: list[DataFrame] | None) -> dict[int, TableFit]:
+    spark, modes = coo.sparkSession, range(len(shape))
+    begun = init or [_starts(spark, n, rank, active, m) for m, n in enumerate(shape)]
+    none = F.array_repeat(F.lit(0.0), rank * len(active))
+    held = [_written(f.withColumn("product", none), rank, len(active)) for f in begun]
+    paths, factors, grams = [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]
+    errors: dict[int, list[float]] = {s: [] for s in active}
+    out: dict[int, TableFit] = {}
+    pinned: set[str] = set()
+    for step in range(options.max_iter):
+        for mode in modes:
+            product = linalg.mttkrp(coo, factors, mode, rank * len(active))
             others = reduce(np.multiply, [g for k, g in enumerate(grams) if k != mode])
-            factors[mode] = settled(linalg.mu_step(factors[mode], m, others), "factor")
-            grams[mode] = linalg.gram_matrix(factors[mode], rank)
-        errors.append(linalg.relative_error(norm2, m, factors[-1], grams))
-        if len(errors) > 1 and abs(errors[-2] - errors[-1]) < options.tol:
-            break
-    return factors, errors
+            before = paths[mode]
+            paths[mode], factors[mode], grams[mode], inner = _written(linalg.updated(factors[mode], product, others), rank, len(active))
+            if before not in pinned:
+                forget(spark, before)
+        models = reduce(np.multiply, grams).sum(axis=(1, 2))
+        going = []
+        for k, seed in enumerate(active):
+            seen = errors[seed]
+            seen.append(float(np.sqrt(abs(norm2 + models[k] - 2 * inner[k])) / np.sqrt(norm2)) if norm2 else 0.0)
+            if step + 1 == options.max_iter or (len(seen) > 1 and abs(seen[-2] - seen[-1]) < options.tol):
+                out[seed] = TableFit([f.select("idx", _block(k, rank).alias("row")) for f in factors], seen, [g[k] for g in grams])
+            else:
+                going.append(k)
+        if len(going) < len(active):
+            pinned.update(paths)  # fits that have ended are read from these
+            active = [active[k] for k in going]
+            if not active:
+                break
+            factors = [f.select("idx", F.concat(*[_block(k, rank) for k in going]).alias("row")) for f in factors]
+            grams = [g[going] for g in grams]
+    return out
+
+
+def cp_table(coo: DataFrame, rank: int, options: CPOptions = CPOptions(), seed: int = 0, init: list[DataFrame] | None = None) -> tuple[list[DataFrame], list[float]]:
+    """One start with the tensor and its factors as tables; (factors, errors)."""
+    fit = cp_tables(coo, rank, options, [seed], init)[seed]
+    return fit.factors, fit.errors

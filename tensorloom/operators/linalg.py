@@ -65,18 +65,32 @@ def _matrix(g: np.ndarray) -> list[Column]:
     return [F.array(*[F.lit(float(v)) for v in col]) for col in g.T]
 
 
+def updated(factor: DataFrame, product: DataFrame, others: np.ndarray) -> DataFrame:
+    """idx, row, product: mu_step with the rows of the MTTKRP beside those of the factor.
+
+    others: one R x R matrix, or one for each block of R columns of a factor that holds
+    several starts side by side.
+    """
+    blocks = others if others.ndim == 3 else others[None]
+    rank = blocks.shape[-1]
+    dots = [
+        F.aggregate(F.zip_with(F.slice("row", s * rank + 1, rank), col, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+        for s, block in enumerate(blocks)
+        for col in _matrix(block)
+    ]
+    n = len(dots)
+    m = product.select("idx", F.col("row").alias("product"))
+    held = factor.join(m, "idx", "left").withColumn("product", F.coalesce("product", F.array_repeat(F.lit(0.0), n)))
+    cells = [F.get("row", F.lit(k)) * F.greatest(F.get("product", F.lit(k)), F.lit(EPS)) / F.greatest(dots[k], F.lit(EPS)) for k in range(n)]
+    return held.select("idx", F.array(*cells).alias("row"), "product")
+
+
 def mu_step(factor: DataFrame, product: DataFrame, others: np.ndarray) -> DataFrame:
     """The factor after one multiplicative update with its MTTKRP and the Hadamard product of the other Grams.
 
     Indices without a cell in the tensor have an MTTKRP of 0.
     """
-    rank = len(others)
-    dots = [F.aggregate(F.zip_with("row", col, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) for col in _matrix(others)]
-    m = product.select("idx", F.col("row").alias("_m"))
-    cells = [
-        F.get("row", F.lit(r)) * F.greatest(F.coalesce(F.get("_m", F.lit(r)), F.lit(0.0)), F.lit(EPS)) / F.greatest(dots[r], F.lit(EPS)) for r in range(rank)
-    ]
-    return factor.join(m, "idx", "left").select("idx", F.array(*cells).alias("row"))
+    return updated(factor, product, others).select("idx", "row")
 
 
 def relative_error(norm2: float, product: DataFrame, last: DataFrame, grams: list[np.ndarray]) -> float:

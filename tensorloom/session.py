@@ -36,6 +36,17 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
 
 def settled(df: DataFrame, purpose: str = "settled") -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, lost executors cost nothing."""
+    return settled_at(df, purpose)[1]
+
+
+def settled_at(df: DataFrame, purpose: str = "settled") -> tuple[str, DataFrame]:
+    """The folder that settled writes, and its table."""
     path = shared_path(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a folder of settled_at, once no table that is still read comes from it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

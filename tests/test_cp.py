@@ -81,6 +81,21 @@ def test_table_form_equals_kernel(spark):
     assert np.allclose(got, want.factors[0], atol=1e-8)
 
 
+def test_starts_side_by_side_equal_the_kernel(spark, monkeypatch):
+    """Starts that end at different iterations and passes of few columns give each seed's own model."""
+    x, _ = planted((5, 3, 4))
+    coo, options = tensorize.from_numpy(spark, x), cp.CPOptions(12, 5, 2e-2)
+    monkeypatch.setattr(cp, "PASS_COLUMNS", 6)
+    found = cp.cp_tables(coo, 2, options, range(5))
+    want = {s: kernel.decompose(x, 2, 12, 2e-2, s) for s in range(5)}
+    assert len({len(w.errors) for w in want.values()}) > 1
+    for seed, fit in found.items():
+        assert np.allclose(fit.errors, want[seed].errors, atol=1e-8) and len(fit.errors) == len(want[seed].errors)
+        for table, gram, array in zip(fit.factors, fit.grams, want[seed].factors):
+            assert np.allclose(np.array([r["row"] for r in table.orderBy("idx").collect()]), array, atol=1e-8)
+            assert np.allclose(gram, array.T @ array, atol=1e-8)
+
+
 def test_scaling_of_a_zero_column(spark):
     df = spark.createDataFrame([(0, 3.0), (0, 4.0), (1, 0.0)], "r int, value double")
     assert sorted((r["r"], r["value"]) for r in linalg.scale_columns(df, ["r"]).collect() if r["value"] is not None) == [(0, 0.6), (0, 0.8)]
