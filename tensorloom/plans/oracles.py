@@ -122,35 +122,35 @@ STARTS = 50
 T0 = COO.replace("t AS (", "t AS MATERIALIZED (")
 
 
-def _starts(n: int) -> list[str]:
-    """CTEs z0, z1, z2 (seed, idx, r, v): the factors of n starts by the arithmetic that the engine draws them with."""
+def _starts(n: int, cells: str = "t", task: str = "0") -> list[str]:
+    """CTEs z0, z1, z2 (seed, idx, r, v): the factors of n starts of each task by the arithmetic that the engine draws them with."""
     ctes = []
     for mode in range(3):
-        first = f"(idx * 1000003 + r * 7919 + {mode * 104729 + 11} + seed * 15485863) % 2147483647"
-        ctes.append(f"u{mode}_0 AS (SELECT seed, idx, r, {first} AS u FROM (SELECT DISTINCT m{mode}::BIGINT AS idx FROM t), {R2}, (SELECT unnest(range(0, {n})) AS seed))")
+        first = f"(idx * 1000003 + r * 7919 + {mode * 104729 + 11} + start * 15485863) % 2147483647"
+        ctes.append(f"u{mode}_0 AS (SELECT task * {n} + start AS seed, idx, r, {first} AS u FROM (SELECT DISTINCT {task}::BIGINT AS task, m{mode}::BIGINT AS idx FROM {cells}), {R2}, (SELECT unnest(range(0, {n})) AS start))")
         ctes += [f"u{mode}_{k + 1} AS (SELECT seed, idx, r, (u * u + u * 48271 + {12345 * (k + 1)}) % 2147483647 AS u FROM u{mode}_{k})" for k in range(4)]
         ctes.append(f"z{mode} AS MATERIALIZED (SELECT seed, idx, r, u / 2147483647::DOUBLE AS v FROM u{mode}_4)")
     return ctes
 
 
-def _update(mode: int, name: str, held: list[str]) -> str:
-    """CTEs of one multiplicative update of all starts; held names the factors (seed, idx, r, v) before it."""
+def _update(mode: int, name: str, held: list[str], cells: str = "t", of: str = "") -> str:
+    """CTEs of one multiplicative update of all starts; held names the factors (seed, idx, r, v) before it, of the cells of a start."""
     a, b = (k for k in range(3) if k != mode)
     eps = "2.220446049250313e-16::DOUBLE"
     g = lambda k: f"(SELECT seed, p.r, q.r AS s, sum(p.v * q.v) AS g FROM {held[k]} p JOIN {held[k]} q USING (seed, idx) GROUP BY ALL)"
     return f"""
-m{name} AS MATERIALIZED (SELECT p.seed, t.m{mode} AS idx, p.r, sum(t.x * p.v * q.v) AS m FROM t JOIN {held[a]} p ON p.idx = t.m{a} JOIN {held[b]} q ON q.idx = t.m{b} AND q.r = p.r AND q.seed = p.seed GROUP BY ALL),
+m{name} AS MATERIALIZED (SELECT p.seed, t.m{mode} AS idx, p.r, sum(t.x * p.v * q.v) AS m FROM {cells} t JOIN {held[a]} p ON p.idx = t.m{a}{of} JOIN {held[b]} q ON q.idx = t.m{b} AND q.r = p.r AND q.seed = p.seed GROUP BY ALL),
 g{name} AS MATERIALIZED (SELECT seed, x.r, x.s, x.g * y.g AS g FROM {g(a)} x JOIN {g(b)} y USING (seed, r, s)),
 d{name} AS MATERIALIZED (SELECT h.seed, h.idx, g.s AS r, sum(h.v * g.g) AS d FROM {held[mode]} h JOIN g{name} g ON g.r = h.r AND g.seed = h.seed GROUP BY ALL),
 {name} AS MATERIALIZED (SELECT seed, idx, r, h.v * greatest(coalesce(m, 0), {eps}) / greatest(d, {eps}) AS v FROM {held[mode]} h JOIN d{name} USING (seed, idx, r) LEFT JOIN m{name} USING (seed, idx, r))"""
 
 
-def _error(held: list[str]) -> str:
+def _error(held: list[str], cells: str = "t", of: str = "") -> str:
     """seed, error: the relative error of the models of held."""
     a, b, c = held
-    cells = f"""SELECT p.seed, any_value(t.x) AS x, sum(p.v * q.v * w.v) AS y FROM t JOIN {a} p ON p.idx = t.m0 JOIN {b} q ON q.idx = t.m1 AND q.r = p.r AND q.seed = p.seed
+    both = f"""SELECT p.seed, any_value(t.x) AS x, sum(p.v * q.v * w.v) AS y FROM {cells} t JOIN {a} p ON p.idx = t.m0{of} JOIN {b} q ON q.idx = t.m1 AND q.r = p.r AND q.seed = p.seed
         JOIN {c} w ON w.idx = t.m2 AND w.r = p.r AND w.seed = p.seed GROUP BY p.seed, t.m0, t.m1, t.m2"""
-    return f"SELECT seed, sqrt(sum((x - y) * (x - y))) / sqrt(sum(x * x)) AS error FROM ({cells}) GROUP BY seed"
+    return f"SELECT seed, sqrt(sum((x - y) * (x - y))) / sqrt(sum(x * x)) AS error FROM ({both}) GROUP BY seed"
 
 
 def _table_fit(iterations: int) -> str:
@@ -165,21 +165,46 @@ def _table_fit(iterations: int) -> str:
     return f"WITH {T0}, {', '.join(ctes)} {rows}"
 
 
-def _best_of(starts: int, tol: float) -> str:
-    """Every start until its error settles, by recursion; the factors of the start with the least error."""
+def _settled(starts: int, tol: float, cells: str = "t", task: str = "0", of: str = "") -> str:
+    """CTE st: the factors of every start after each iteration until its error settles (NOT going), by recursion."""
     step, held = [f"h{m} AS MATERIALIZED (SELECT seed, idx, r, v FROM st WHERE mode = {m} AND going)" for m in range(3)], ["h0", "h1", "h2"]
     for mode in range(3):
-        step.append(_update(mode, f"f{mode}", held))
+        step.append(_update(mode, f"f{mode}", held, cells, of))
         held[mode] = f"f{mode}"
     step.append("old AS MATERIALIZED (SELECT seed, any_value(it) + 1 AS it, any_value(error) AS was FROM st WHERE going GROUP BY seed)")
-    step.append(f"now AS MATERIALIZED (SELECT seed, it, error, it < 2 OR abs(was - error) >= {tol}::DOUBLE AS going FROM ({_error(held)}) JOIN old USING (seed))")
+    step.append(f"now AS MATERIALIZED (SELECT seed, it, error, it < 2 OR abs(was - error) >= {tol}::DOUBLE AS going FROM ({_error(held, cells, of)}) JOIN old USING (seed))")
     base = " UNION ALL ".join(f"SELECT seed, 0::BIGINT AS it, {m} AS mode, idx, r, v, NULL::DOUBLE AS error, true AS going FROM z{m}" for m in range(3))
     rows = " UNION ALL ".join(f"SELECT seed, it, {m} AS mode, idx, r, v, error, going FROM {name} JOIN now USING (seed)" for m, name in enumerate(held))
-    return f"""WITH RECURSIVE {T0}, {', '.join(_starts(starts))}, st AS (SELECT * FROM ({base}) UNION ALL (WITH {', '.join(step)} SELECT * FROM ({rows}))),
+    return f"{', '.join(_starts(starts, cells, task))}, st AS (SELECT * FROM ({base}) UNION ALL (WITH {', '.join(step)} SELECT * FROM ({rows})))"
+
+
+def _best_of(starts: int, tol: float) -> str:
+    """The factors of the start with the least error."""
+    return f"""WITH RECURSIVE {T0}, {_settled(starts, tol)},
         best AS (SELECT seed FROM st WHERE NOT going GROUP BY seed ORDER BY any_value(error), seed LIMIT 1)
         SELECT seed, it AS n_iter, round(error, 6) + 0.0 AS error, mode::BIGINT AS mode, idx, r, round(v, 5) + 0.0 AS value FROM st JOIN best USING (seed) WHERE NOT going"""
 
 
+# order of the samples s of the tensor in each round a
+ORDERED = "so AS (SELECT a, s, row_number() OVER (PARTITION BY a ORDER BY (s * 2654435761 + a * 40503) % 1000003, s) - 1 AS k FROM (SELECT DISTINCT m0 AS s FROM t), (SELECT unnest(range(0, {rounds})) AS a))"
+HALVES = ORDERED.format(rounds=10) + ", tk AS (SELECT 2 * a + (k >= (SELECT count(DISTINCT m0) FROM t) // 2)::BIGINT AS task, s FROM so)"
+TRAIN = ORDERED.format(rounds=2) + ", tk AS (SELECT 5 * a + f AS task, s FROM so, (SELECT unnest(range(0, 5)) AS f) WHERE k % 5 <> f)"
+
+
+def _matched(starts: int, tol: float, tasks: str, pairs: str, modes: str) -> str:
+    """CTE fm (i, j, score): every task of the samples decomposed, and the better of both ways to match the components of each pair's best models."""
+    return f"""WITH RECURSIVE {T0}, {tasks}, ps AS (SELECT task, s, row_number() OVER (PARTITION BY task ORDER BY s) - 1 AS pos FROM tk),
+        tt AS MATERIALIZED (SELECT task, pos AS m0, m1, m2, x FROM t JOIN ps ON s = m0), {_settled(starts, tol, "tt", "task", f" AND p.seed // {starts} = t.task")},
+        ended AS (SELECT seed, any_value(error) AS error FROM st WHERE NOT going GROUP BY seed),
+        best AS (SELECT seed // {starts} AS task, seed FROM ended QUALIFY row_number() OVER (PARTITION BY seed // {starts} ORDER BY error, seed) = 1),
+        mo AS MATERIALIZED (SELECT b.task, mode, CASE WHEN mode = 0 THEN s ELSE idx END AS idx, r, v FROM st JOIN best b USING (seed) LEFT JOIN ps ON mode = 0 AND ps.task = b.task AND pos = idx WHERE NOT going),
+        pr AS ({pairs}),
+        co AS (SELECT i, j, x.mode, x.r, y.r AS q, coalesce(sum(x.v * y.v) / nullif(sqrt(sum(x.v * x.v) * sum(y.v * y.v)), 0), 0) AS c
+            FROM pr JOIN mo x ON x.task = i JOIN mo y ON y.task = j AND y.mode = x.mode AND y.idx = x.idx WHERE x.mode IN ({modes}) GROUP BY ALL),
+        pc AS (SELECT i, j, r, q, product(abs(c)) AS c FROM co GROUP BY ALL),
+        fm AS (SELECT i, j, round(greatest(sum(c) FILTER (r = q), sum(c) FILTER (r <> q)) / 2, 6) + 0.0 AS score FROM pc GROUP BY ALL)"""
+
+
 # long components of the nations' mode, and variables
 LONG = f"""{MODE},
 lc AS (SELECT subjects, r_name, length(n_name)::DOUBLE AS letters, subjects::DOUBLE AS key, unnest([0, 1, 2])::BIGINT AS component, unnest([comp_0, comp_1, comp_2]) AS value FROM m)"""
@@ -280,6 +305,10 @@ SQL = {
         SELECT n, round(slope, 6) + 0.0 AS slope, round(intercept, 6) + 0.0 AS intercept, round(r * r, 6) + 0.0 AS r2, round(p, 6) + 0.0 AS p, p < 0.05 AS significant, format('$R^2={{:.2f}}$, $p={{:.1g}} $', r * r, p) AS text FROM d""",
     "cp_table_fit": _table_fit(3),
     "cp_best_of_n": _best_of(STARTS, 1e-5),
+    "fms_half": _matched(10, 1e-5, HALVES, "SELECT 2 * a AS i, 2 * a + 1 AS j FROM (SELECT unnest(range(0, 10)) AS a)", "1, 2") + " SELECT (i // 2)::BIGINT AS split, score FROM fm",
+    "fms_cv": _matched(10, 1e-5, TRAIN, "SELECT DISTINCT a.task AS i, b.task AS j FROM tk a, tk b WHERE a.task < b.task AND a.task // 5 = b.task // 5", "0, 1, 2")
+    + """, cm AS (SELECT a.task AS i, b.task AS j, string_agg(a.s::VARCHAR, ',' ORDER BY a.s) AS common FROM tk a JOIN tk b ON a.s = b.s AND a.task < b.task AND a.task // 5 = b.task // 5 GROUP BY ALL)
+        SELECT common, i::BIGINT AS fold_i, j::BIGINT AS fold_j, score FROM fm JOIN cm USING (i, j)""",
     "subject_tests": f"""WITH {LONG}, f AS (SELECT component, r_name AS g, min(subjects) AS first, count(*) AS n FROM lc GROUP BY ALL),
         p AS (SELECT a.component, a.g AS ga, b.g AS gb, a.n AS na, b.n AS nb FROM f a JOIN f b ON a.component = b.component AND a.first < b.first)
         SELECT p.component, ga AS category_a, gb AS category_b, na AS n_a, nb AS n_b, sum(CASE WHEN x.value > y.value THEN 1.0::DOUBLE WHEN x.value = y.value THEN 0.5::DOUBLE ELSE 0 END) AS u

@@ -314,11 +314,13 @@ SCORED = cps.CPOptions(starts=10)
 
 
 def fms_half(spark: SparkSession, d: str) -> DataFrame:
-    return rep.evaluate(rep.HalfHalf(10), coo(spark, d), RANK, options=SCORED)
+    rows = rep.evaluate(rep.HalfHalf(10), coo(spark, d), RANK, options=SCORED)
+    return typed(rows, split="bigint", score="double").withColumn("score", rounded("score"))
 
 
 def fms_cv(spark: SparkSession, d: str) -> DataFrame:
-    return rep.evaluate(rep.CrossValidation(5, 2), coo(spark, d), RANK, options=SCORED)
+    rows = rep.evaluate(rep.CrossValidation(5, 2), coo(spark, d), RANK, options=SCORED).withColumn("common", F.array_join("common", ","))
+    return typed(rows, common="string", fold_i="bigint", fold_j="bigint", score="double").withColumn("score", rounded("score"))
 
 
 def nation_mode(spark: SparkSession, d: str) -> DataFrame:
