@@ -156,10 +156,11 @@ def _block(k: int, rank: int):
 def _written(step: DataFrame, rank: int, starts: int) -> tuple[str, DataFrame, np.ndarray, np.ndarray]:
     """Path and table of a factor (idx, row, product), its starts' Grams and inner products of rows and products, seen while it is written."""
     seen = Observation()
-    at = lambda c, k, r: F.get(c, F.lit(k * rank + r))
-    grams = F.array(*[F.sum(at("row", k, r) * at("row", k, s)) for k in range(starts) for r in range(rank) for s in range(rank)])
-    inner = F.array(*[F.sum(reduce(lambda a, b: a + b, [at("row", k, r) * at("product", k, r) for r in range(rank)])) for k in range(starts)])
-    path, factor = settled_at(step.observe(seen, grams.alias("grams"), inner.alias("inner")).select("idx", "row"), "factor")
+    cell = lambda c, k, r: f"get({c}, {k * rank + r})"
+    grams = [f"sum({cell('row', k, r)} * {cell('row', k, s)})" for k in range(starts) for r in range(rank) for s in range(rank)]
+    inner = [f"sum({' + '.join(cell('row', k, r) + ' * ' + cell('product', k, r) for r in range(rank))})" for k in range(starts)]
+    sums = [F.expr(f"array({', '.join(values)})").alias(name) for name, values in (("grams", grams), ("inner", inner))]
+    path, factor = settled_at(step.observe(seen, *sums).select("idx", "row"), "factor")
     known = lambda values: np.array([v if v is not None else 0.0 for v in values])
     return path, factor, known(seen.get["grams"]).reshape(starts, rank, rank), known(seen.get["inner"])
 

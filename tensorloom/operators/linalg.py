@@ -33,8 +33,9 @@ def to_packed(long: DataFrame, rank: int, *keys: str) -> DataFrame:
     return long.groupBy(*keys, "idx").agg(F.array(*cells).alias("row"))
 
 
-def _sums(row: Column, rank: int) -> Column:
-    return F.array(*[F.sum(F.get(row, F.lit(r))) for r in range(rank)])
+def _sums(row: str, rank: int) -> Column:
+    """The sums of each place of an array column; as text, since a Column for each part takes longer than the sums."""
+    return F.expr(f"array({', '.join(f'sum(get({row}, {r}))' for r in range(rank))})")
 
 
 def gram(factor: DataFrame, rank: int) -> DataFrame:
@@ -58,11 +59,7 @@ def mttkrp(coo: DataFrame, factors: list[DataFrame], mode: int, rank: int) -> Da
         if k != mode:
             coo = coo.join(f.select(F.col("idx").alias(f"m{k}"), F.col("row").alias(f"_f{k}")), f"m{k}")
             row = F.zip_with(row, F.col(f"_f{k}"), lambda a, b: a * b)
-    return coo.select(F.col(f"m{mode}").alias("idx"), row.alias("_row")).groupBy("idx").agg(_sums(F.col("_row"), rank).alias("row"))
-
-
-def _matrix(g: np.ndarray) -> list[Column]:
-    return [F.array(*[F.lit(float(v)) for v in col]) for col in g.T]
+    return coo.select(F.col(f"m{mode}").alias("idx"), row.alias("_row")).groupBy("idx").agg(_sums("_row", rank).alias("row"))
 
 
 def updated(factor: DataFrame, product: DataFrame, others: np.ndarray) -> DataFrame:
@@ -73,16 +70,17 @@ def updated(factor: DataFrame, product: DataFrame, others: np.ndarray) -> DataFr
     """
     blocks = others if others.ndim == 3 else others[None]
     rank = blocks.shape[-1]
-    dots = [
-        F.aggregate(F.zip_with(F.slice("row", s * rank + 1, rank), col, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-        for s, block in enumerate(blocks)
-        for col in _matrix(block)
-    ]
-    n = len(dots)
+    eps = f"CAST('{EPS!r}' AS DOUBLE)"
+    cells = []
+    for s, block in enumerate(blocks):
+        for r in range(rank):
+            column = ", ".join(f"CAST('{float(v)!r}' AS DOUBLE)" for v in block[:, r])
+            dot = f"aggregate(zip_with(slice(row, {s * rank + 1}, {rank}), array({column}), (a, b) -> a * b), CAST(0 AS DOUBLE), (a, v) -> a + v)"
+            k = s * rank + r
+            cells.append(f"get(row, {k}) * greatest(get(product, {k}), {eps}) / greatest({dot}, {eps})")
     m = product.select("idx", F.col("row").alias("product"))
-    held = factor.join(m, "idx", "left").withColumn("product", F.coalesce("product", F.array_repeat(F.lit(0.0), n)))
-    cells = [F.get("row", F.lit(k)) * F.greatest(F.get("product", F.lit(k)), F.lit(EPS)) / F.greatest(dots[k], F.lit(EPS)) for k in range(n)]
-    return held.select("idx", F.array(*cells).alias("row"), "product")
+    held = factor.join(m, "idx", "left").withColumn("product", F.coalesce("product", F.array_repeat(F.lit(0.0), len(cells))))
+    return held.select("idx", F.expr(f"array({', '.join(cells)})").alias("row"), "product")
 
 
 def mu_step(factor: DataFrame, product: DataFrame, others: np.ndarray) -> DataFrame:
