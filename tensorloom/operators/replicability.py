@@ -18,6 +18,7 @@ from ..schema import ConvergenceError
 from ..session import settled
 from . import kernel, linalg
 from .cp import TASK_BYTES, CPOptions, best_start, check_tensor, cp, dense, fit_starts, shape_of
+from .stats import sums_before
 from .tensorize import gather_rows
 
 
@@ -26,6 +27,12 @@ def mixed(idx: Column, round_: Column, seed: int = 0) -> Column:
     return (idx.cast("long") * 2654435761 + (round_.cast("long") + seed * 7919) * 40503) % 1000003
 
 
+def numbered(rows: DataFrame, by: list[str], name: str, *order: str) -> DataFrame:
+    """rows with their place, from 0, in the order of columns that tell the rows of `by` apart; counted in ranges, so no task sorts a group."""
+    marked = rows.withColumns({"_one": F.lit(1), "_at": F.struct(*order)})
+    return sums_before(marked, by, "_at", _place="_one").withColumn(name, F.col("_place").cast("int")).drop("_one", "_at", "_place")
+
+
 def strata_counts(samples: DataFrame) -> DataFrame:
     """stratum, n_c, first: one row per class, classes known by their first sample."""
     return samples.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_c"), F.min("sample_idx").alias("first"))
@@ -57,11 +64,9 @@ def check_strata(samples: DataFrame) -> None:
 def half_half(samples: DataFrame, repeats: int, seed: int = 0) -> DataFrame:
     """task_a (split), task_b (0 train, 1 test), pos, sample_idx of stratified half splits."""
     rows = samples.select("sample_idx", "stratum", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("task_a"))
-    order = Window.partitionBy("task_a", "stratum").orderBy("_h", "sample_idx")
-    rows = rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("task_a"), seed)).withColumn("_k", F.row_number().over(order))
-    rows = rows.join(train_counts(samples), "stratum").withColumn("task_b", (F.col("_k") > F.col("n_train")).cast("int"))
-    place = Window.partitionBy("task_a", "task_b").orderBy("sample_idx")
-    return rows.select("task_a", "task_b", (F.row_number().over(place) - 1).alias("pos"), "sample_idx")
+    rows = numbered(rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("task_a"), seed)), ["task_a", "stratum"], "_k", "_h", "sample_idx")
+    rows = rows.join(train_counts(samples), "stratum").select("task_a", (F.col("_k") >= F.col("n_train")).cast("int").alias("task_b"), "sample_idx")
+    return numbered(rows, ["task_a", "task_b"], "pos", "sample_idx").select("task_a", "task_b", "pos", "sample_idx")
 
 
 def cv_folds(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> DataFrame:
@@ -75,8 +80,7 @@ def cv_folds(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> Da
     c = c.select("stratum", before.alias("_before"))
     rows = samples.select("sample_idx", "stratum", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     rows = rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("repeat"), seed))
-    order = Window.partitionBy("repeat", "stratum").orderBy("_h", "sample_idx")
-    rows = rows.withColumn("_k", F.row_number().over(order) - 1).join(c, "stratum")
+    rows = numbered(rows, ["repeat", "stratum"], "_k", "_h", "sample_idx").join(c, "stratum")
     return rows.select("repeat", ((F.col("_before") + F.col("_k")) % splits).cast("int").alias("fold"), "sample_idx")
 
 
@@ -86,8 +90,7 @@ def cv_tasks(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> Da
     other = F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_out")
     rows = folds.select("repeat", "fold", "sample_idx", other).where("_out != fold")
     rows = rows.select((F.col("repeat") * splits + F.col("_out")).alias("task_a"), F.col("repeat").alias("task_b"), "sample_idx")
-    place = Window.partitionBy("task_a").orderBy("sample_idx")
-    return rows.select("task_a", "task_b", (F.row_number().over(place) - 1).alias("pos"), "sample_idx")
+    return numbered(rows, ["task_a"], "pos", "sample_idx").select("task_a", "task_b", "pos", "sample_idx")
 
 
 def cv_pairs(splits: int, repeats: int, spark) -> DataFrame:
