@@ -96,5 +96,29 @@ FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source, l
 """
 
 
+
+def _kmeans(k: int = 40, rounds: int = 5) -> str:
+    """Assignments and means of every round written out, one after another."""
+    steps = [
+        """v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER o - 1 AS c, v AS m FROM v WINDOW o AS (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) QUALIFY row_number() OVER o <= {k})",
+    ]
+    for r in range(rounds + 1):
+        apart = "list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT id, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, c)) AS best FROM (SELECT id, vec_id, v, c, {apart} AS d FROM (SELECT row_number() OVER () AS id, * FROM v), c{r}) GROUP BY id)")
+        if r < rounds:
+            mean = "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)"  # floor of an exact quotient
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{r} AS o LEFT JOIN (SELECT c, list(m ORDER BY i) AS m FROM (
+    SELECT best[2] AS c, i, ({mean})::BIGINT AS m FROM (SELECT best, unnest(v)::HUGEINT AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY ALL) GROUP BY c) AS n USING (c))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c::INT AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best[2] = c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op3_quality_rules": OP3, "op7_warc": OP7, "rules_ablation": ABLATION, "pii_base": PII, "mixing_targets": TARGETS}
+    return {
+        "op1_exact_dedup": OP1, "op3_quality_rules": OP3, "op7_warc": OP7, "op11_kmeans": _kmeans(),
+        "rules_ablation": ABLATION, "pii_base": PII, "mixing_targets": TARGETS,
+    }

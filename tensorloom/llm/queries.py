@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .clustering import cluster
 from .common import read_table, tokenizer_path, written
 from .exact_dedup import exact_dedup
 from .html_extract import extract
@@ -67,6 +68,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages, train_extractor(pages))
 
 
+def op11_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
 def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the current policy does by itself, from the bits of the ledger."""
     return ablation(rule_ledger(read_table(spark, sf_dir, "documents")))
@@ -83,6 +88,6 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten operators, and parts of their results that have an oracle."""
+    """The numbered operators, and parts of their results that have an oracle."""
     parts = {f.__name__: f for f in (rules_ablation, pii_base, mixing_targets)}
     return {name: f for name, f in globals().items() if name.startswith("op")} | parts
