@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .clustering import cluster
+from .collocations import collocations
 from .common import read_table, tokenizer_path, written
 from .exact_dedup import exact_dedup
 from .html_extract import extract
@@ -72,6 +73,10 @@ def op11_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the current policy does by itself, from the bits of the ledger."""
     return ablation(rule_ledger(read_table(spark, sf_dir, "documents")))
