@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1 = f"""
@@ -134,8 +136,41 @@ WINDOW x AS (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.g) QUALIFY row_n
 """
 
 
+def _pattern(parts: tuple, spellings: dict[str, list[str]]) -> str:
+    """A template as a pattern over words that each have a blank behind them."""
+    out = ""
+    for p in parts:
+        if isinstance(p, str):
+            out += f"(?:{'|'.join([p, *spellings.get(p, [])])}) "
+        elif isinstance(p, licenses.Optional):
+            out += f"(?:{_pattern(p.parts, spellings)})?"
+        elif p.texts:
+            out += f"(?:{'|'.join(_pattern(t, spellings) for t in p.texts)})"
+        else:
+            out += f"(?:[^ ]+ ){{{p.least},{p.most}}}"
+    return out
+
+
+def _licenses() -> str:
+    places = " || ".join(
+        f"list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {k}] = ' + repr(x) for k, x in enumerate(phrase.split()))})" for phrase in licenses.BASE
+    )
+    tests = [(label, licenses.parse(markup), licenses.SPELLINGS if spelled else {}) for label, markup, spelled in licenses.all_templates()]
+    held = lambda value: "[" + ", ".join(f"CASE WHEN regexp_matches(s, ' {_pattern(parts, spellings)}') THEN {value(label, parts)} END" for label, parts, spellings in tests) + "]"
+    base = ", ".join(f"CASE WHEN contains(s, ' {phrase} ') THEN '{label}' END" for phrase, label in licenses.BASE.items())
+    joined = lambda xs: f"array_to_string(list_sort(list_distinct(list_filter({xs}, lambda x: x IS NOT NULL))), ',')"
+    score = lambda _, parts: f"{licenses.strength(len(licenses.mandatory(parts)))!r}::DOUBLE"
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{licenses.WORD.pattern}') AS w FROM documents),
+p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s, {places} AS places FROM w)
+SELECT doc_id, len(w) AS n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, {joined(f"[{base}]")} AS base_labels,
+       {joined(held(lambda label, _: repr(label)))} AS labels, coalesce(list_max({held(score)}), 0.0::DOUBLE) AS score
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_exact_dedup": OP1, "op3_quality_rules": OP3, "op7_warc": OP7, "op11_kmeans": _kmeans(), "op12_collocations": OP12,
+        "op1_exact_dedup": OP1, "op3_quality_rules": OP3, "op7_warc": OP7, "op11_kmeans": _kmeans(), "op12_collocations": OP12, "op13_licenses": _licenses(),
         "rules_ablation": ABLATION, "pii_base": PII, "mixing_targets": TARGETS,
     }

@@ -14,6 +14,7 @@ from .common import read_table, tokenizer_path, written
 from .exact_dedup import exact_dedup
 from .html_extract import extract
 from .html_extract import train as train_extractor
+from .licenses import scan_licenses
 from .mixing import mix
 from .pii import find_pii, summary
 from .quality_model import score, train
@@ -77,6 +78,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the current policy does by itself, from the bits of the ledger."""
     return ablation(rule_ledger(read_table(spark, sf_dir, "documents")))
