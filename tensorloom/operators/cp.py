@@ -2,35 +2,40 @@
 
 Two ways behind one call. A tensor that fits a task is shared with all of them and every
 (task, start) is a row whose kernel runs in one Python batch: tasks times starts is the
-parallelism, and control crosses to the executors once. A larger tensor stays a table:
-each update is a join-and-aggregate plan for many starts at once, whose columns lie side by
-side in a factor's rows. Writing the factor is the one job of an update and ends lineage;
-the R x R Grams that the driver needs are observed while it is written.
+parallelism, and control crosses to the executors once. A larger tensor stays a table of
+blocks (blocks.py): an update is one pass over them for many starts and tasks at once,
+whose columns lie side by side in a factor's slices. Writing the slices ends lineage; what
+the driver needs of them are the R x R Grams, which are summed from parts beside each
+slice. A task of some rows of mode 0 has columns whose other rows are zero: an update by
+factors leaves them so, and what they would add to other modes is nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ConvergenceError
 from ..session import forget, settled, settled_at
-from . import kernel, linalg
+from . import kernel
+from .blocks import BlockedTensor, added, examined, packed, ranges, slice_table, unpacked
 
 #: Bytes of a dense tensor up to which every task gets it whole.
 TASK_BYTES = 256 << 20
 
-#: Columns (starts times rank) that one pass over a tensor held as a table updates, about.
-PASS_COLUMNS = 64
+#: Columns (tasks times starts times rank) that one pass over a tensor held as blocks updates, about.
+PASS_COLUMNS = 512
 
 RESULT = "task string, seed int, status string, n_iter int, error double, mode int, idx int, row array<double>"
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
+KINDS = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
 
 
 @dataclass(frozen=True)
@@ -40,24 +45,12 @@ class CPOptions:
     tol: float = 1e-5
 
 
-def shape_of(coo: DataFrame) -> tuple[int, ...]:
-    """The extent of each mode."""
-    modes = sorted((c for c in coo.columns if c.startswith("m") and c[1:].isdigit()), key=lambda c: int(c[1:]))
-    top = coo.agg(*[F.max(m) for m in modes]).first()
-    return tuple(int(n) + 1 if n is not None else 0 for n in top)
-
-
-def check_tensor(coo: DataFrame) -> None:
-    """Missing cells are an error: completeness is up to prepare_tensor."""
-    bad = coo.where(F.col("x").isNull() | F.isnan("x"))
-    if not bad.isEmpty():
-        raise ValueError("the tensor has NULL or NaN cells")
-
-
 def dense(coo: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """A small tensor on the driver (its size is checked by the caller)."""
+    """A small tensor on the driver (its size is checked by the caller); repeated cells raise."""
     out = np.zeros(shape)
     rows = coo.toPandas()
+    if rows.duplicated([f"m{k}" for k in range(len(shape))]).any():
+        raise ValueError("the tensor has repeated cells")
     out[tuple(rows[f"m{k}"] for k in range(len(shape)))] = rows["x"]
     return out
 
@@ -68,8 +61,6 @@ def fit_starts(spark: SparkSession, x: np.ndarray, tasks: dict[str, list[int] |
     A rejected start gives one row without a factor, so that its status is seen.
     """
     shared = spark.sparkContext.broadcast((x, tasks))
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, members = shared.value
@@ -83,7 +74,7 @@ def fit_starts(spark: SparkSession, x: np.ndarray, tasks: dict[str, list[int] |
                     rows = [(*head, m, i, f[i].tolist()) for m, f in enumerate(fit.factors) for i in range(len(f))]
                 else:
                     rows = [(*head, None, None, None)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], NAMES)
 
     frame = pd.DataFrame([(t, s) for t in tasks for s in range(options.starts)], columns=["task", "seed"]).astype({"seed": "int32"})
     # each start is a task of its own, so that slow ones don't wait for each other
@@ -105,105 +96,221 @@ def fits(results: DataFrame) -> DataFrame:
 def cp(coo: DataFrame, rank: int, options: CPOptions = CPOptions(), task_bytes: int = TASK_BYTES) -> DataFrame:
     """RESULT rows (task 'all') of the best accepted start of a tensor of any order >= 2.
 
-    Raises ConvergenceError if no start is accepted, ValueError for NULL or NaN cells.
+    Raises ConvergenceError if no start is accepted, ValueError for NULL, NaN or repeated cells.
     """
     coo = settled(coo, "tensor")
-    check_tensor(coo)
-    shape = shape_of(coo)
+    shape, _ = examined(coo)
     if 8 * np.prod(shape, dtype=float) <= task_bytes:
         results = settled(fit_starts(coo.sparkSession, dense(coo, shape), {"all": None}, rank, options), "cp-starts")
         best = best_start(results)
         if best.isEmpty():
             raise ConvergenceError(f"none of {options.starts} starts was accepted: {[tuple(r) for r in fits(results).groupBy('status').count().collect()]}")
         return best
-    found = cp_tables(coo, rank, options, range(options.starts))
-    states = {seed: kernel.status(fit.errors, fit.grams, options.max_iter) for seed, fit in found.items()}
-    good = [(found[seed].errors[-1], seed) for seed, state in states.items() if state == "accepted"]
-    if not good:
-        raise ConvergenceError(f"none of {options.starts} starts was accepted: {list(states.values())}")
-    error, seed = min(good)
-    factors, errors = found[seed].factors, found[seed].errors
-    parts = [f.select(F.lit("all").alias("task"), F.lit(seed).alias("seed"), F.lit("accepted").alias("status"), F.lit(len(errors)).alias("n_iter"), F.lit(error).alias("error"), F.lit(m).alias("mode"), "idx", "row") for m, f in enumerate(factors)]
-    return reduce(DataFrame.unionByName, parts)
+    return best_tables(coo, {"all": None}, rank, options)
 
 
-def start_table(spark: SparkSession, n: int, rank: int, seed: int, mode: int) -> DataFrame:
-    """The same start as kernel.start, as a table."""
-    return _starts(spark, n, rank, [seed], mode)
+def best_tables(coo: DataFrame, tasks: dict[str, None] | DataFrame, rank: int, options: CPOptions) -> DataFrame:
+    """RESULT rows of the best accepted start of each task, all tasks and starts in shared passes over the tensor's blocks.
 
+    tasks: a table (task, pos, sample_idx) of the rows of mode 0 that are the task's, in
+    their order, or {"all": None}. A task without an accepted start raises ConvergenceError.
+    """
+    spark, tensor = coo.sparkSession, BlockedTensor.build(coo)
+    members = tasks if isinstance(tasks, DataFrame) else None
+    names = sorted(tasks) if members is None else sorted(r[0] for r in members.select("task").distinct().collect())  # as many as tasks
+    try:
+        found = fit_tables(tensor, [(t, s) for t in names for s in range(options.starts)], rank, options, members)
+    finally:
+        tensor.close()
+    states = {key: kernel.status(fit.errors, fit.grams, options.max_iter) for key, fit in found.items()}
+    best = {}
+    for name in names:
+        good = [(found[name, s].errors[-1], s) for s in range(options.starts) if states[name, s] == "accepted"]
+        if not good:
+            raise ConvergenceError(f"none of {options.starts} starts was accepted for task {name}: {[states[name, s] for s in range(options.starts)]}")
+        best[name] = min(good)
+    parts = []
+    shots = {id(found[t, s].shot): found[t, s].shot for t, (_, s) in best.items()}
+    for key, shot in shots.items():
+        chosen = [(t, s, len(found[t, s].errors), e, found[t, s].first) for t, (e, s) in best.items() if id(found[t, s].shot) == key]
+        parts += [_rows_of(shot, m, side, rank, chosen) for m, side in enumerate(tensor.sides)]
+    rows = reduce(DataFrame.unionByName, parts)
+    if members is None:
+        return rows
+    at = members.select("task", F.lit(0).alias("mode"), F.col("sample_idx").alias("idx"), "pos")
+    own = rows.where("mode = 0").join(at, ["task", "mode", "idx"]).withColumn("idx", F.col("pos").cast("int")).drop("pos")
+    return own.unionByName(rows.where("mode > 0"))
 
-def _starts(spark: SparkSession, n: int, rank: int, seeds: list[int], mode: int) -> DataFrame:
-    """idx, row: the starts of all seeds, one after another in each row."""
-    cells = F.array(*[F.struct(F.lit(s).cast("long").alias("seed"), F.lit(r).cast("long").alias("r")) for s in seeds for r in range(rank)])
-    row = F.transform(cells, lambda c: kernel.drawn(F.col("id"), c["r"], mode, c["seed"]))
-    return spark.range(n).select(F.col("id").cast("int").alias("idx"), row.alias("row"))
+
+@dataclass
+class Shot:
+    """Factors (b, m) of several fits side by side."""
+
+    factors: list[DataFrame]
+    columns: int
 
 
 @dataclass
 class TableFit:
-    """One start's factors (idx, row), the error after each iteration, and the factors' Grams."""
+    """One start of a task: its columns of a shot, the error after each iteration, and the factors' Grams."""
 
-    factors: list[DataFrame]
-    errors: list[float]
-    grams: list[np.ndarray]
+    shot: Shot
+    first: int
+    rank: int
+    sides: tuple[int, ...]
+    errors: list[float] = field(default_factory=list)
+    grams: list[np.ndarray] = field(default_factory=list)
 
+    @property
+    def factors(self) -> list[DataFrame]:
+        """idx, row of each mode."""
+        return [unpacked(f, side, self.shot.columns, self.first, self.rank) for f, side in zip(self.shot.factors, self.sides)]
 
-def _block(k: int, rank: int):
-    """The columns of the k-th start in a factor that holds several."""
-    return F.slice("row", k * rank + 1, rank)
 
+def _rows_of(shot: Shot, mode: int, side: int, rank: int, chosen: list[tuple[str, int, int, float, int]]) -> DataFrame:
+    """RESULT rows of a mode of the chosen fits (task, seed, iterations, error, first column)."""
+    columns = shot.columns
 
-def _written(step: DataFrame, rank: int, starts: int) -> tuple[str, DataFrame, np.ndarray, np.ndarray]:
-    """Path and table of a factor (idx, row, product), its starts' Grams and inner products of rows and products, seen while it is written."""
-    seen = Observation()
-    cell = lambda c, k, r: f"get({c}, {k * rank + r})"
-    grams = [f"sum({cell('row', k, r)} * {cell('row', k, s)})" for k in range(starts) for r in range(rank) for s in range(rank)]
-    inner = [f"sum({' + '.join(cell('row', k, r) + ' * ' + cell('product', k, r) for r in range(rank))})" for k in range(starts)]
-    sums = [F.expr(f"array({', '.join(values)})").alias(name) for name, values in (("grams", grams), ("inner", inner))]
-    path, factor = settled_at(step.observe(seen, *sums).select("idx", "row"), "factor")
-    known = lambda values: np.array([v if v is not None else 0.0 for v in values])
-    return path, factor, known(seen.get["grams"]).reshape(starts, rank, rank), known(seen.get["inner"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for b, m in zip(t.column("b").to_pylist(), t.column("m").to_pylist()):
+                whole = np.frombuffer(m).reshape(-1, columns)
+                for task, seed, n, error, first in chosen:
+                    rows = [(task, seed, "accepted", n, error, mode, i + b * side, r.tolist()) for i, r in enumerate(whole[:, first : first + rank])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], NAMES)
 
+    return shot.factors[mode].select("b", "m").mapInArrow(run, RESULT)
+
+
+SLICE = "b int, m binary, sums array<double>"
+
+
+def _sums(m: np.ndarray, product: np.ndarray | None, rank: int) -> list[float]:
+    """A slice's share of each start's Gram, and of its inner product with the product along the mode."""
+    blocks = m.reshape(len(m), -1, rank)
+    inner = np.zeros(blocks.shape[1]) if product is None else (m * product).reshape(len(m), -1, rank).sum(axis=(0, 2))
+    return [*np.einsum("ijr,ijs->jrs", blocks, blocks).reshape(-1), *inner]
+
+
+def _starts(tensor: BlockedTensor, mode: int, keys: list[tuple[str, int]], rank: int, members: DataFrame | None) -> DataFrame:
+    """SLICE rows of the starts of all keys (task, seed); with members, rows of mode 0 start at their place in the task."""
+    n, side = tensor.shape[mode], tensor.sides[mode]
+    every = ranges(tensor.spark, n, side)
+    drawn = lambda idx, seed: kernel.drawn(idx.astype(np.int64)[:, None], np.arange(rank, dtype=np.int64)[None, :], mode, seed)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for b in t.column("b").to_pylist():
+                idx = np.arange(b * side, min(n, (b + 1) * side))
+                m = np.hstack([drawn(idx, seed) for _, seed in keys])
+                yield from slice_table(b, m, ("sums", _sums(m, None, rank))).to_batches()
+
+    if members is None or mode:
+        return every.mapInArrow(whole, SLICE)
+    tasks = {t for t, _ in keys}
+
+    def masked(t: pa.Table, at: pa.Table) -> pa.Table:
+        b = at.column("b")[0].as_py()
+        size = min(side, n - b * side)
+        names, rows, pos = (t.column(c).to_numpy(zero_copy_only=False) for c in ("task", "sample_idx", "pos"))
+        m = np.zeros((size, len(keys) * rank))
+        own = {task: names == task for task in tasks}
+        for k, (task, seed) in enumerate(keys):
+            m[rows[own[task]] - b * side, k * rank : (k + 1) * rank] = drawn(pos[own[task]], seed)
+        return slice_table(b, m, ("sums", _sums(m, None, rank)))
+
+    placed = members.select("task", "sample_idx", "pos", F.floor(F.col("sample_idx") / side).cast("int").alias("b"))
+    return placed.groupBy("b").cogroup(every.groupBy("b")).applyInArrow(masked, SLICE)
 
-def cp_tables(coo: DataFrame, rank: int, options: CPOptions, seeds: Iterable[int], init: list[DataFrame] | None = None) -> dict[int, TableFit]:
-    """The fits of all seeds with the tensor and its factors as tables, PASS_COLUMNS columns in a pass.
 
-    init: factors to start the first seed from. A start that has ended leaves the passes;
-    factors that no fit needs any more are removed.
+def _updated(factor: DataFrame, products: DataFrame, others: np.ndarray, rank: int, old: int, kept: list[int]) -> DataFrame:
+    """SLICE rows after one multiplicative update; of the `old` starts in factor those in `kept` go on, which products have."""
+    columns = len(kept) * rank
+
+    def run(shares: pa.Table, before: pa.Table) -> pa.Table:
+        b = before.column("b")[0].as_py()
+        m = np.frombuffer(before.column("m")[0].as_py()).reshape(-1, old, rank)[:, kept]
+        product = added(shares, columns) if shares.num_rows else np.zeros((len(m), columns))
+        model = np.einsum("ijr,jrs->ijs", m, others)
+        new = (m * np.maximum(product.reshape(m.shape), kernel.EPS) / np.maximum(model, kernel.EPS)).reshape(len(m), columns)
+        return slice_table(b, new, ("sums", _sums(new, product, rank)))
+
+    return products.groupBy("b").cogroup(factor.select("b", "m").groupBy("b")).applyInArrow(run, SLICE)
+
+
+def _narrowed(factor: DataFrame, rank: int, old: int, kept: list[int]) -> DataFrame:
+    """b, m with the columns of the kept starts alone."""
+    if len(kept) == old:
+        return factor.select("b", "m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for b, m in zip(t.column("b").to_pylist(), t.column("m").to_pylist()):
+                yield from slice_table(b, np.frombuffer(m).reshape(-1, old, rank)[:, kept].reshape(-1, len(kept) * rank)).to_batches()
+
+    return factor.select("b", "m").mapInArrow(run, "b int, m binary")
+
+
+def _written(slices: DataFrame, rank: int, starts: int) -> tuple[str, DataFrame, np.ndarray, np.ndarray]:
+    """Path and table of a factor, its starts' Grams, and inner products with what it was updated by."""
+    path, factor = settled_at(slices, "factor")
+    size = starts * rank * rank
+    sums = np.zeros(size + starts)
+    for k, v in factor.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col")).collect():  # starts x (R x R + 1) numbers
+        sums[k] = v
+    return path, factor, sums[:size].reshape(starts, rank, rank), sums[size:]
+
+
+def fit_tables(tensor: BlockedTensor, keys: list[tuple[str, int]], rank: int, options: CPOptions, members: DataFrame | None = None, init: list[DataFrame] | None = None) -> dict[tuple[str, int], TableFit]:
+    """The fits of all keys (task, seed), PASS_COLUMNS columns in a pass over the blocks.
+
+    members: task, pos, sample_idx of the rows of mode 0 that are a task's (default: all of
+    every task). init: factors (idx, row) to start the first key from.
     """
-    shape, seeds = shape_of(coo), list(seeds)
-    norm2 = coo.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 0.0
+    norms = tensor.row_norms()
+    if members is None:
+        total = norms.agg(F.sum("norm2")).first()[0] or 0.0
+        norm2 = {t: total for t, _ in keys}
+    else:
+        own = members.join(norms, members.sample_idx == norms.idx).groupBy("task").agg(F.sum("norm2"))
+        norm2 = {t: 0.0 for t, _ in keys} | {r[0]: r[1] for r in own.collect()}  # one number a task
     together = max(1, PASS_COLUMNS // rank)
-    out: dict[int, TableFit] = {}
-    for first in range(0, len(seeds), together):
-        out |= _fit_together(coo, shape, norm2, rank, options, seeds[first : first + together], init if first == 0 else None)
+    out: dict[tuple[str, int], TableFit] = {}
+    for at in range(0, len(keys), together):
+        out |= _fit_together(tensor, keys[at : at + together], norm2, rank, options, members, init if at == 0 else None)
     return out
 
 
-def _fit_together(coo: DataFrame, shape: tuple[int, ...], norm2: float, rank: int, options: CPOptions, active: list[int], init: list[DataFrame] | None) -> dict[int, TableFit]:
-    spark, modes = coo.sparkSession, range(len(shape))
-    begun = init or [_starts(spark, n, rank, active, m) for m, n in enumerate(shape)]
-    none = F.array_repeat(F.lit(0.0), rank * len(active))
-    held = [_written(f.withColumn("product", none), rank, len(active)) for f in begun]
+def _fit_together(tensor: BlockedTensor, active: list[tuple[str, int]], norm2: dict[str, float], rank: int, options: CPOptions, members: DataFrame | None, init: list[DataFrame] | None) -> dict[tuple[str, int], TableFit]:
+    modes = range(len(tensor.shape))
+    if init:
+        begun = [_with_sums(packed(f, n, s, rank), rank) for f, n, s in zip(init, tensor.shape, tensor.sides)]
+    else:
+        begun = [_starts(tensor, m, active, rank, members) for m in modes]
+    held = [_written(f, rank, len(active)) for f in begun]
     paths, factors, grams = [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]
-    errors: dict[int, list[float]] = {s: [] for s in active}
-    out: dict[int, TableFit] = {}
+    widths, kept = [len(active)] * len(modes), [list(range(len(active)))] * len(modes)
+    errors: dict[tuple[str, int], list[float]] = {k: [] for k in active}
+    out: dict[tuple[str, int], TableFit] = {}
     pinned: set[str] = set()
     for step in range(options.max_iter):
         for mode in modes:
-            product = linalg.mttkrp(coo, factors, mode, rank * len(active))
+            columns = len(active) * rank
+            narrow = [_narrowed(f, rank, w, k) for f, w, k in zip(factors, widths, kept)]
             others = reduce(np.multiply, [g for k, g in enumerate(grams) if k != mode])
+            products = tensor.partial_products(narrow, mode, columns)
             before = paths[mode]
-            paths[mode], factors[mode], grams[mode], inner = _written(linalg.updated(factors[mode], product, others), rank, len(active))
+            paths[mode], factors[mode], grams[mode], inner = _written(_updated(factors[mode], products, others, rank, widths[mode], kept[mode]), rank, len(active))
+            widths[mode], kept[mode] = len(active), list(range(len(active)))
             if before not in pinned:
-                forget(spark, before)
+                forget(tensor.spark, before)
         models = reduce(np.multiply, grams).sum(axis=(1, 2))
-        going = []
-        for k, seed in enumerate(active):
-            seen = errors[seed]
-            seen.append(float(np.sqrt(abs(norm2 + models[k] - 2 * inner[k])) / np.sqrt(norm2)) if norm2 else 0.0)
+        shot, going = Shot(list(factors), len(active) * rank), []
+        for k, key in enumerate(active):
+            seen, size = errors[key], norm2[key[0]]
+            seen.append(float(np.sqrt(abs(size + models[k] - 2 * inner[k])) / np.sqrt(size)) if size else 0.0)
             if step + 1 == options.max_iter or (len(seen) > 1 and abs(seen[-2] - seen[-1]) < options.tol):
-                out[seed] = TableFit([f.select("idx", _block(k, rank).alias("row")) for f in factors], seen, [g[k] for g in grams])
+                out[key] = TableFit(shot, k * rank, rank, tensor.sides, seen, [g[k] for g in grams])
             else:
                 going.append(k)
         if len(going) < len(active):
@@ -211,11 +318,38 @@ def _fit_together(coo: DataFrame, shape: tuple[int, ...], norm2: float, rank: in
             active = [active[k] for k in going]
             if not active:
                 break
-            factors = [f.select("idx", F.concat(*[_block(k, rank) for k in going]).alias("row")) for f in factors]
+            kept = [going] * len(modes)
             grams = [g[going] for g in grams]
     return out
 
 
+def _with_sums(slices: DataFrame, rank: int) -> DataFrame:
+    """SLICE rows of one start's slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for b, m in zip(t.column("b").to_pylist(), t.column("m").to_pylist()):
+                rows = np.frombuffer(m).reshape(-1, rank)
+                yield from slice_table(b, rows, ("sums", _sums(rows, None, rank))).to_batches()
+
+    return slices.mapInArrow(run, SLICE)
+
+
+def start_table(spark: SparkSession, n: int, rank: int, seed: int, mode: int) -> DataFrame:
+    """The same start as kernel.start, as a table."""
+    row = F.array(*[kernel.drawn(F.col("id"), F.lit(r).cast("long"), mode, seed) for r in range(rank)])
+    return spark.range(n).select(F.col("id").cast("int").alias("idx"), row.alias("row"))
+
+
+def cp_tables(coo: DataFrame, rank: int, options: CPOptions, seeds: Iterable[int], init: list[DataFrame] | None = None) -> dict[int, TableFit]:
+    """The fits of all seeds with the tensor as blocks and its factors as slices; init starts the first seed."""
+    tensor = BlockedTensor.build(coo)
+    try:
+        return {seed: fit for (_, seed), fit in fit_tables(tensor, [("all", s) for s in seeds], rank, options, init=init).items()}
+    finally:
+        tensor.close()
+
+
 def cp_table(coo: DataFrame, rank: int, options: CPOptions = CPOptions(), seed: int = 0, init: list[DataFrame] | None = None) -> tuple[list[DataFrame], list[float]]:
     """One start with the tensor and its factors as tables; (factors, errors)."""
     fit = cp_tables(coo, rank, options, [seed], init)[seed]

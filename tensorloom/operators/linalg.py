@@ -1,8 +1,7 @@
 """Factor algebra over tables: scaling, Gram matrices, MTTKRP, update steps, congruence.
 
 A factor is a table (idx, row) with the row of R numbers as an array; a tensor is a table
-of coordinates m0.. and x. Sums over components are R plain aggregates, combined before
-each shuffle, so nothing of the size of a Khatri-Rao product is ever made.
+of coordinates m0.. and x, or its blocks (blocks.py), over which products are taken.
 """
 
 from __future__ import annotations
@@ -10,9 +9,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import BlockedTensor, packed, unpacked
+
 EPS = float(np.finfo(float).eps)
 
 
@@ -33,11 +34,6 @@ def to_packed(long: DataFrame, rank: int, *keys: str) -> DataFrame:
     return long.groupBy(*keys, "idx").agg(F.array(*cells).alias("row"))
 
 
-def _sums(row: str, rank: int) -> Column:
-    """The sums of each place of an array column; as text, since a Column for each part takes longer than the sums."""
-    return F.expr(f"array({', '.join(f'sum(get({row}, {r}))' for r in range(rank))})")
-
-
 def gram(factor: DataFrame, rank: int) -> DataFrame:
     """r, s, value: the products of a factor's columns with each other."""
     cells = [F.struct(F.lit(r).alias("r"), F.lit(s).alias("s"), F.sum(F.get("row", F.lit(r)) * F.get("row", F.lit(s))).alias("value")) for r in range(rank) for s in range(rank)]
@@ -52,43 +48,34 @@ def gram_matrix(factor: DataFrame, rank: int) -> np.ndarray:
     return out
 
 
-def mttkrp(coo: DataFrame, factors: list[DataFrame], mode: int, rank: int) -> DataFrame:
-    """idx, row: the tensor unfolded along mode times the Khatri-Rao product of the other factors."""
-    row = F.array_repeat(F.col("x"), rank)
-    for k, f in enumerate(factors):
-        if k != mode:
-            coo = coo.join(f.select(F.col("idx").alias(f"m{k}"), F.col("row").alias(f"_f{k}")), f"m{k}")
-            row = F.zip_with(row, F.col(f"_f{k}"), lambda a, b: a * b)
-    return coo.select(F.col(f"m{mode}").alias("idx"), row.alias("_row")).groupBy("idx").agg(_sums("_row", rank).alias("row"))
+def mttkrp(tensor: BlockedTensor | DataFrame, factors: list[DataFrame], mode: int, rank: int) -> DataFrame:
+    """idx, row: the tensor unfolded along mode times the Khatri-Rao product of the other factors; indices without cells are left out or 0.
 
+    A table of coordinates is dealt into blocks first, which costs a shuffle of its cells;
+    a tensor that is passed over often is better given as blocks.
+    """
+    blocked = tensor if isinstance(tensor, BlockedTensor) else BlockedTensor.build(tensor)
+    product = blocked.product(_slices(blocked, factors, rank, mode), mode, rank)
+    return unpacked(product, blocked.sides[mode], rank, 0, rank)
 
-def updated(factor: DataFrame, product: DataFrame, others: np.ndarray) -> DataFrame:
-    """idx, row, product: mu_step with the rows of the MTTKRP beside those of the factor.
 
-    others: one R x R matrix, or one for each block of R columns of a factor that holds
-    several starts side by side.
-    """
-    blocks = others if others.ndim == 3 else others[None]
-    rank = blocks.shape[-1]
-    eps = f"CAST('{EPS!r}' AS DOUBLE)"
-    cells = []
-    for s, block in enumerate(blocks):
-        for r in range(rank):
-            column = ", ".join(f"CAST('{float(v)!r}' AS DOUBLE)" for v in block[:, r])
-            dot = f"aggregate(zip_with(slice(row, {s * rank + 1}, {rank}), array({column}), (a, b) -> a * b), CAST(0 AS DOUBLE), (a, v) -> a + v)"
-            k = s * rank + r
-            cells.append(f"get(row, {k}) * greatest(get(product, {k}), {eps}) / greatest({dot}, {eps})")
-    m = product.select("idx", F.col("row").alias("product"))
-    held = factor.join(m, "idx", "left").withColumn("product", F.coalesce("product", F.array_repeat(F.lit(0.0), len(cells))))
-    return held.select("idx", F.expr(f"array({', '.join(cells)})").alias("row"), "product")
+def _slices(blocked: BlockedTensor, factors: list[DataFrame], rank: int, but: int | None = None) -> list[DataFrame]:
+    return [f if k == but else packed(f, n, s, rank) for k, (f, n, s) in enumerate(zip(factors, blocked.shape, blocked.sides))]
 
 
 def mu_step(factor: DataFrame, product: DataFrame, others: np.ndarray) -> DataFrame:
-    """The factor after one multiplicative update with its MTTKRP and the Hadamard product of the other Grams.
+    """idx, row: the factor after one multiplicative update with its MTTKRP and the Hadamard product of the other Grams.
 
     Indices without a cell in the tensor have an MTTKRP of 0.
     """
-    return updated(factor, product, others).select("idx", "row")
+    rank = len(others)
+    number = lambda v: f"CAST('{float(v)!r}' AS DOUBLE)"
+    eps, cells = number(EPS), []
+    for r in range(rank):
+        dot = " + ".join(f"get(row, {k}) * {number(others[k, r])}" for k in range(rank))
+        cells.append(f"get(row, {r}) * greatest(coalesce(get(product, {r}), CAST(0 AS DOUBLE)), {eps}) / greatest({dot}, {eps})")
+    held = factor.join(product.select("idx", F.col("row").alias("product")), "idx", "left")
+    return held.select("idx", F.expr(f"array({', '.join(cells)})").alias("row"))
 
 
 def relative_error(norm2: float, product: DataFrame, last: DataFrame, grams: list[np.ndarray]) -> float:
@@ -100,14 +87,12 @@ def relative_error(norm2: float, product: DataFrame, last: DataFrame, grams: lis
     return float(np.sqrt(abs(norm2 + model - 2 * inner)) / np.sqrt(norm2)) if norm2 else 0.0
 
 
-def reconstruct(coo: DataFrame, factors: list[DataFrame]) -> DataFrame:
-    """coo with x_hat, the model's value at each of its cells."""
-    cell = None
-    for k, f in enumerate(factors):
-        coo = coo.join(f.select(F.col("idx").alias(f"m{k}"), F.col("row").alias(f"_f{k}")), f"m{k}")
-        cell = F.col(f"_f{k}") if cell is None else F.zip_with(cell, F.col(f"_f{k}"), lambda a, b: a * b)
-    value = F.aggregate(cell, F.lit(0.0), lambda a, v: a + v)
-    return coo.withColumn("x_hat", value).drop(*[f"_f{k}" for k in range(len(factors))])
+def reconstruct(tensor: BlockedTensor | DataFrame, factors: list[DataFrame]) -> DataFrame:
+    """m0 ..., x and x_hat, the model's value at each of the tensor's cells."""
+    blocked = tensor if isinstance(tensor, BlockedTensor) else BlockedTensor.build(tensor)
+    rank = factors[0].select(F.size("row")).first()  # one row of a factor
+    columns = rank[0] if rank else 0
+    return blocked.reconstructed(_slices(blocked, factors, columns), columns)
 
 
 def gram_cells(factor: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from ..schema import ConvergenceError
 from ..session import settled
 from . import kernel, linalg
-from .cp import TASK_BYTES, CPOptions, best_start, check_tensor, cp, dense, fit_starts, shape_of
+from .blocks import examined
+from .cp import TASK_BYTES, CPOptions, best_start, best_tables, dense, fit_starts
 from .stats import sums_before
-from .tensorize import gather_rows
 
 
 def mixed(idx: Column, round_: Column, seed: int = 0) -> Column:
@@ -181,32 +181,22 @@ class CrossValidation:
 MEMBER_BYTES = 64
 
 
-def _table_models(coo: DataFrame, tasks: DataFrame, rank: int, options: CPOptions, task_bytes: int) -> DataFrame:
-    """task, mode, idx, row of the best start of each task, decomposed one task after another."""
-    models = None
-    for a, b in sorted(tasks.select("task_a", "task_b").distinct().collect()):  # as many as there are tasks
-        mine = tasks.where((F.col("task_a") == a) & (F.col("task_b") == b)).select(F.lit(0).alias("task"), "pos", "sample_idx")
-        best = cp(gather_rows(coo, mine).drop("task"), rank, options, task_bytes)
-        rows = best.select(F.lit(f"{a}:{b}").alias("task"), "mode", "idx", "row")
-        models = rows if models is None else models.unionByName(rows)
-    return models
-
-
 def evaluate(engine: Engine, coo: DataFrame, rank: int, strata: DataFrame | None = None, options: CPOptions = CPOptions(), task_bytes: int = TASK_BYTES) -> DataFrame:
     """Scores of the engine's comparison for a tensor whose mode 0 are the samples.
 
     strata: sample_idx, stratum (default: one class). A task without an accepted start
     raises ConvergenceError. Where tensor and tasks fit a worker (their sizes are checked)
-    every task's starts run side by side; else each task's rows are gathered as a table
-    and decomposed by cp, which starts alike in both ways.
+    every task's starts run side by side; else all tasks and starts share the passes over
+    the tensor's blocks. Both ways start alike.
     """
     coo = settled(coo, "tensor")
-    check_tensor(coo)
-    shape = shape_of(coo)
+    shape, _ = examined(coo)
     samples = strata if strata is not None else coo.select(F.col("m0").alias("sample_idx")).distinct().withColumn("stratum", F.lit("all"))
     tasks = settled(engine.tasks(samples), "tasks")
     if max(8 * np.prod(shape, dtype=float), MEMBER_BYTES * tasks.count()) > task_bytes:
-        return engine.compare(_table_models(coo, tasks, rank, options, task_bytes), tasks, rank)
+        named = tasks.select(F.concat_ws(":", "task_a", "task_b").alias("task"), "pos", "sample_idx")
+        models = settled(best_tables(coo, named, rank, options).select("task", "mode", "idx", "row"), "models")
+        return engine.compare(models, tasks, rank)
     members: dict[str, list[int]] = {}
     for a, b, _, i in tasks.select("task_a", "task_b", "pos", "sample_idx").orderBy("task_a", "task_b", "pos").collect():
         members.setdefault(f"{a}:{b}", []).append(i)

@@ -153,18 +153,6 @@ def _error(held: list[str], cells: str = "t", of: str = "") -> str:
     return f"SELECT seed, sqrt(sum((x - y) * (x - y))) / sqrt(sum(x * x)) AS error FROM ({both}) GROUP BY seed"
 
 
-def _table_fit(iterations: int) -> str:
-    """A fixed number of iterations from seed 0."""
-    ctes, held = _starts(1), ["z0", "z1", "z2"]
-    for it in range(iterations):
-        for mode in range(3):
-            ctes.append(_update(mode, f"f{mode}_{it}", held))
-            held[mode] = f"f{mode}_{it}"
-    ctes.append(f"er AS ({_error(held)})")
-    rows = " UNION ALL ".join(f"SELECT {m}::BIGINT AS mode, idx, r, round(v, 6) + 0.0 AS value, round(error, 6) + 0.0 AS error FROM {name}, er" for m, name in enumerate(held))
-    return f"WITH {T0}, {', '.join(ctes)} {rows}"
-
-
 def _settled(starts: int, tol: float, cells: str = "t", task: str = "0", of: str = "") -> str:
     """CTE st: the factors of every start after each iteration until its error settles (NOT going), by recursion."""
     step, held = [f"h{m} AS MATERIALIZED (SELECT seed, idx, r, v FROM st WHERE mode = {m} AND going)" for m in range(3)], ["h0", "h1", "h2"]
@@ -178,6 +166,12 @@ def _settled(starts: int, tol: float, cells: str = "t", task: str = "0", of: str
     return f"{', '.join(_starts(starts, cells, task))}, st AS (SELECT * FROM ({base}) UNION ALL (WITH {', '.join(step)} SELECT * FROM ({rows})))"
 
 
+def _table_fit(tol: float) -> str:
+    """The factors of seed 0 once its error has settled."""
+    return f"""WITH RECURSIVE {T0}, {_settled(1, tol)}
+        SELECT mode::BIGINT AS mode, idx, r, round(v, 6) + 0.0 AS value, round(error, 6) + 0.0 AS error FROM st WHERE NOT going"""
+
+
 def _best_of(starts: int, tol: float) -> str:
     """The factors of the start with the least error."""
     return f"""WITH RECURSIVE {T0}, {_settled(starts, tol)},
@@ -303,7 +297,7 @@ SQL = {
         SELECT l_returnflag, l_linenumber, n, round(r, 6) + 0.0 AS r, round(p, 6) + 0.0 AS p, p < 0.05 AS significant, format('$R^2={{:.2f}}$, $p={{:.1g}} $', r * r, p) AS text FROM d""",
     "global_regression": f"""WITH c AS (SELECT count(*) AS n, regr_slope(l_tax, l_discount) AS slope, regr_intercept(l_tax, l_discount) AS intercept, corr(l_tax, l_discount) AS r FROM lineitem), d AS (SELECT *, {_correlation_p("r", "n")} AS p FROM c)
         SELECT n, round(slope, 6) + 0.0 AS slope, round(intercept, 6) + 0.0 AS intercept, round(r * r, 6) + 0.0 AS r2, round(p, 6) + 0.0 AS p, p < 0.05 AS significant, format('$R^2={{:.2f}}$, $p={{:.1g}} $', r * r, p) AS text FROM d""",
-    "cp_table_fit": _table_fit(3),
+    "cp_table_fit": _table_fit(1e-5),
     "cp_best_of_n": _best_of(STARTS, 1e-5),
     "fms_half": _matched(10, 1e-5, HALVES, "SELECT 2 * a AS i, 2 * a + 1 AS j FROM (SELECT unnest(range(0, 10)) AS a)", "1, 2") + " SELECT (i // 2)::BIGINT AS split, score FROM fm",
     "fms_cv": _matched(10, 1e-5, TRAIN, "SELECT DISTINCT a.task AS i, b.task AS j FROM tk a, tk b WHERE a.task < b.task AND a.task // 5 = b.task // 5", "0, 1, 2")

@@ -225,8 +225,8 @@ def cp_best_of_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cp_table_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Three iterations with tensor and factors as tables."""
-    factors, errors = cps.cp_table(settled(coo(spark, d)), RANK, cps.CPOptions(max_iter=3, tol=0.0), init=None)
+    """One start, run to its tolerance with the tensor as blocks and its factors as slices."""
+    factors, errors = cps.cp_table(settled(coo(spark, d)), RANK, FULL)
     out = None
     for m, f in enumerate(factors):
         part = linalg.to_long(f).withColumns({"mode": F.lit(m), "error": F.lit(errors[-1])})
