@@ -12,21 +12,24 @@ from ..session import settled
 from .linalg import first_position
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, **shares: float) -> DataFrame:
+def percentiles(df: DataFrame, by: list[str], value: str, keep: bool = False, **shares: float) -> DataFrame:
     """by, n, a column for each share: that percentile of the known values, linear between neighbours.
 
     Values are counted, counts are added up in ranges of values, and each share takes the
-    two values at its place; so no task holds a group. Rows without a group are left out.
+    two values at its place; so no task holds a group. Rows without a group, and groups
+    without a known value, are left out; with `keep` both stay, the latter with NULL.
     """
-    counts = df.select(*by, known(F.col(value)).alias("_x")).dropna(subset=[*by, "_x"]).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    placed = sums_before(counts, by, "_x", _below="_n")
-    totals = placed.groupBy(*by).agg(F.sum("_n").alias("n"))
+    held = df.select(F.struct(*by).alias("_by"), *([] if keep else by), known(F.col(value)).alias("_x"))
+    held = held if keep else held.dropna(subset=[*by, "_x"])
+    counts = held.groupBy("_by", "_x").agg(F.count("_x").alias("_n"))  # a row without a value counts nothing
+    placed = sums_before(settled(counts, "counts") if keep else counts, ["_by"], "_x", _below="_n")
+    totals = placed.groupBy("_by").agg(F.sum("_n").alias("n"))
     low = {name: F.floor(F.lit(share) * (F.col("n") - 1)) for name, share in shares.items()}
     high = {name: F.least(low[name] + 1, F.col("n") - 1) for name in shares}
     at = lambda place: F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), F.col("_x")))
-    found = placed.join(totals, by).groupBy(*by, "n").agg(*[at(place[name]).alias(f"_{side}_{name}") for side, place in (("low", low), ("high", high)) for name in shares])
+    found = placed.join(totals, "_by").groupBy("_by", "n").agg(*[at(place[name]).alias(f"_{side}_{name}") for side, place in (("low", low), ("high", high)) for name in shares])
     part = {name: F.lit(share) * (F.col("n") - 1) - low[name] for name, share in shares.items()}
-    return found.select(*by, "n", *[(F.col(f"_low_{name}") + part[name] * (F.col(f"_high_{name}") - F.col(f"_low_{name}"))).alias(name) for name in shares])
+    return found.select("_by.*", "n", *[(F.col(f"_low_{name}") + part[name] * (F.col(f"_high_{name}") - F.col(f"_low_{name}"))).alias(name) for name in shares])
 
 
 def box_stats(df: DataFrame, category: str | list[str], value: str) -> DataFrame:

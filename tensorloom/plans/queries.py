@@ -550,7 +550,7 @@ def image_regions(spark: SparkSession, d: str) -> DataFrame:
         subjects.select("subject", F.lit(t).alias("time_point"), path(a).alias("baseline_path"), path(b).alias("post_injection_path"), F.lit(kind).alias("signal_type"), path("mask").alias("mask_path"), path("regions").alias("segmentation_path"))
         for t, (a, b, kind) in enumerate((("retail", "shifted", "T1w"), ("size", "retail", "T1map")))
     ]
-    found = tracer_table(settled(jobs[0].unionByName(jobs[1])), nifti.voxels_of(images), nifti.volumes_of(images))
+    found = tracer_table(settled(jobs[0].unionByName(jobs[1])), images)
     return typed(found, labels="double", values="double", subject="string", time_point="bigint").withColumn("values", rounded("values"))
 
 

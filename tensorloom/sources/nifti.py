@@ -8,8 +8,11 @@ voxel sizes.
 from __future__ import annotations
 
 import gzip
+import io
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+GZIP = b"\x1f\x8b"
 #: Codes of the public NIfTI-1 standard that are read, as numpy kinds (fixed values).
 KINDS = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 VOXEL_SCHEMA = "volume_id string, i int, j int, k int, value double"
@@ -45,24 +49,78 @@ def affine(header: bytes, order: str) -> np.ndarray:
     return out
 
 
-def parse(content: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(values, affine) of an image, gzipped or not."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    if len(content) < 348:
-        raise ValueError("not a NIfTI-1 image")
-    order = next((o for o in "<>" if struct.unpack_from(o + "i", content, 0)[0] == 348), None)
-    if order is None or content[344:347] not in (b"n+1", b"ni1"):
+@dataclass(frozen=True)
+class Header:
+    """What a NIfTI-1 header says of the grid and of how its values are stored."""
+
+    order: str
+    kind: str
+    shape: tuple[int, ...]
+    offset: int
+    slope: float
+    shift: float
+    affine: np.ndarray
+
+    @property
+    def plane_bytes(self) -> int:
+        return self.shape[0] * self.shape[1] * np.dtype(self.kind).itemsize
+
+    def scaled(self, raw: bytes, shape: tuple[int, ...]) -> np.ndarray:
+        values = np.frombuffer(raw, np.dtype(self.order + self.kind), int(np.prod(shape))).reshape(shape, order="F").astype(float)
+        return values * self.slope + self.shift if self.slope and not np.isnan(self.slope) else values
+
+
+HEADER_BYTES = 348
+
+
+def header_of(start: bytes) -> Header:
+    """The header in the first bytes of an image that isn't compressed."""
+    order = next((o for o in "<>" if len(start) >= HEADER_BYTES and struct.unpack_from(o + "i", start, 0)[0] == HEADER_BYTES), None)
+    if order is None or start[344:347] not in (b"n+1", b"ni1"):
         raise ValueError("not a NIfTI-1 image")
-    dim = struct.unpack_from(order + "8h", content, 40)
-    code = struct.unpack_from(order + "h", content, 70)[0]
+    dim = struct.unpack_from(order + "8h", start, 40)
+    code = struct.unpack_from(order + "h", start, 70)[0]
     if code not in KINDS:
         raise ValueError(f"NIfTI data type {code} is not supported")
-    offset, slope, shift = struct.unpack_from(order + "3f", content, 108)
+    offset, slope, shift = struct.unpack_from(order + "3f", start, 108)
     shape = tuple(max(1, n) for n in dim[1 : 1 + max(3, dim[0])])[: max(3, dim[0])]
-    raw = np.frombuffer(content, np.dtype(order + KINDS[code]), int(np.prod(shape)), int(offset)).reshape(shape, order="F")
-    values = raw.astype(float)
-    return (values * slope + shift if slope and not np.isnan(slope) else values), affine(content, order)
+    return Header(order, KINDS[code], shape, int(offset), slope, shift, affine(start, order))
+
+
+def parse(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(values, affine) of an image, gzipped or not."""
+    if content[:2] == GZIP:
+        content = gzip.decompress(content)
+    head = header_of(content[:HEADER_BYTES])
+    return head.scaled(content[head.offset :], head.shape), head.affine
+
+
+def volume_shape(head: Header) -> tuple[int, int, int]:
+    """The shape of a single volume; ValueError for an image of several frames, which has no one value at a voxel."""
+    if np.prod(head.shape[3:], dtype=int) > 1:
+        raise ValueError(f"an image of shape {head.shape} has several frames")
+    return head.shape[:3]
+
+
+class Planes:
+    """The planes of a volume along its last axis, read one after another from an open file, gzipped or not."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        self.packed = file.read(2) == GZIP
+        file.seek(0)
+        self.file = gzip.GzipFile(fileobj=file) if self.packed else file
+        self.head = header_of(self.file.read(HEADER_BYTES))
+        self.shape = volume_shape(self.head)
+
+    def skip_to(self, k: int) -> None:
+        """Goes to plane k: at once in a plain file, by reading on in a gzipped one."""
+        self.file.seek(self.head.offset + k * self.head.plane_bytes)
+
+    def read(self, n: int) -> np.ndarray:
+        raw = self.file.read(n * self.head.plane_bytes)
+        if len(raw) < n * self.head.plane_bytes:
+            raise ValueError("an image ends before its last plane")
+        return self.head.scaled(raw, (*self.shape[:2], n))
 
 
 def build(values: np.ndarray, grid: np.ndarray | None = None, compress: bool = True) -> bytes:
@@ -82,9 +140,11 @@ def build(values: np.ndarray, grid: np.ndarray | None = None, compress: bool = T
 
 
 def voxel_batch(volume_id: str, content: bytes) -> pa.RecordBatch:
-    values, _ = parse(content)
+    head = Planes(io.BytesIO(content))
+    head.skip_to(0)
+    values = head.read(head.shape[2])
     i, j, k = np.indices(values.shape[:3]).reshape(3, -1).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array([volume_id] * len(i)), pa.array(i), pa.array(j), pa.array(k), pa.array(values.reshape(len(i), -1)[:, 0])], ["volume_id", "i", "j", "k", "value"])
+    return pa.RecordBatch.from_arrays([pa.array([volume_id] * len(i)), pa.array(i), pa.array(j), pa.array(k), pa.array(values.reshape(-1))], ["volume_id", "i", "j", "k", "value"])
 
 
 def voxels_of(images: DataFrame) -> DataFrame:
@@ -103,8 +163,8 @@ def volumes_of(images: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            read = [parse(c) for c in b.column("content").to_pylist()]
-            dims, grids = [list(v.shape) for v, _ in read], [g.reshape(-1).tolist() for _, g in read]
+            read = [Planes(io.BytesIO(c)).head for c in b.column("content").to_pylist()]  # headers alone
+            dims, grids = [list(h.shape) for h in read], [h.affine.reshape(-1).tolist() for h in read]
             yield pa.RecordBatch.from_arrays([b.column("volume_id"), pa.array(dims, pa.list_(pa.int32())), pa.array(grids, pa.list_(pa.float64()))], ["volume_id", "dim", "affine"])
 
     return images.select("volume_id", "content").mapInArrow(run, VOLUME_SCHEMA)
