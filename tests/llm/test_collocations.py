@@ -68,11 +68,29 @@ def test_filter_changes_nothing(spark, monkeypatch):
     assert found(collocations.collocations(df, 3)) == brute(rows, 3, 2000)
 
 
-def test_windows_end_at_rare_pairs(spark):
-    rows = [("a b c. " * 4 + "a x b c d e f g", "en")]
-    df = spark.createDataFrame([(k, *r, "x", "y") for k, r in enumerate(rows)], SCHEMA)
-    led = {tuple(r)[1:] for r in collocations.windows(collocations.pieces(df), 3).collect()}
-    assert led == {("a", "b", "c", ""), ("b", "c", "", ""), ("c", "", "", ""), ("a", "", "", ""), ("x", "", "", ""), ("d", "", "", ""), ("e", "", "", ""), ("f", "", "", ""), ("g", "", "", "")}
+def test_windows_end_at_rare_parts(spark):
+    rows = [("a b c. " * 4 + "A x b c d e f g", "en"), ("d d", None)]
+    df = spark.createDataFrame([(k, *r, "x", "y") for k, r in enumerate(rows)], SCHEMA).repartition(1)
+    led = {tuple(r) for r in collocations.windows(df, 3).collect()}
+    assert led == {("en", "a", "b", "c", "", 4), ("en", "b", "c", "", "", 5), ("en", "c", "", "", "", 5), ("en", "a", "", "", "", 1), ("en", "", "", "", "", 5), ("und", "", "", "", "", 2)}
+
+
+def test_tokens_in_parts(monkeypatch):
+    """Words, pieces and hashes don't depend on where a text is cut, nor on what stands before it."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aB é\t.\n\x0b😀 ") for _ in range(rng.choice([0, 3, 60]))) for _ in range(30)] + [None, "x" * 50, ""]
+    import pyarrow as pa
+
+    whole = collocations.tokens_of(pa.array(texts)[1:], collocations.Powers())
+    words = [whole.text[a:b].decode() for a, b in zip(whole.start, whole.end)]
+    pieces = [(d, re.findall(r"[^ \t]+", p)) for d, t in enumerate(texts[1:]) for p in re.split(r"[.,;:!?\x0a-\x0d]", (t or "").replace("B", "b"))]
+    assert words == [w for _, p in pieces for w in p] and whole.doc.tolist() == [d for d, p in pieces for _ in p]
+    assert whole.joined.tolist() == [k + 1 < len(p) for _, p in pieces for k in range(len(p))]
+    assert len(set(zip(words, whole.hash.tolist()))) == len(set(words))
+    for size in (1, 2, 7, 30):
+        monkeypatch.setattr(collocations, "PART_BYTES", size)
+        part = collocations.tokens_of(pa.array(texts)[1:], collocations.Powers())
+        assert all((getattr(part, c) == getattr(whole, c)).all() for c in ("start", "end", "hash", "doc", "joined"))
 
 
 def test_empty(spark):
