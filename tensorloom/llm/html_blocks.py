@@ -36,10 +36,12 @@ SIBLINGS = {
     "option": ({"option"}, {"select"}),
 }
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</>|</[^a-zA-Z>][^>]*>?"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)",
     re.S,
 )
+#: A comment that goes on to the end of the page.
+UNENDED = re.compile(r"<!|<\?|</[^a-zA-Z>]")
 SPECIAL = re.compile("[>\"']")
 ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
@@ -133,6 +135,8 @@ def blocks(page: str | None) -> list[Block]:
         while look <= last and (m := TOKEN.search(page, look)) and m["name"] and (stop := tags.end(m.end())) < 0:
             m, look = None, m.end()
         end = m.start() if m else n
+        if not m and (open_ := UNENDED.search(page, at)):
+            end = open_.start()
         if end > at:
             if stack and stack[-1][0] == "head" and not page[at:end].isspace():
                 pop({"head"})
@@ -144,6 +148,9 @@ def blocks(page: str | None) -> list[Block]:
         attrs = page[m.end() : stop] if name else ""
         at = stop + 1 if name else m.end()
         if not name:
+            if (opened["svg"] or opened["math"]) and page.startswith("<![CDATA[", m.start()):
+                close = page.find("]]>", m.start())  # elsewhere it is a comment that ends at its first >
+                at = close + 3 if close >= 0 else n
             continue
         if m["close"]:
             if name == "a":
@@ -152,6 +159,8 @@ def blocks(page: str | None) -> list[Block]:
                 if hid is None:
                     parts.append((" ", False))
             elif name not in INLINE:
+                if name == "p" and hid is None and not opened["p"]:
+                    flush()  # an end tag without a paragraph makes an empty one
                 pop({name})
             continue
         empty = attrs.rstrip().endswith("/")

@@ -38,6 +38,8 @@ SAMPLE_CHARS = 200_000
 LONG_BLOCK = 12
 #: Random layouts of each of them.
 LAYOUTS = 12
+#: Words of a block and blocks of main text that a layout made for training takes from a page.
+LAYOUT_WORDS, LAYOUT_BLOCKS = 60, 25
 EPOCHS = 6
 
 # Words by which markup names its parts, in English as is usual in code.
@@ -244,7 +246,7 @@ def training_pages(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) ->
         if y is None:
             continue
         out.append(([features(b) for b in found], y))
-        main = [" ".join(b.text.split()[:60]) for b, k in zip(found, y) if k][:25]
+        main = [" ".join(b.text.split()[:LAYOUT_WORDS]) for b, k in zip(found, y) if k][:LAYOUT_BLOCKS]
         other = [b.text for b, k in zip(found, y) if not k] or main
         for _ in range(layouts):
             laid, marks = lay_out(main, other, rng)

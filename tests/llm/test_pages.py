@@ -3,6 +3,7 @@
 import hashlib
 import html
 import random
+import re
 import time
 from html.parser import HTMLParser
 
@@ -229,6 +230,56 @@ def test_text_that_damage_must_not_hide():
     assert texts("AT&<b>amp;</b>T") == ["AT&amp;T"] and texts("&lt;<i>p&gt;") == ["<p>"]
 
 
+def shown(page):
+    """Text of a page of words, comments and tags without attributes, by the states of the standard's tokenizer; | where a paragraph's end tag parts text."""
+    out, at = [], 0
+    while at < len(page):
+        if page[at] != "<":
+            out.append(page[at])
+            at += 1
+        elif page.startswith("<!--", at):
+            at += 4
+            state = "start"
+            while at < len(page):
+                c = page[at]
+                at += 1
+                if c == ">" and state in ("start", "start dash", "end", "bang"):
+                    break
+                if c == "-":
+                    state = {"start": "start dash", "start dash": "end", "comment": "end dash", "end dash": "end", "end": "end", "bang": "end dash"}[state]
+                elif c == "!" and state == "end":
+                    state = "bang"
+                else:
+                    state = "comment"
+        elif page.startswith("</", at) and at + 2 < len(page) and page[at + 2].isalpha():
+            stop = page.index(">", at)
+            out.append("|" if page[at:stop] == "</p" else "")
+            at = stop + 1
+        elif page.startswith("</>", at):
+            at += 3
+        elif page.startswith(("<!", "<?"), at) or (page.startswith("</", at) and at + 2 < len(page)):
+            at = page.find(">", at) + 1 or len(page)
+        elif at + 1 < len(page) and page[at + 1].isalpha():
+            at = page.index(">", at) + 1
+        else:
+            out.append("<")
+            at += 1
+    return [t for p in "".join(out).split("|") if (t := " ".join(p.split()))]
+
+
+def test_comments_end_where_the_standard_says():
+    for comment in ("<!-->", "<!--->", "<!-- x --!>", "<!-- x -->", "<!---->", "<!x>", "<?x>", "</ x>", "<![CDATA[ x>"):
+        assert texts(f"<article><p>a</p>{comment}<p>rest of the article</p></article>") == ["a", "rest of the article"], comment
+    assert texts("<div>first words</p>second words</div>") == ["first words", "second words"]
+    assert texts("<p>a<svg><![CDATA[ </svg> <p>b ]]></svg>c</p>") == ["ac"] and texts("a<!-- b") == ["a"] and texts("<p>a<!-- b > c") == ["a"]
+    rng = random.Random(12)
+    parts = ["<!--", "-->", "--!>", "<!-->", "<!--->", "-", "!", ">", "<b>", "</b>", "</p>", "x", " y ", "<![CDATA[", "]]>", "</3>", "</>", "<?p", "<!d", "< ", "<"]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) + rng.choice(["", "z"])
+        page = re.sub("<(?=[a-z]|/[a-z])(?![bp/]*[bp]>)", "< ", page)
+        assert texts(page) == shown(page), page
+
+
 def test_extraction(spark, data):
     rows = {r["page_id"]: r for r in op10_html(spark, data).collect()}
     table = spark.read.parquet(f"{data}/pages.parquet").collect()
