@@ -14,6 +14,7 @@ split     to each section by its share of the token's characters (fractional cou
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,25 @@ def encoding(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}), width
 
 
+#: Runs of white space (the characters that Unicode calls so) that are encoded by themselves: the pattern's look-ahead is recursive in their length.
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+def token_ids(codec: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text with runs of white space of any length.
+
+    A run is a piece of its own, without its last character if text follows, as the
+    pattern has it; so cutting there changes no token.
+    """
+    ids, at = [], 0
+    for run in LONG_BLANK.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        ids += codec.encode_ordinary(text[at : run.start()])
+        ids += codec._encode_single_piece(text[run.start() : stop].encode())
+        at = stop
+    return ids + codec.encode_ordinary(text[at:])
+
+
 def attribute(text: str, widths: np.ndarray, separator: str = "\n", rule: str = "start") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) in code points and the token count of each section of a text.
 
@@ -91,7 +111,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             found = []
             for t in b.column("text"):
                 text = t.as_py() or ""
-                ids = np.array(codec.encode_ordinary(text), np.int64)
+                ids = np.array(token_ids(codec, text), np.int64)
                 found.append(attribute(text, width[ids] if len(ids) else ids, separator, rule))
             if found:
                 sizes = [len(x[0]) for x in found]

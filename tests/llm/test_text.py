@@ -317,6 +317,19 @@ def test_token_counts_of_a_long_text(spark):
     assert [(r["s"], r["n"], r["e"]) for r in got] == [(60_001, n, len(text))] * 2
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \t", "\u2003"])
+def test_token_counts_of_long_white_space(spark, blank):
+    """Runs of white space of any length, equal to the library."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    codec, _ = token_counts.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for text in ("a" + blank * 3_000_000 + "b", blank * 1_000_000, f"x {blank * 999}y{blank * 1001}'s"):
+        assert token_counts.token_ids(codec, text) == library.encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, "a" + blank * 1_000_000 + "b")], "doc_id long, text string")
+    assert token_counts.count_tokens(df, public_tokenizers.path("byte_bpe_50k.tiktoken")).agg(F.sum("n_tokens")).first()[0] == len(token_counts.token_ids(codec, "a" + blank * 1_000_000 + "b"))
+
+
 def test_token_counts_add_up(spark, data):
     got = op8_token_counts(spark, data).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
     codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
