@@ -19,7 +19,6 @@ from ..session import settled
 from . import kernel, linalg
 from .blocks import examined
 from .cp import TASK_BYTES, CPOptions, best_start, best_tables, dense, fit_starts
-from .stats import sums_before
 
 
 def mixed(idx: Column, round_: Column, seed: int = 0) -> Column:
@@ -27,10 +26,23 @@ def mixed(idx: Column, round_: Column, seed: int = 0) -> Column:
     return (idx.cast("long") * 2654435761 + (round_.cast("long") + seed * 7919) * 40503) % 1000003
 
 
-def numbered(rows: DataFrame, by: list[str], name: str, *order: str) -> DataFrame:
-    """rows with their place, from 0, in the order of columns that tell the rows of `by` apart; counted in ranges, so no task sorts a group."""
-    marked = rows.withColumns({"_one": F.lit(1), "_at": F.struct(*order)})
-    return sums_before(marked, by, "_at", _place="_one").withColumn(name, F.col("_place").cast("int")).drop("_one", "_at", "_place")
+#: Values of the hash, and sample indices, that are numbered together.
+HASH_RANGE, INDEX_RANGE = 64, 4096
+
+
+def numbered(rows: DataFrame, by: list[str], name: str, order: str, width: int, *ties: str) -> DataFrame:
+    """rows with their place, from 0, in the order of a whole number and then of ties, which tell the rows of `by` apart.
+
+    Ranges of `width` values are counted and the counts added up; then rows are numbered
+    in their range. So nothing is sorted but the rows of a range, and a group of any size
+    is the work of many tasks.
+    """
+    held = rows.withColumn("_range", F.floor(F.col(order) / width))
+    counts = held.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*by, "_range", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order, *ties)) - 1 + F.col("_before")
+    return held.join(starts, [*by, "_range"]).withColumn(name, place.cast("int")).drop("_range", "_before")
 
 
 def strata_counts(samples: DataFrame) -> DataFrame:
@@ -64,9 +76,9 @@ def check_strata(samples: DataFrame) -> None:
 def half_half(samples: DataFrame, repeats: int, seed: int = 0) -> DataFrame:
     """task_a (split), task_b (0 train, 1 test), pos, sample_idx of stratified half splits."""
     rows = samples.select("sample_idx", "stratum", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("task_a"))
-    rows = numbered(rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("task_a"), seed)), ["task_a", "stratum"], "_k", "_h", "sample_idx")
+    rows = numbered(rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("task_a"), seed)), ["task_a", "stratum"], "_k", "_h", HASH_RANGE, "sample_idx")
     rows = rows.join(train_counts(samples), "stratum").select("task_a", (F.col("_k") >= F.col("n_train")).cast("int").alias("task_b"), "sample_idx")
-    return numbered(rows, ["task_a", "task_b"], "pos", "sample_idx").select("task_a", "task_b", "pos", "sample_idx")
+    return numbered(rows, ["task_a", "task_b"], "pos", "sample_idx", INDEX_RANGE).select("task_a", "task_b", "pos", "sample_idx")
 
 
 def cv_folds(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> DataFrame:
@@ -80,7 +92,7 @@ def cv_folds(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> Da
     c = c.select("stratum", before.alias("_before"))
     rows = samples.select("sample_idx", "stratum", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     rows = rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("repeat"), seed))
-    rows = numbered(rows, ["repeat", "stratum"], "_k", "_h", "sample_idx").join(c, "stratum")
+    rows = numbered(rows, ["repeat", "stratum"], "_k", "_h", HASH_RANGE, "sample_idx").join(c, "stratum")
     return rows.select("repeat", ((F.col("_before") + F.col("_k")) % splits).cast("int").alias("fold"), "sample_idx")
 
 
@@ -90,7 +102,7 @@ def cv_tasks(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> Da
     other = F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_out")
     rows = folds.select("repeat", "fold", "sample_idx", other).where("_out != fold")
     rows = rows.select((F.col("repeat") * splits + F.col("_out")).alias("task_a"), F.col("repeat").alias("task_b"), "sample_idx")
-    return numbered(rows, ["task_a"], "pos", "sample_idx").select("task_a", "task_b", "pos", "sample_idx")
+    return numbered(rows, ["task_a"], "pos", "sample_idx", INDEX_RANGE).select("task_a", "task_b", "pos", "sample_idx")
 
 
 def cv_pairs(splits: int, repeats: int, spark) -> DataFrame:

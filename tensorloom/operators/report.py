@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.tracer import rot90
 from ..schema import known, require
 from .linalg import first_position, scale_columns
-from .stats import box_stats, colour_limits, rank_tests, regression_lines, regressions
+from .stats import box_stats, colour_limits, rank_tests, regression_lines, regressions, violins
 
 GOLDEN = 1.618
 
@@ -96,7 +96,7 @@ def box_limits(long: DataFrame, group: str, legend: float | None = None) -> Data
 
 @dataclass
 class SubjectReport:
-    """Per component: boxes, their points, rank tests and limits by group, and a regression on each variable by group.
+    """Per component: boxes or violins, their points, rank tests and limits by group, and a regression on each variable by group.
 
     Each table is made when it is first asked for. table is a subject_table; legend is
     the width of a legend in units of x.
@@ -116,6 +116,10 @@ class SubjectReport:
     def boxes(self) -> DataFrame:
         return box_stats(self.long, ["component", self.group], "value")
 
+    @cached_property
+    def violins(self) -> DataFrame:
+        return violins(self.long, ["component", self.group], "value", ["component"])
+
     @cached_property
     def tests(self) -> DataFrame:
         return rank_tests(self.long, self.group, "value", ["subjects"], ("component",))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.pvalues import rank_test_p, regression_p
 from ..functions.tracer import fit_text, stars
@@ -80,26 +85,88 @@ def sums_before(df: DataFrame, by: list[str], order: str, **sums: str) -> DataFr
 def rank_tests(df: DataFrame, category: str, value: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """by, category_a, category_b, n_a, n_b, u, p, star for all pairs, in order of first appearance.
 
-    Mann-Whitney, two-sided, from histograms: only counts of distinct values are joined
-    with the pairs. u is that of category_a.
+    Mann-Whitney, two-sided, u is that of category_a. All pairs come from one ordered pass:
+    a row for each distinct value holds the counts of all categories, ranges of values
+    start from the counts below them, and each range gives the matrices of its share in
+    every u and every sum of ties.
     """
     held = df.withColumn("_x", known(F.col(value))).where(F.col("_x").isNotNull() & F.col(category).isNotNull())
     hist = held.groupBy(*by, category, "_x").agg(F.count(F.lit(1)).alias("_n"))
     sizes = hist.groupBy(*by, category).agg(F.sum("_n").alias("n"))
-    named = first_position(held, category, order, by).join(sizes, [*by, category])
-    a = named.select(*by, F.col(category).alias("category_a"), F.col("pos").alias("_pa"), F.col("n").alias("n_a"))
-    b = named.select(*by, F.col(category).alias("category_b"), F.col("pos").alias("_pb"), F.col("n").alias("n_b"))
-    pairs = b.where("_pb > 0").withColumn("_pa", F.explode(F.sequence(F.lit(0), F.col("_pb") - 1))).join(a, [*by, "_pa"]).drop("_pa", "_pb")
-    keys = [*by, "category_a", "category_b", "n_a", "n_b"]
-    sides = F.inline(F.array(F.struct(F.col("category_a").alias(category), F.lit(True).alias("_is_a")), F.struct(F.col("category_b").alias(category), F.lit(False).alias("_is_a"))))
-    member = hist.join(pairs.select(*keys, sides), [*by, category])
-    pooled = member.groupBy(*keys, "_x").agg(F.sum(F.when(F.col("_is_a"), F.col("_n")).otherwise(0)).alias("_a"), F.sum(F.when(F.col("_is_a"), 0).otherwise(F.col("_n"))).alias("_b"))
-    t = F.col("_a") + F.col("_b")
-    u = sums_before(pooled, [*by, "category_a", "category_b"], "_x", _below="_b").groupBy(*keys).agg(
-        F.sum(F.col("_a") * (F.col("_below") + F.col("_b") / 2.0)).alias("u"), F.sum((t * t * t - t).cast("double")).alias("_ties")
-    )
-    tested = u.withColumn("p", rank_test_p("u", "n_a", "n_b", "_ties"))
-    return tested.select(*keys, "u", "p", stars(F.col("p")).alias("star"))
+    named = settled(first_position(held, category, order, by).join(sizes, [*by, category]), "categories")
+    cells = hist.join(named.select(*by, category, "pos"), [*by, category]).groupBy(*by, "_x").agg(F.collect_list(F.struct("pos", F.col("_n").alias("n"))).alias("_cells"))
+    ranged = settled(cells.repartitionByRange(*by, "_x").withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.select(*by, "_range", F.explode("_cells").alias("_cell")).groupBy(*by, "_range", "_cell.pos").agg(F.sum("_cell.n").alias("_n"))
+    # what lies below a range is what the ranges before it hold, so counts are carried to every later range
+    last = named.groupBy(*by).agg(F.max("pos").alias("_last"))
+    spans = totals.select(*by, "_range").distinct()
+    spans = spans.join(last, list(by)) if by else spans.withColumn("_last", F.lit(last.first()[0] or 0))  # one number
+    spans = spans.select(*by, "_range", F.explode(F.sequence(F.lit(0), "_last")).alias("pos"))
+    earlier = Window.partitionBy(*by, "pos").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    below = spans.join(totals, [*by, "_range", "pos"], "left").select(*by, "_range", "pos", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_below"))
+    starts = below.groupBy(*by, "_range").agg(F.array_sort(F.collect_list(F.struct("pos", "_below"))).alias("_starts"))
+    shares = ranged.join(starts, [*by, "_range"]).groupBy(*by, "_range").applyInArrow(_rank_shares(list(by)), T.StructType([*[ranged.schema[c] for c in by], *RANK_SHARES.fields]))
+    sums = shares.groupBy(*by, "_pa", "_pb").agg(F.sum("u").alias("u"), F.sum("ties").alias("_ties"))
+    side = lambda s: named.select(*by, F.col("pos").alias(f"_p{s}"), F.col(category).alias(f"category_{s}"), F.col("n").alias(f"n_{s}"))
+    pairs = sums.join(side("a"), [*by, "_pa"]).join(side("b"), [*by, "_pb"])
+    tested = pairs.withColumn("p", rank_test_p("u", "n_a", "n_b", "_ties"))
+    return tested.select(*by, "category_a", "category_b", "n_a", "n_b", "u", "p", stars(F.col("p")).alias("star"))
+
+
+RANK_SHARES = T.StructType([T.StructField("_pa", T.IntegerType()), T.StructField("_pb", T.IntegerType()), T.StructField("u", T.DoubleType()), T.StructField("ties", T.DoubleType())])
+
+
+def _rank_shares(by: list[str]):
+    """Of a range of values: its share in u and in the sum of ties of each pair of categories."""
+
+    def run(t: pa.Table) -> pa.Table:
+        start = np.array([s["_below"] for s in t.column("_starts")[0].as_py()], dtype=float)
+        lists = t.column("_cells").combine_chunks()
+        value, cells = np.argsort(t.column("_x").to_numpy()), lists.flatten()
+        row = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+        counts = np.zeros((t.num_rows, len(start)))
+        counts[row, cells.field("pos").to_numpy()] = cells.field("n").to_numpy()
+        counts = counts[value]
+        u = counts.T @ (start + np.cumsum(counts, axis=0) - counts / 2)
+        one, three, mixed = counts.sum(axis=0), (counts**3).sum(axis=0), (counts**2).T @ counts
+        ties = three[:, None] + three[None, :] + 3 * (mixed + mixed.T) - one[:, None] - one[None, :]
+        a, b = np.triu_indices(len(start), 1)
+        keys = {c: t.column(c).take(pa.array(np.zeros(len(a), np.int64))) for c in by}
+        return pa.table({**keys, "_pa": pa.array(a, pa.int32()), "_pb": pa.array(b, pa.int32()), "u": u[a, b], "ties": ties[a, b]})
+
+    return run
+
+
+#: Bins of a bandwidth, points of a density, and bandwidths that it reaches beyond its values.
+BINS, GRID, CUT = 64, 100, 2.0
+
+
+def violins(df: DataFrame, keys: list[str], value: str, row: list[str]) -> DataFrame:
+    """keys, n, step, y, density, width: the density of the known values of each group at GRID even points.
+
+    A Gaussian kernel of Scott's bandwidth (n^(-1/5) deviations). Values are counted in
+    bins of 1/BINS bandwidth, and bins, not values, meet the kernel. width is the share of
+    a place that a violin fills: 1 at the peak of the largest group that has the same
+    `row`, less in proportion to n elsewhere. A group without deviation is one point.
+    """
+    held = df.select(*keys, known(F.col(value)).alias("_x")).dropna(subset=["_x"])
+    groups = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("_sd"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    wide = F.col("_sd") > 0
+    groups = settled(groups.withColumn("_h", F.when(wide, F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("_sd"))), "violins")
+    step = (F.col("_max") - F.col("_min") + 2 * CUT * F.col("_h")) / (GRID - 1)
+    bins = held.join(groups.where("_h IS NOT NULL"), keys).withColumn("_bin", F.floor((F.col("_x") - F.col("_min")) / (F.col("_h") / BINS) + 0.5))
+    bins = bins.groupBy(*keys, "n", "_h", "_min", "_max", "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    points = bins.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))).withColumn("y", F.col("_min") - CUT * F.col("_h") + F.col("step") * step)
+    z = (F.col("y") - (F.col("_min") + F.col("_bin") * F.col("_h") / BINS)) / F.col("_h")
+    kernel = F.sum(F.col("_c") * F.exp(-z * z / 2)) / (F.first("n") * F.first("_h") * math.sqrt(2 * math.pi))
+    curves = points.groupBy(*keys, "step").agg(F.first("n").alias("n"), F.first("y").alias("y"), kernel.alias("density"))
+    single = groups.where("_h IS NULL").select(*keys, F.lit(0).alias("step"), "n", F.col("_min").alias("y"), F.lit(1.0).alias("density"))
+    rows = settled(curves.unionByName(single), "violin-curves")
+    peaks = rows.groupBy(*keys, "n").agg(F.max("density").alias("_peak"))
+    most = peaks.groupBy(*row).agg(F.max("n").alias("_most")) if row else peaks.agg(F.max("n").alias("_most"))
+    peaks = peaks.join(most, row) if row else peaks.join(F.broadcast(most))  # one row is broadcast
+    found = rows.join(peaks.drop("n"), keys)
+    return found.select(*keys, "n", "step", "y", "density", (F.col("density") / F.col("_peak") * F.col("n") / F.col("_most")).alias("width"))
 
 
 def shown_pairs(tests: DataFrame) -> DataFrame:

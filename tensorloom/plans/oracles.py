@@ -206,6 +206,20 @@ XY = "xy AS (SELECT component, r_name, value AS y, unnest(['letters', 'key']) AS
 LIMITS = "li AS (SELECT component, 0::DOUBLE AS y_low, max(value) + 0.05::DOUBLE * (max(value) - min(value)) AS y_high, (SELECT count(DISTINCT r_name) FROM m) AS g FROM lc GROUP BY ALL)"
 
 
+def _violins(rows: str, keys: str, row: str, places: tuple[int, int, int]) -> str:
+    """Kernel sums over bins of a 64th of Scott's bandwidth at 100 points; rows: keys and x."""
+    shared = f"PARTITION BY {row}" if row else ""
+    y, density, width = (f"round({c}, {n}) + 0.0 AS {name}" for c, n, name in zip(("y", "density", "density / peak * n / max(n) OVER q"), places, ("y", "density", "width")))
+    return f"""vx AS (SELECT * FROM ({rows}) WHERE x IS NOT NULL),
+        vh AS (SELECT {keys}, count(*) AS n, min(x) AS lo, max(x) AS hi, CASE WHEN stddev_samp(x) > 0 THEN pow(count(*)::DOUBLE, (-0.2)::DOUBLE) * stddev_samp(x) END AS h FROM vx GROUP BY ALL),
+        vb AS (SELECT {keys}, lo + floor((x - lo) / (h / 64) + 0.5::DOUBLE) * h / 64 AS mid, count(*) AS c FROM vx JOIN vh USING ({keys}) WHERE h IS NOT NULL GROUP BY ALL),
+        vg AS (SELECT {keys}, n, h, step, lo - 2 * h + step * ((hi - lo + 4 * h) / 99) AS y FROM vh, (SELECT unnest(range(0, 100)) AS step) WHERE h IS NOT NULL),
+        vd AS (SELECT {keys}, n, step, y, sum(c * exp(-((y - mid) / h) * ((y - mid) / h) / 2)) / (n * h * sqrt(2 * pi())) AS density FROM vg JOIN vb USING ({keys}) GROUP BY {keys}, n, h, step, y
+              UNION ALL SELECT {keys}, n, 0 AS step, lo AS y, 1.0::DOUBLE AS density FROM vh WHERE h IS NULL),
+        vk AS (SELECT *, max(density) OVER (PARTITION BY {keys}) AS peak FROM vd)
+        SELECT {keys}, n, step, {y}, {density}, {width} FROM vk WINDOW q AS ({shared})"""
+
+
 def _lines(fits: str, span: str) -> str:
     x = "lo + step * (hi - lo) / 49.0::DOUBLE"
     return f"SELECT * EXCLUDE (lo, hi, a, b), round({x}, 6) + 0.0 AS x, round(a * ({x}) + b, 6) + 0.0 AS y_hat FROM {fits} JOIN {span}, (SELECT unnest(range(0, 50)) AS step)"
@@ -256,6 +270,9 @@ SQL = {
         w AS (SELECT repeat * 5 + out AS id, repeat, sample_idx FROM k WHERE out <> fold)
         SELECT a.id AS fold_i, b.id AS fold_j, count(*) AS n_common FROM w a JOIN w b ON a.repeat = b.repeat AND a.sample_idx = b.sample_idx AND a.id < b.id GROUP BY ALL""",
     "subject_merge": f"WITH {MODE} SELECT subjects, n_name, r_name, round(comp_0, 6) + 0.0 AS comp_0, round(comp_1, 6) + 0.0 AS comp_1, round(comp_2, 6) + 0.0 AS comp_2 FROM m",
+    "subject_violins": f"WITH {LONG}, {_violins('SELECT component, r_name, value AS x FROM lc', 'component, r_name', 'component', (6, 6, 6))}",
+    "customer_violins": f"WITH {_violins('SELECT c_mktsegment, c_acctbal AS x FROM customer', 'c_mktsegment', '', (4, 9, 6))}",
+    "region_reduce_skew": f"WITH {V} {_region('CASE WHEN max(value) - min(value) > 1e-9 THEN (avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / stddev_pop(value) ** 3 END')}",
     "subject_boxes": f"""WITH {MODE}, u AS (SELECT r_name || '|0' AS g, comp_0 AS x FROM m UNION ALL SELECT r_name || '|1', comp_1 FROM m UNION ALL SELECT r_name || '|2', comp_2 FROM m)
         SELECT split_part(g, '|', 2)::BIGINT AS component, split_part(g, '|', 1) AS r_name, * EXCLUDE (g) FROM (WITH {_box("u", "g", "x", 6)})""",
     "box_stats": f"WITH {_box('orders', 'o_orderpriority', 'o_totalprice', 4)}",

@@ -16,7 +16,7 @@ from ..functions.tracer import aligned, rot90, stars, tracer, valid_label
 from ..operators import cp as cps
 from ..operators import linalg, report, stats, tensorize
 from ..operators import replicability as rep
-from ..operators.region import region_summary, tracer_table
+from ..operators.region import Moments, region_summary, tracer_table
 from ..session import settled
 from ..sources import nifti
 
@@ -352,6 +352,18 @@ def subject_boxes(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({c: rounded(c) for c in ("q1", "median", "q3", "low", "high")})
 
 
+def subject_violins(spark: SparkSession, d: str) -> DataFrame:
+    """Densities of components by region, with the widths of their violins."""
+    rows = typed(subject_plots(spark, d).violins, component="bigint", r_name="string", n="bigint", step="bigint", y="double", density="double", width="double")
+    return rows.withColumns({c: rounded(c) for c in ("y", "density", "width")})
+
+
+def customer_violins(spark: SparkSession, d: str) -> DataFrame:
+    """Densities of account balances by market segment."""
+    rows = typed(stats.violins(table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal", []), c_mktsegment="string", n="bigint", step="bigint", y="double", density="double", width="double")
+    return rows.withColumns({"y": rounded("y", 4), "density": rounded("density", 9), "width": rounded("width")})
+
+
 def subject_tests(spark: SparkSession, d: str) -> DataFrame:
     rows = subject_plots(spark, d).tests
     return typed(rows, component="bigint", category_a="string", category_b="string", n_a="bigint", n_b="bigint", u="double")
@@ -586,10 +598,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         mask_and_label_filter, grid_alignment, group_filter, pivot_first, valid_subjects, label_completeness, tensor_coo, axis_index, row_gather, union_jobs, common_subjects,
         mode_scale, gram, mttkrp, mu_step, cp_norm_error, cp_rank1, cp_best_of_n, cp_table_fit, congruence, degeneracy, half_half_split, half_half_sizes, cv_folds, cv_fold_sizes, cv_pairs,
-        fms_half, fms_cv, subject_merge, subject_boxes, subject_tests, subject_fits, subject_lines, subject_limits, subject_strips, component_limits, component_lines, box_stats, colour_limits, avg_rank, mann_whitney_u, mann_whitney_p, shown_pairs, linregress, regression_test, global_regression, regression_line, component_pairs,
+        fms_half, fms_cv, subject_merge, subject_boxes, subject_violins, customer_violins, subject_tests, subject_fits, subject_lines, subject_limits, subject_strips, component_limits, component_lines, box_stats, colour_limits, avg_rank, mann_whitney_u, mann_whitney_p, shown_pairs, linregress, regression_test, global_regression, regression_line, component_pairs,
         voxel_scatter, slice_rot90, spatial_limits, time_curve, star_labels, volume_scan, image_regions, plane_pixels, masked_overlay, mode_grid,
     ]
     out = {"tracer_t1map": _signal("T1map"), "tracer_t1w": _signal("T1w")}
-    out |= {f"region_{n}": _reduced(f) for n, f in (("median", "median"), ("reduce_mean", "mean"), ("reduce_min", "min"), ("reduce_max", "max"), ("reduce_std", "std"), ("reduce_pct", "p95"), ("udf", np.median))}
+    out |= {f"region_{n}": _reduced(f) for n, f in (("median", "median"), ("reduce_mean", "mean"), ("reduce_min", "min"), ("reduce_max", "max"), ("reduce_std", "std"), ("reduce_pct", "p95"), ("reduce_skew", Moments(3)), ("udf", np.median))}
     out |= {"fms_identity": _fms(lambda a: a), "fms_permuted": _fms(_permuted)}
     return out | {f.__name__: f for f in named}

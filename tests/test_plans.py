@@ -19,7 +19,7 @@ def test_no_cross_join(spark, data, name):
 
 
 def test_scans_read_only_what_they_need(spark, data):
-    text = ALL["region_median"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    text = ALL["region_reduce_mean"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     lineitem = next(x for x in text.splitlines() if "Project" in x and "l_suppkey" in x)
     assert "l_extendedprice" not in lineitem and "l_partkey" not in lineitem
     scan = next(x for x in plan(ALL["linregress"](spark, data)).splitlines() if "FileScan" in x)

@@ -145,3 +145,52 @@ def test_layout():
     assert report.figure_size(3, 2, 7.0, 1.75) == (7.0, pytest.approx(6.6)) and report.palette(3) == ["C0", "C3", "C6"]
     assert report.plane_widths((4, 2, 8)) == [1.0, 2.0, 0.5, 0.05]
     assert report.grid_widths((9, 4, 2), 0.5) == ([1.0, 1.0, 3.0, 3.0], 1.5)
+
+def test_violins(spark):
+    """Densities against plain kernel sums; groups of one value or of equal ones are points, missing values don't count."""
+
+    from tensorloom.operators.stats import violins
+
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(5, 2, 400), "b": rng.gamma(2, 3, 37), "c": np.array([1.0, 1.0]), "d": np.array([4.0]), "e": np.array([0.0, 1e3, 1e3 + 1])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", float("nan")), ("f", None)]
+    got = violins(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", []).toPandas()
+    assert set(got.g) == set("abcde")
+    for k, x in groups.items():
+        mine = got[got.g == k].sort_values("step")
+        if len(x) == 1 or x.std() == 0:
+            assert mine[["step", "y", "density"]].values.tolist() == [[0, x[0], 1.0]] and mine.width.item() == pytest.approx(len(x) / 400)
+            continue
+        h = x.std(ddof=1) * len(x) ** -0.2
+        y = np.linspace(x.min() - 2 * h, x.max() + 2 * h, 100)
+        want = np.exp(-(((y[:, None] - x) / h) ** 2) / 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
+        assert np.allclose(mine.y, y) and np.allclose(mine.density, want, rtol=2e-2, atol=1e-3 * want.max())
+        assert mine.width.max() == pytest.approx(len(x) / 400)
+
+
+def test_rank_tests_over_many_ranges(spark):
+    """All pairs from one pass equal pairwise counting, whatever the ranges; a category without values has no pair."""
+
+    from tensorloom.operators.stats import rank_tests
+
+    rng = np.random.default_rng(8)
+    rows = [(int(k), f"c{rng.integers(5)}", "xy"[k % 2], float(rng.integers(0, 12))) for k in range(600)] + [(600 + k, "late", "x", float("nan")) for k in range(3)] + [(700, "only", "y", 3.0)]
+    df = spark.createDataFrame(rows, "id int, g string, part string, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    got = {(r["part"], r["category_a"], r["category_b"]): r for r in rank_tests(df, "g", "v", ["id"], ("part",)).collect()}
+    alone = {(r["category_a"], r["category_b"]): r for r in rank_tests(df, "g", "v", ["id"]).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for found, part in ((got, "x"), (got, "y"), (alone, None)):
+        values = {}
+        for _, g, p, v in rows:
+            if v == v and part in (None, p):
+                values.setdefault(g, []).append(v)
+        names = list(values)
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+        assert {k[-2:] for k in found if part is None or k[0] == part} == set(pairs)
+        for a, b in pairs:
+            r = found[(a, b) if part is None else (part, a, b)]
+            want = sum((x > y) + 0.5 * (x == y) for x in values[a] for y in values[b])
+            assert (r["u"], r["n_a"], r["n_b"]) == (want, len(values[a]), len(values[b]))
+    assert rank_tests(df.limit(0), "g", "v", ["id"]).count() == 0
