@@ -126,13 +126,13 @@ t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
 f AS MATERIALIZED (SELECT lang, g, k, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM p, unnest([1, 2, 3, 4]) AS u(k), unnest(range(1, len(w) - k + 2)) AS v(i))
                    GROUP BY ALL HAVING count(*) >= 30),
 s AS (SELECT lang, string_split(g, ' ') AS w, g, k, f FROM f WHERE k > 1),
-c AS (SELECT s.lang, s.g, s.f AS a, l.f AS l, r.f AS r, (2000000 * s.f::HUGEINT // (l.f::HUGEINT + r.f))::BIGINT AS score
-      FROM s, unnest([1, 2, 3]) AS u(cut) JOIN f AS l ON l.lang = s.lang AND l.g = array_to_string(w[1:cut], ' ') JOIN f AS r ON r.lang = s.lang AND r.g = array_to_string(w[cut + 1:], ' ')
-      WHERE cut < s.k QUALIFY row_number() OVER (PARTITION BY s.lang, s.g ORDER BY score, cut) = 1),
+x AS MATERIALIZED (SELECT lang, g, f AS a, cut, array_to_string(w[1:cut], ' ') AS lg, array_to_string(w[cut + 1:], ' ') AS rg FROM s, unnest([1, 2, 3]) AS u(cut) WHERE cut < k),
+c AS (SELECT x.lang, x.g, a, l.f AS l, r.f AS r, (2000000 * a::HUGEINT // (l.f::HUGEINT + r.f))::BIGINT AS score FROM x JOIN f AS l ON l.lang = x.lang AND l.g = lg JOIN f AS r ON r.lang = x.lang AND r.g = rg
+      QUALIFY row_number() OVER (PARTITION BY x.lang, x.g ORDER BY score, cut) = 1),
 o AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS g, max(f) AS around FROM s, unnest([2, 3]) AS u(m), unnest(range(1, k - m + 2)) AS v(i) WHERE m < k GROUP BY ALL)
-SELECT c.lang, row_number() OVER x AS rank, c.g AS phrase, a, l, r, n, score
+SELECT c.lang, row_number() OVER z AS rank, c.g AS phrase, a, l, r, n, score
 FROM c JOIN t ON t.lang = c.lang LEFT JOIN o ON o.lang = c.lang AND o.g = c.g WHERE around IS NULL OR 100 * around::HUGEINT < 80 * a::HUGEINT
-WINDOW x AS (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.g) QUALIFY row_number() OVER x <= 2000
+WINDOW z AS (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.g) QUALIFY row_number() OVER z <= 2000
 """
 
 
