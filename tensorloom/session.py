@@ -46,7 +46,26 @@ def settled_at(df: DataFrame, purpose: str = "settled") -> tuple[str, DataFrame]
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _at(spark, path)
+    return system.exists(at)
+
+
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a folder, so that it appears under its new name as a whole."""
+    system, at = _at(spark, path)
+    goal = _at(spark, to)[1]
+    system.mkdirs(goal.getParent())
+    if not system.rename(at, goal):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Removes a folder of settled_at, once no table that is still read comes from it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    system, at = _at(spark, path)
+    system.delete(at, True)
