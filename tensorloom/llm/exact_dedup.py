@@ -15,12 +15,15 @@ before each shuffle, so one group may hold a third of all rows.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_BYTES, SHARED_BYTES, ascii_lower, keep_rows, located, shared_folder, written
+from ..session import exists, moved
+from .common import ROW_BYTES, SHARED_BYTES, ascii_lower, keep_rows, located, quoted, shared_folder, written
 
 #: State on disk. Without preallocation many small stores take little of it; changes are
 #: uploaded as a changelog instead of whole snapshots. All stores of an executor share a
@@ -93,6 +96,7 @@ def exact_dedup(
     digest=sha256_hex,
     max_files_per_trigger: int | None = None,
     checkpoint: str | None = None,
+    batch: str | None = None,
 ) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, file, pos.
 
@@ -106,22 +110,34 @@ def exact_dedup(
     With `checkpoint`, a folder that all executors reach, ledger and state stay there: a
     later call with the same folder counts its rows to those of all calls before, whose
     texts it reads again by their locators where a digest is hit. So their files, Parquet
-    with a column text_col, must still be there.
+    with a column text_col, must still be there. A call is known by `batch`, by default
+    its plan and input files: the same call again, after one that failed or not, counts
+    its rows once. (A table that isn't a file scan has to be given a name for that.)
     """
+    name = batch or (_batch_name(docs) if checkpoint else None)
     rows = located(docs, "dedup-input")
-    return _marked(rows, id_col, text_col, digest, max_files_per_trigger, checkpoint)
+    return _marked(rows, id_col, text_col, digest, max_files_per_trigger, checkpoint, name)
 
 
-def _marked(located_rows: DataFrame, id_col: str, text_col: str, digest=sha256_hex, max_files_per_trigger: int | None = None, checkpoint: str | None = None) -> DataFrame:
+def _batch_name(docs: DataFrame) -> str:
+    """The same for the same plan over the same files."""
+    plan = re.sub(r"#\d+L?", "", docs._jdf.queryExecution().analyzed().toString())
+    return hashlib.sha256("\n".join([plan, *sorted(docs.inputFiles())]).encode()).hexdigest()[:32]
+
+
+def _marked(located_rows: DataFrame, id_col: str, text_col: str, digest=sha256_hex, max_files_per_trigger: int | None = None, checkpoint: str | None = None, batch: str | None = None) -> DataFrame:
     spark = located_rows.sparkSession
-    folder, batch = checkpoint or shared_folder(spark, "dedup"), uuid.uuid4().hex
-    norm = ascii_lower(F.col(f"row.`{text_col}`").cast("string"))
-    rows = located_rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "file", "pos", digest(norm).alias("digest"), norm.alias("norm"))
+    folder, batch = checkpoint or shared_folder(spark, "dedup"), batch or uuid.uuid4().hex
+    norm = ascii_lower(F.col(f"row.{quoted(text_col)}").cast("string"))
+    rows = located_rows.select(F.col(f"row.{quoted(id_col)}").cast("long").alias("doc_id"), "file", "pos", digest(norm).alias("digest"), norm.alias("norm"))
     entry = rows.select("doc_id", "file", "pos", sha256_hex(F.col("norm")).alias("text_sha256"), "digest", F.lit(batch).alias("batch"))
-    entry.write.mode("append").parquet(f"{folder}/ledger")
-    ledger = spark.read.schema(entry.schema).parquet(f"{folder}/ledger")
-    mine = ledger.filter(F.col("batch") == batch).drop("batch")
-    state = fold_into_state(spark, f"{folder}/ledger", ledger.schema, f"{folder}/state", max_files_per_trigger)
+    # a batch appears among the others as a whole, once; what is there from an earlier try is taken as it is
+    if not exists(spark, f"{folder}/ledger/{batch}"):
+        entry.write.mode("overwrite").parquet(f"{folder}/unfinished/{batch}")
+        moved(spark, f"{folder}/unfinished/{batch}", f"{folder}/ledger/{batch}")
+    ledger = spark.read.schema(entry.schema).parquet(f"{folder}/ledger/*")
+    mine = spark.read.schema(entry.schema).parquet(f"{folder}/ledger/{batch}").drop("batch")
+    state = fold_into_state(spark, f"{folder}/ledger/*", ledger.schema, f"{folder}/state", max_files_per_trigger)
     marked = written(mine.join(state, "digest"), "dedup-marked")
 
     hits = marked.filter("group_size > 1").select("digest").distinct()

@@ -93,6 +93,30 @@ def test_later_calls_count_on(spark, tmp_path, weak):
         assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"]) for r in found) == want
 
 
+def test_a_call_that_failed_counts_once(spark, tmp_path, monkeypatch):
+    """A call that dies before or after its rows are in the state, and one that is repeated, count each row once."""
+    docs(spark, [(1, "a", "s"), (2, "A", "s")]).write.parquet(f"{tmp_path}/in")
+    read = lambda: spark.read.parquet(f"{tmp_path}/in")
+    fold = exact_dedup.fold_into_state
+
+    def dies(*args):
+        raise OSError("lost")
+
+    def dies_late(*args):
+        fold(*args)
+        raise OSError("lost")
+
+    for f in (dies, dies_late):
+        monkeypatch.setattr(exact_dedup, "fold_into_state", f)
+        with pytest.raises(OSError):
+            exact_dedup.exact_dedup(read(), checkpoint=f"{tmp_path}/state")
+    monkeypatch.setattr(exact_dedup, "fold_into_state", fold)
+    for _ in range(2):
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(read(), checkpoint=f"{tmp_path}/state").collect()} == {(1, 2, 2), (2, 2, 2)}
+    part = exact_dedup.exact_dedup(read().where("doc_id = 1"), checkpoint=f"{tmp_path}/state").collect()
+    assert [r["group_size"] for r in part] == [3]
+
+
 @pytest.mark.parametrize("bound", [1 << 26, 0])
 def test_both_ways_of_moving_texts(spark, monkeypatch, bound):
     from tensorloom.llm import common
