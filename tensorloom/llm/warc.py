@@ -33,6 +33,8 @@ END = "\r\n\r\n"
 #: Fixed, so that the same pages give the same archive.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Digest of a block without bytes.
+EMPTY = hashlib.sha256(b"").hexdigest()
 #: Bytes of the payloads of a file, at most (but for a single larger payload).
 FILE_BYTES = 256 << 20
 #: Payloads up to each of these sizes share files; so do those that are larger than all.
@@ -54,8 +56,9 @@ def _header(kind: Column, page_id: Column, url: Column, sha1: Column, sha256: Co
         line("WARC-Date", F.lit(DATE)),
         # a line end inside a URL would end the header field
         line("WARC-Target-URI", F.regexp_replace(url, "[\r\n]", "%0A")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
-        line("WARC-Block-Digest", F.concat(F.lit("sha256:"), sha256)),
+        # a revisit has an empty block of its own; the digest that names its payload is the one by which it is stored
+        line("WARC-Payload-Digest", F.when(kind == "revisit", F.concat(F.lit("sha256:"), sha256)).otherwise(F.concat(F.lit("sha1:"), sha1))),
+        line("WARC-Block-Digest", F.when(kind == "revisit", F.lit(f"sha256:{EMPTY}")).otherwise(F.concat(F.lit("sha256:"), sha256))),
         line("WARC-Refers-To", _urn(refers)),
         F.when(kind == "revisit", F.lit(f"WARC-Profile: {PROFILE}")),
         F.lit("Content-Type: text/html"),
@@ -86,7 +89,10 @@ def assign(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write warc/ and headers/ below path; pages of a size class go into files of their own."""
+    """Write warc/ and headers/ below path; pages of a size class go into files of their own.
+
+    A header field can't hold a line end, so one in a URL is escaped there; headers/ has the exact URL.
+    """
     rows = assign(pages, id_col, url_col, html_col)
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
     args = (F.col("page_id"), F.col("url"), F.col("sha1"), F.col("sha256"))
@@ -96,7 +102,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     )
     no_ref = F.lit(None).cast("long")
     original = _header(F.lit("response"), *args, no_ref, F.col("length"))
-    rows.select("page_id", "refers_to", "length", "sha1", "sha256", original.alias("header")).write.parquet(f"{path}/headers")
+    rows.select("page_id", "url", "refers_to", "length", "sha1", "sha256", original.alias("header")).write.parquet(f"{path}/headers")
 
     lengths = pages.select(F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0)).alias("n"))
     bounds = [-1, *SIZES, 1 << 62]
@@ -147,11 +153,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in b.column("content"):
                 rows, held = [], 0
                 for fields, block in parse(content.as_py()):
-                    sha1, sha256 = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Block-Digest"].removeprefix("sha256:")
-                    kind = fields["WARC-Type"]
-                    if kind == "response" and (hashlib.sha1(block).hexdigest(), hashlib.sha256(block).hexdigest()) != (sha1, sha256):
+                    kind, payload, sha256 = fields["WARC-Type"], fields["WARC-Payload-Digest"], fields["WARC-Block-Digest"].removeprefix("sha256:")
+                    sha1 = payload.removeprefix("sha1:") if kind == "response" else None
+                    if hashlib.sha256(block).hexdigest() != sha256 or sha1 not in (None, hashlib.sha1(block).hexdigest()):
                         raise ValueError(f"payload of {fields.get('WARC-Record-ID')} misses its digest")
-                    rows.append((_number(fields.get("WARC-Record-ID")), kind, _number(fields.get("WARC-Refers-To")), fields.get("WARC-Target-URI"), sha1, sha256, block if kind == "response" else None))
+                    rows.append((_number(fields.get("WARC-Record-ID")), kind, _number(fields.get("WARC-Refers-To")), fields.get("WARC-Target-URI"), sha1, sha256 if sha1 else payload.removeprefix("sha256:"), block if kind == "response" else None))
                     held += len(block)
                     if held > BATCH_BYTES:
                         yield pack(rows)

@@ -55,6 +55,21 @@ def test_archive(spark, tmp_path):
     assert listed(warc.archive_round_trip(pages(spark, []))) == []
 
 
+def test_digests_of_blocks_and_exact_urls(spark, tmp_path):
+    """Every block has the digest that its record states, and headers/ has the URLs as they were."""
+    from pathlib import Path
+
+    rows, path = [(1, "u\r\nv", "x" * 2000), (2, "u", "x" * 2000), (3, None, "y")], f"{tmp_path}/archive"
+    warc.write_archive(pages(spark, rows), path)
+    kinds = []
+    for file in Path(f"{path}/warc").glob("*.gz"):
+        for fields, block in warc.parse(file.read_bytes()):
+            assert fields["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+            kinds.append(fields["WARC-Type"])
+    assert sorted(kinds) == ["response", "response", "revisit"]
+    assert {(r["page_id"], r["url"]) for r in spark.read.parquet(f"{path}/headers").collect()} == {(1, "u\r\nv"), (2, "u"), (3, None)}
+
+
 def test_missing_payloads_raise(spark, tmp_path):
     """An archive without the response that others visit gives an error, not fewer rows."""
     import gzip
