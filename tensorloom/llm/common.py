@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..session import settled as written
 from ..session import shared_path as shared_folder
 
-__all__ = ["ascii_lower", "hash_sample", "keep_rows", "located", "looked_up", "map_batches", "read_table", "shared", "shared_folder", "tokenizer_path", "written"]
+__all__ = ["ascii_lower", "hash_sample", "keep_rows", "located", "looked_up", "map_batches", "quoted", "read_table", "shared", "shared_folder", "tokenizer_path", "written"]
 
 #: White space of the word rule, and words themselves, as Java regular expressions.
 BLANKS = " \t\n\x0b\f\r"
@@ -72,6 +72,11 @@ def _is_scan(df: DataFrame) -> bool:
     return plan.nodeName().startswith("Relation") or plan.nodeName() == "LogicalRelation"
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in an expression, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def located(docs: DataFrame, purpose: str) -> DataFrame:
     """row (all columns of docs as a struct), file, pos: every row with a locator of its own.
 
@@ -81,7 +86,7 @@ def located(docs: DataFrame, purpose: str) -> DataFrame:
     if not _is_scan(docs):
         docs = written(docs, purpose)
     place = docs.metadataColumn("_metadata")
-    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    columns = [F.col(quoted(c)) for c in docs.columns]
     return docs.select(F.struct(*columns).alias("row"), place["file_path"].alias("file"), place["row_index"].alias("pos"))
 
 

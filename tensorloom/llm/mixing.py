@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, located, shared, written
+from .common import WORD, located, quoted, shared, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -212,7 +212,7 @@ def mixed_documents(
     rows look their copies up in: no text is moved while they stay below a bound.
     """
     rows = located(docs, "mix-input")
-    of_row = [f"row.`{c}`" for c in (id_col, text_col, source_col)]
+    of_row = [f"row.{quoted(c)}" for c in (id_col, text_col, source_col)]
     sized = written(_sized(rows, *of_row, seed, "file", "pos"), "mix-sizes")
     mixed, sources = _mixed(sized, weights, share, max_repeats, block, shard_words, seed)
     place = F.struct(*ORDER)

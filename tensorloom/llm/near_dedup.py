@@ -20,15 +20,15 @@ length. Shingles and texts are known by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, located, map_batches, shared, written
+from .common import keep_rows, located, looked_up, map_batches, quoted, shared, written
 from .simhash import LOWER, NUMBERS, SEED, components, least_of_each, near_pairs
 
 SHINGLE = 5
@@ -220,17 +220,40 @@ def links(texts: DataFrame) -> DataFrame:
     return edges.toDF("a", "b")
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def named_nodes(rows: DataFrame, text: Column, node: Callable[[Column], Column]) -> DataFrame:
+    """rows with `node`, a number for each distinct text.
+
+    A number that stands for several texts, which their digests tell, is replaced by a
+    hash of the digest, until none does. Such numbers are so few that they are looked up.
+    """
+    digest, turn = F.sha2(F.encode(text, "UTF-8"), 256), 0
+    rows = rows.withColumn("node", node(text))
+    while True:
+        kinds = rows.select("node", digest.alias("digest")).groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+        several = written(kinds.where("a < b").select("node", F.lit(True).alias("_several")), "near-collisions")
+        n = several.count()
+        if not n:
+            return rows
+        turn += 1
+        again = F.xxhash64(digest, F.lit(turn))
+        rows = looked_up(rows, several, n, ["node"], text).withColumn("node", F.when(F.col("_several"), again).otherwise(F.col("node"))).drop("_several")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """docs with one row of each component of texts linked by a similarity of at least 0.8: that with the smallest doc_id.
 
     Words are lower-cased (A-Z); empty and null texts are like each other. A null
     identifier is the largest. Rows that share the smallest identifier tie; the smallest
-    hash of their texts and then the locator decide. An empty table gives an empty result;
-    further columns pass through, whatever their names.
+    number of their texts and then the locator decide. An empty table gives an empty
+    result; further columns pass through, whatever their names. node maps a text to a
+    number; any map gives the right rows.
     """
     rows = located(docs, "near-input")
-    text = F.col(f"row.`{text_col}`").cast("string")
-    roots = _whole(components(links(rows.select(F.xxhash64(text).alias("node"), text.alias("text")))))
-    held = rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), "file", "pos")
-    rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    text = F.coalesce(F.col(f"row.{quoted(text_col)}").cast("string"), F.lit(""))
+    named = named_nodes(rows, text, node)
+    roots = _whole(components(links(named.select("node", text.alias("text")))))
+    held = named.select(F.col(f"row.{quoted(id_col)}").cast("long").alias("doc_id"), "node", "file", "pos")
+    roots = written(roots, "near-roots")
+    # a number that many rows share meets its root in many tasks
+    rooted = looked_up(held, roots, roots.count(), ["node"], F.struct("file", "pos")).withColumn("root", F.coalesce("root", "node"))
     return keep_rows(rows, least_of_each(rooted, "node"))

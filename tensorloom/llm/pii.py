@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: Characters that stand for others of the same width while runs of digits are sought.
 MARK, OTHER = "\x01", "\x02"
 #: Characters on each side of a span that count as its context.
@@ -157,13 +159,13 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
     a text times the number of its spans.
     """
     columns = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    found = find_pii(held, f"_row.{id_col}", f"_row.{text_col}", kinds, threshold, carry="_row")
-    text = f"_row.`{text_col}`"
+    held = docs.select(F.struct(*[F.col(quoted(c)) for c in columns]).alias("_row"))
+    found = find_pii(held, f"_row.{quoted(id_col)}", f"_row.{quoted(text_col)}", kinds, threshold, carry="_row")
+    text = f"_row.{quoted(text_col)}"
     ordered = "array_sort(transform(found, x -> struct(x.start AS start, x.end AS end, x.kind AS kind)))"
     step = (
         f"IF(x.start < a.at, struct(greatest(a.at, x.end) AS at, a.out AS out), struct(x.end AS at, "
         f"concat(a.out, substr({text}, a.at + 1, x.start - a.at), '[', x.kind, ']') AS out))"
     )
     clean = f"IF(size(found) = 0, {text}, aggregate({ordered}, struct(0 AS at, '' AS out), (a, x) -> {step}, a -> concat(a.out, substr({text}, a.at + 1))))"
-    return found.select(*[F.expr(clean).alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in columns])
+    return found.select(*[F.expr(clean).alias(c) if c == text_col else F.col(f"_row.{quoted(c)}") for c in columns])

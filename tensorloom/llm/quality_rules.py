@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, UPPER, WORD
+from .common import BLANKS, UPPER, WORD, quoted
 
 SYMBOLS = "#*$%&|<>"
 #: Low bits of a packed window that hold its place in the text; the rest holds a hash.
@@ -158,6 +158,6 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     A verdict belongs to the text alone, so it is computed in place, without a join.
     """
     columns = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    rated = rule_ledger(held, "_row." + id_col, "_row." + text_col, carry="_row")
+    held = docs.select(F.struct(*[F.col(quoted(c)) for c in columns]).alias("_row"))
+    rated = rule_ledger(held, f"_row.{quoted(id_col)}", f"_row.{quoted(text_col)}", carry="_row")
     return apply_policy(rated, policy).filter("kept").select("_row.*")

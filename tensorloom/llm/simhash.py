@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, keep_rows, located, map_batches, written
+from .common import UPPER, keep_rows, located, looked_up, map_batches, quoted, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -334,7 +334,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = written(rooted, "simhash-roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id", "root")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
+    # a fingerprint that many rows share (all empty texts have one) meets its component in many tasks
+    found = looked_up(fps, named, rooted.count(), ["fp"], F.struct("doc_id", "text_hash"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,9 +346,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     locator decide. An empty table gives an empty result.
     """
     rows = located(docs, "simhash-input")
-    text = F.col(f"row.`{text_col}`").cast("string")
-    held = rows.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), "file", "pos")
-    found = simhash_components(rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), text.alias("text"))).select("text_hash", "root").distinct()
+    text = F.col(f"row.{quoted(text_col)}").cast("string")
+    held = rows.select(F.col(f"row.{quoted(id_col)}").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), "file", "pos")
+    found = simhash_components(rows.select(F.col(f"row.{quoted(id_col)}").alias("doc_id"), text.alias("text"))).select("text_hash", "root").distinct()
     return keep_rows(rows, least_of_each(held.join(found, "text_hash"), "text_hash"))
 
 

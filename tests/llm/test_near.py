@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 from test_dedup import LOWER, docs
 
 from tensorloom.llm import near_dedup
@@ -81,3 +82,34 @@ def test_parts_of_one_candidate_component(spark, monkeypatch):
     met = [(k, m) for k in range(len(rows)) for m in range(k) if (near_dedup.band_keys(sets[k]) == near_dedup.band_keys(sets[m])).any()]
     assert len({m // 14 for k, m in met if k // 14 != m // 14})  # some parts meet that are not linked
     assert sorted(r["doc_id"] for r in near_dedup.drop_similar(docs(spark, rows)).collect()) == want
+
+
+def test_texts_that_share_a_number_are_told_apart(spark):
+    base = [f"w{k}" for k in range(100)]
+    rows = [(n, " ".join([f"x{n}_{k}" for k in range(2 * n)] + base[2 * n :]), "a") for n in range(4)] + [(10 + n, f"other text {n} " * 3, "a") for n in range(6)] + [(30, None, "a"), (31, "", "a")]
+    want = brute_kept([r[:2] for r in rows])
+    for node in (lambda t: F.length(t) * 0 + 7, lambda t: F.length(t).cast("long") % 3):
+        assert sorted(r["doc_id"] for r in near_dedup.drop_similar(docs(spark, rows), node=lambda t, f=node: f(t).cast("long")).collect()) == want
+
+
+def test_a_third_of_all_texts_empty(spark, monkeypatch):
+    """Hot texts meet what was found for them in parts, and no result changes."""
+    from tensorloom.llm import common, simhash
+
+    monkeypatch.setattr(common, "SHARED_BYTES", 0)
+    rows = [(n, "", "a") for n in range(40)] + [(100 + n, f"text number {n} with words of its own {n * 7}", "a") for n in range(20)]
+    assert sorted(r["doc_id"] for r in near_dedup.drop_similar(docs(spark, rows)).collect()) == brute_kept([r[:2] for r in rows])
+    found = simhash.simhash_components(docs(spark, rows)).where("doc_id < 40").select("component_id").distinct().collect()
+    assert [r[0] for r in found] == [0]
+
+
+def test_names_with_backticks(spark):
+    odd = docs(spark, [(1, "a " * 60, "s"), (2, "b c d e f " * 3, "s")]).withColumnsRenamed({"source": "s`o``u.r`ce"})
+    df = odd.withColumn("x.`y", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, df, "").columns == df.columns, name
+    from tensorloom.llm import pii, quality_rules
+
+    named = df.withColumnsRenamed({"doc_id": "d`id", "text": "t`x"})
+    assert pii.redacted(named, "d`id", "t`x").columns == named.columns and quality_rules.keep_good(named, "d`id", "t`x").columns == named.columns
+    assert near_dedup.drop_similar(named, "d`id", "t`x").count() == 2
