@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.tracer import rot90
 from ..schema import known, require
 from .linalg import first_position, scale_columns
-from .stats import box_stats, colour_limits, rank_tests, regression_lines, regressions, violins
+from .stats import box_stats, colour_limits, pair_regressions, rank_tests, regression_lines, regressions, violins
 
 GOLDEN = 1.618
 
@@ -161,7 +161,7 @@ class ComponentReport(SubjectReport):
 
     @cached_property
     def regressions(self) -> DataFrame:
-        return regressions(self.points, ["component_x", "component_y", self.group], "x", "y")
+        return pair_regressions(self.table, [f"comp_{r}" for r in range(self.rank)], self.group)
 
     @cached_property
     def lines(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,9 +180,80 @@ def regressions(df: DataFrame, category: list[str], x: str, y: str) -> DataFrame
     held = df.select(*category, known(F.col(x)).alias("_x"), known(F.col(y)).alias("_y")).dropna(subset=["_x", "_y"])
     r = F.try_divide(F.covar_pop("_y", "_x"), F.sqrt(F.var_pop("_x") * F.var_pop("_y")))
     out = held.groupBy(*category).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), r.alias("r"))
-    out = out.withColumn("p", regression_p("r", "n"))
-    out = out.withColumns({"r2": F.col("r") * F.col("r"), "significant": F.col("p") < 0.05})
-    return out.select(*category, "n", "slope", "intercept", "r", "r2", "p", "significant", fit_text(F.col("r2"), F.col("p")).alias("text"))
+    return _tested(out)
+
+
+#: Parts in which the matrices of a group are added up first.
+PARTS = 16
+#: Deviations of a column that rounding alone makes, in units of its mean.
+CONSTANT = 1e-14
+
+
+def pair_regressions(df: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """component_x, component_y, by, n, slope, ...: regressions of every ordered pair of columns, as regressions() has them, in each group.
+
+    Rows are not expanded into pairs: a batch gives the matrices of counts, sums and
+    products of all pairs about the group's means, in which each pair leaves out its own
+    missing values; matrices are added up.
+    """
+    held = df.select(by, *[known(F.col(c)).alias(f"_{k}") for k, c in enumerate(columns)])
+    size, kind = len(columns), held.schema[by]
+    means = held.groupBy(by).agg(F.array(*[F.coalesce(F.avg(f"_{k}"), F.lit(0.0)) for k in range(size)]).alias("_means"))
+    means = settled(means, "group-means")
+    rows = held.withColumn("_by", F.struct(by)).join(means.select(F.struct(by).alias("_by"), "_means"), "_by").drop("_by")
+    state = T.StructType([kind, T.StructField("_part", T.IntegerType()), T.StructField("_sums", T.BinaryType())])
+
+    def packed(group: pa.Array, part: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([group, pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], [by, "_part", "_sums"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, sums, groups = TaskContext.get().partitionId() % PARTS, {}, {}
+        for b in batches:
+            code = b.column(by).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            x = np.column_stack([b.column(f"_{k}").to_numpy(zero_copy_only=False).astype(float) for k in range(size)])
+            for c in np.unique(code):
+                at = np.flatnonzero(code == c)
+                key, pivot = b.column(by)[int(at[0])].as_py(), np.array(b.column("_means")[int(at[0])].as_py())
+                seen = ~np.isnan(x[at])
+                d = np.where(seen, x[at] - pivot, 0.0)
+                ones = seen.astype(float)
+                groups.setdefault(key, b.column(by).take(pa.array([int(at[0])])))
+                sums[key] = sums.get(key, 0.0) + np.stack([ones.T @ ones, d.T @ ones, (d * d).T @ ones, d.T @ d])
+        for key, total in sums.items():
+            yield packed(groups[key], part, total)
+
+    def merged(t: pa.Table) -> np.ndarray:
+        return sum(np.frombuffer(m.as_py()) for m in t.column("_sums")).reshape(4, size, size)
+
+    def first(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([packed(t.column(by).combine_chunks()[:1], t.column("_part")[0].as_py(), merged(t))])
+
+    shape = T.StructType([T.StructField("component_x", T.IntegerType()), T.StructField("component_y", T.IntegerType()), kind, *[T.StructField(c, T.DoubleType()) for c in ("_n", "_sx", "_sy", "_xx", "_yy", "_xy")]])
+
+    def pairs(t: pa.Table) -> pa.Table:
+        n, sums, squares, products = merged(t)
+        x, y = np.nonzero(~np.eye(size, dtype=bool) & (n > 0))
+        group = t.column(by).combine_chunks().take(pa.array(np.zeros(len(x), np.int64)))
+        return pa.table({"component_x": x.astype(np.int32), "component_y": y.astype(np.int32), by: group, "_n": n[x, y], "_sx": sums[x, y], "_sy": sums[y, x], "_xx": squares[x, y], "_yy": squares[y, x], "_xy": products[x, y]})
+
+    matrices = rows.mapInArrow(partial, state).groupBy(by, "_part").applyInArrow(first, state)
+    found = matrices.groupBy(by).applyInArrow(pairs, shape).withColumn("_by", F.struct(by)).join(means.select(F.struct(by).alias("_by"), "_means"), "_by")
+    mean = lambda side: F.get("_means", F.col(f"component_{side}"))
+    spread = lambda side: F.col(f"_{side}{side}") - F.col(f"_s{side}") * F.col(f"_s{side}") / F.col("_n")
+    known_spread = lambda side: F.when(spread(side) > F.col("_n") * F.pow(F.lit(CONSTANT) * mean(side), F.lit(2.0)), spread(side))
+    found = found.withColumns({"_vx": known_spread("x"), "_vy": known_spread("y"), "_c": F.col("_xy") - F.col("_sx") * F.col("_sy") / F.col("_n")})
+    slope = F.col("_c") / F.col("_vx")
+    intercept = mean("y") + F.col("_sy") / F.col("_n") - slope * (mean("x") + F.col("_sx") / F.col("_n"))
+    out = found.select("component_x", "component_y", by, F.col("_n").cast("long").alias("n"), slope.alias("slope"), intercept.alias("intercept"), (F.col("_c") / F.sqrt(F.col("_vx") * F.col("_vy"))).alias("r"))
+    return _tested(out)
+
+
+def _tested(fits: DataFrame) -> DataFrame:
+    """fits (..., n, slope, intercept, r) with r2, p, significant, text."""
+    out = fits.withColumn("p", regression_p("r", "n")).withColumns({"r2": F.col("r") * F.col("r"), "significant": F.col("p") < 0.05})
+    return out.select(*fits.columns, "r2", "p", "significant", fit_text(F.col("r2"), F.col("p")).alias("text"))
 
 
 def regression_lines(fits: DataFrame, df: DataFrame, x: str, points: int = 50, by: tuple[str, ...] = ()) -> DataFrame:

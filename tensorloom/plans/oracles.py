@@ -270,6 +270,11 @@ SQL = {
         w AS (SELECT repeat * 5 + out AS id, repeat, sample_idx FROM k WHERE out <> fold)
         SELECT a.id AS fold_i, b.id AS fold_j, count(*) AS n_common FROM w a JOIN w b ON a.repeat = b.repeat AND a.sample_idx = b.sample_idx AND a.id < b.id GROUP BY ALL""",
     "subject_merge": f"WITH {MODE} SELECT subjects, n_name, r_name, round(comp_0, 6) + 0.0 AS comp_0, round(comp_1, 6) + 0.0 AS comp_1, round(comp_2, 6) + 0.0 AS comp_2 FROM m",
+    "fms_models": """WITH v AS (SELECT label, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label < 3),
+        m AS (SELECT label, dim, avg(x) AS a, max(x) AS b FROM v GROUP BY ALL),
+        c AS (SELECT p.label AS r, q.label AS s, abs(sum(p.a * q.b) / sqrt(sum(p.a * p.a) * sum(q.b * q.b))) AS c FROM m p JOIN m q USING (dim) GROUP BY ALL),
+        w AS (SELECT x.c + y.c + z.c AS total FROM c x, c y, c z WHERE x.r = 0 AND y.r = 1 AND z.r = 2 AND x.s <> y.s AND y.s <> z.s AND x.s <> z.s)
+        SELECT 1::BIGINT AS pair, round(max(total) / 3, 6) AS score FROM w""",
     "subject_violins": f"WITH {LONG}, {_violins('SELECT component, r_name, value AS x FROM lc', 'component, r_name', 'component', (6, 6, 6))}",
     "customer_violins": f"WITH {_violins('SELECT c_mktsegment, c_acctbal AS x FROM customer', 'c_mktsegment', '', (4, 9, 6))}",
     "region_reduce_skew": f"WITH {V} {_region('CASE WHEN max(value) - min(value) > 1e-9 THEN (avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / stddev_pop(value) ** 3 END')}",

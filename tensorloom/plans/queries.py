@@ -277,6 +277,12 @@ def _permuted(a: DataFrame) -> DataFrame:
     return a.withColumn("row", F.reverse(F.transform("row", lambda v, k: v * (k + 2.0))))
 
 
+def fms_models(spark: SparkSession, d: str) -> DataFrame:
+    """Means against maxima of the embeddings of three labels: two models whose components have to be matched."""
+    three = [label_model(spark, d, stat).withColumn("row", F.slice("row", 1, 3)) for stat in ("avg", "max")]
+    return typed(rep.factor_match(*three, ["pair"], 3), pair="bigint", score="double").withColumn("score", rounded("score"))
+
+
 def samples(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("sample_idx"), F.col("c_mktsegment").alias("stratum"))
 
@@ -597,7 +603,7 @@ def mode_grid(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         mask_and_label_filter, grid_alignment, group_filter, pivot_first, valid_subjects, label_completeness, tensor_coo, axis_index, row_gather, union_jobs, common_subjects,
-        mode_scale, gram, mttkrp, mu_step, cp_norm_error, cp_rank1, cp_best_of_n, cp_table_fit, congruence, degeneracy, half_half_split, half_half_sizes, cv_folds, cv_fold_sizes, cv_pairs,
+        mode_scale, gram, mttkrp, mu_step, cp_norm_error, cp_rank1, cp_best_of_n, cp_table_fit, congruence, degeneracy, fms_models, half_half_split, half_half_sizes, cv_folds, cv_fold_sizes, cv_pairs,
         fms_half, fms_cv, subject_merge, subject_boxes, subject_violins, customer_violins, subject_tests, subject_fits, subject_lines, subject_limits, subject_strips, component_limits, component_lines, box_stats, colour_limits, avg_rank, mann_whitney_u, mann_whitney_p, shown_pairs, linregress, regression_test, global_regression, regression_line, component_pairs,
         voxel_scatter, slice_rot90, spatial_limits, time_curve, star_labels, volume_scan, image_regions, plane_pixels, masked_overlay, mode_grid,
     ]

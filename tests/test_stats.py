@@ -194,3 +194,23 @@ def test_rank_tests_over_many_ranges(spark):
             want = sum((x > y) + 0.5 * (x == y) for x in values[a] for y in values[b])
             assert (r["u"], r["n_a"], r["n_b"]) == (want, len(values[a]), len(values[b]))
     assert rank_tests(df.limit(0), "g", "v", ["id"]).count() == 0
+
+
+def test_pairs_from_moments(spark):
+    """Matrices give what regressions of expanded pairs give, with values missing here and there, constants and lone rows."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(300):
+        x = rng.normal(1e3, 1, 4)
+        x[1] = 2 * x[0] + rng.normal(0, 0.1)
+        x[3] = 7.1 if k % 3 else x[3]
+        rows.append((None if k % 5 == 0 else f"g{k % 3}", *[None if rng.random() < 0.1 else float("nan") if rng.random() < 0.05 else float(v) for v in x]))
+    rows += [("one", 1.0, 2.0, None, 3.0), ("none", None, None, None, None)]
+    df = spark.createDataFrame(rows, "g string, comp_0 double, comp_1 double, comp_2 double, comp_3 double").repartition(5)
+    keys = ["component_x", "component_y", "g"]
+    got = {tuple(r[k] for k in keys): r for r in stats.pair_regressions(df, [f"comp_{k}" for k in range(4)], "g").collect()}
+    want = {tuple(r[k] for k in keys): r for r in stats.regressions(report.component_points(df, 4, "g"), keys, "x", "y").collect()}
+    assert set(got) == set(want)
+    for key, w in want.items():
+        for c in ("n", "slope", "intercept", "r", "r2", "p"):
+            assert got[key][c] == (None if w[c] is None else pytest.approx(w[c], rel=1e-6, abs=1e-9)), (key, c)
