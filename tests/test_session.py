@@ -24,3 +24,16 @@ def test_missing_values(spark):
     assert [r[0] for r in rows] == [None, None, 1.0]
     with pytest.raises(ValueError):
         require(spark.range(1), "no")
+
+
+def test_folders_move_as_a_whole(spark, tmp_path):
+    from tensorloom.session import exists, forget, moved
+
+    spark.range(3).write.parquet(f"{tmp_path}/a")
+    assert exists(spark, f"{tmp_path}/a") and not exists(spark, f"{tmp_path}/x/b")
+    moved(spark, f"{tmp_path}/a", f"{tmp_path}/x/b")
+    assert not exists(spark, f"{tmp_path}/a") and spark.read.parquet(f"{tmp_path}/x/b").count() == 3
+    with pytest.raises(Exception):
+        moved(spark, f"{tmp_path}/a", f"{tmp_path}/x/c")
+    forget(spark, f"{tmp_path}/x")
+    assert not exists(spark, f"{tmp_path}/x/b")
