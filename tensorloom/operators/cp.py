@@ -26,6 +26,7 @@ from ..schema import ConvergenceError
 from ..session import forget, settled, settled_at
 from . import kernel
 from .blocks import BlockedTensor, added, examined, packed, ranges, slice_table, unpacked
+from .draws import uniform
 
 #: Bytes of a dense tensor up to which every task gets it whole.
 TASK_BYTES = 256 << 20
@@ -192,17 +193,23 @@ def _sums(m: np.ndarray, product: np.ndarray | None, rank: int) -> list[float]:
     return [*np.einsum("ijr,ijs->jrs", blocks, blocks).reshape(-1), *inner]
 
 
-def _starts(tensor: BlockedTensor, mode: int, keys: list[tuple[str, int]], rank: int, members: DataFrame | None) -> DataFrame:
-    """SLICE rows of the starts of all keys (task, seed); with members, rows of mode 0 start at their place in the task."""
+def _starts(tensor: BlockedTensor, mode: int, keys: list[tuple[str, int]], rank: int, members: DataFrame | None, sizes: dict[str, int]) -> DataFrame:
+    """SLICE rows of the starts of all keys (task, seed), equal to kernel.start of each task's tensor.
+
+    sizes: each task's rows of mode 0, whose numbers come first in a seed's stream. With
+    members, rows of mode 0 start at their place in the task.
+    """
     n, side = tensor.shape[mode], tensor.sides[mode]
     every = ranges(tensor.spark, n, side)
-    drawn = lambda idx, seed: kernel.drawn(idx.astype(np.int64)[:, None], np.arange(rank, dtype=np.int64)[None, :], mode, seed)
+    first = {t: (sizes[t] + sum(tensor.shape[1:mode]) if mode else 0) for t, _ in keys}
+
+    def drawn(task: str, seed: int, at: int, rows: int) -> np.ndarray:
+        return uniform(seed, (first[task] + at) * rank, rows * rank).reshape(rows, rank)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for b in t.column("b").to_pylist():
-                idx = np.arange(b * side, min(n, (b + 1) * side))
-                m = np.hstack([drawn(idx, seed) for _, seed in keys])
+                m = np.hstack([drawn(task, seed, b * side, min(side, n - b * side)) for task, seed in keys])
                 yield from slice_table(b, m, ("sums", _sums(m, None, rank))).to_batches()
 
     if members is None or mode:
@@ -216,7 +223,9 @@ def _starts(tensor: BlockedTensor, mode: int, keys: list[tuple[str, int]], rank:
         m = np.zeros((size, len(keys) * rank))
         own = {task: names == task for task in tasks}
         for k, (task, seed) in enumerate(keys):
-            m[rows[own[task]] - b * side, k * rank : (k + 1) * rank] = drawn(pos[own[task]], seed)
+            at = pos[own[task]]
+            if len(at):
+                m[rows[own[task]] - b * side, k * rank : (k + 1) * rank] = drawn(task, seed, int(at.min()), int(np.ptp(at)) + 1)[at - at.min()]
         return slice_table(b, m, ("sums", _sums(m, None, rank)))
 
     placed = members.select("task", "sample_idx", "pos", F.floor(F.col("sample_idx") / side).cast("int").alias("b"))
@@ -270,23 +279,23 @@ def fit_tables(tensor: BlockedTensor, keys: list[tuple[str, int]], rank: int, op
     norms = tensor.row_norms()
     if members is None:
         total = norms.agg(F.sum("norm2")).first()[0] or 0.0
-        norm2 = {t: total for t, _ in keys}
+        norm2, sizes = {t: total for t, _ in keys}, {t: tensor.shape[0] for t, _ in keys}
     else:
-        own = members.join(norms, members.sample_idx == norms.idx).groupBy("task").agg(F.sum("norm2"))
-        norm2 = {t: 0.0 for t, _ in keys} | {r[0]: r[1] for r in own.collect()}  # one number a task
+        own = members.join(norms, members.sample_idx == norms.idx, "left").groupBy("task").agg(F.sum("norm2"), F.count(F.lit(1))).collect()  # two numbers a task
+        norm2, sizes = ({t: 0 for t, _ in keys} | {r[0]: r[k] or 0 for r in own} for k in (1, 2))
     together = max(1, PASS_COLUMNS // rank)
     out: dict[tuple[str, int], TableFit] = {}
     for at in range(0, len(keys), together):
-        out |= _fit_together(tensor, keys[at : at + together], norm2, rank, options, members, init if at == 0 else None)
+        out |= _fit_together(tensor, keys[at : at + together], norm2, sizes, rank, options, members, init if at == 0 else None)
     return out
 
 
-def _fit_together(tensor: BlockedTensor, active: list[tuple[str, int]], norm2: dict[str, float], rank: int, options: CPOptions, members: DataFrame | None, init: list[DataFrame] | None) -> dict[tuple[str, int], TableFit]:
+def _fit_together(tensor: BlockedTensor, active: list[tuple[str, int]], norm2: dict[str, float], sizes: dict[str, int], rank: int, options: CPOptions, members: DataFrame | None, init: list[DataFrame] | None) -> dict[tuple[str, int], TableFit]:
     modes = range(len(tensor.shape))
     if init:
         begun = [_with_sums(packed(f, n, s, rank), rank) for f, n, s in zip(init, tensor.shape, tensor.sides)]
     else:
-        begun = [_starts(tensor, m, active, rank, members) for m in modes]
+        begun = [_starts(tensor, m, active, rank, members, sizes) for m in modes]
     held = [_written(f, rank, len(active)) for f in begun]
     paths, factors, grams = [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]
     widths, kept = [len(active)] * len(modes), [list(range(len(active)))] * len(modes)
@@ -335,12 +344,6 @@ def _with_sums(slices: DataFrame, rank: int) -> DataFrame:
     return slices.mapInArrow(run, SLICE)
 
 
-def start_table(spark: SparkSession, n: int, rank: int, seed: int, mode: int) -> DataFrame:
-    """The same start as kernel.start, as a table."""
-    row = F.array(*[kernel.drawn(F.col("id"), F.lit(r).cast("long"), mode, seed) for r in range(rank)])
-    return spark.range(n).select(F.col("id").cast("int").alias("idx"), row.alias("row"))
-
-
 def cp_tables(coo: DataFrame, rank: int, options: CPOptions, seeds: Iterable[int], init: list[DataFrame] | None = None) -> dict[int, TableFit]:
     """The fits of all seeds with the tensor as blocks and its factors as slices; init starts the first seed."""
     tensor = BlockedTensor.build(coo)

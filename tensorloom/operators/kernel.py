@@ -17,22 +17,10 @@ class Fit:
     errors: list[float] = field(default_factory=list)
 
 
-#: Modulus and steps of the hash that starts are drawn by; whole numbers of 63 bits hold all products.
-PRIME, STEPS, ROUNDS = (1 << 31) - 1, (1_000_003, 7919, 104_729, 15_485_863), 4
-
-
-def drawn(idx, r, mode: int, seed: int):
-    """A number in [0, 1) for a cell of a start, by arithmetic that arrays, Spark columns and SQL share."""
-    a, b, c, d = STEPS
-    u = (idx * a + r * b + (mode * c + seed * d + 11)) % PRIME
-    for k in range(ROUNDS):
-        u = (u * u + u * 48_271 + 12_345 * (k + 1)) % PRIME
-    return u / float(PRIME)
-
-
 def start(shape: tuple[int, ...], rank: int, seed: int) -> list[np.ndarray]:
-    """Random factors in [0, 1), a function of seed, mode, index and component alone."""
-    return [drawn(np.arange(n, dtype=np.int64)[:, None], np.arange(rank, dtype=np.int64)[None, :], m, seed) for m, n in enumerate(shape)]
+    """Random factors in [0, 1): RandomState(seed).random_sample of each mode in turn."""
+    rng = np.random.RandomState(seed)
+    return [rng.random_sample((n, rank)) for n in shape]
 
 
 def product(x: np.ndarray, factors: list[np.ndarray], mode: int) -> np.ndarray:

@@ -123,13 +123,23 @@ T0 = COO.replace("t AS (", "t AS MATERIALIZED (")
 
 
 def _starts(n: int, cells: str = "t", task: str = "0") -> list[str]:
-    """CTEs z0, z1, z2 (seed, idx, r, v): the factors of n starts of each task by the arithmetic that the engine draws them with."""
-    ctes = []
-    for mode in range(3):
-        first = f"(idx * 1000003 + r * 7919 + {mode * 104729 + 11} + start * 15485863) % 2147483647"
-        ctes.append(f"u{mode}_0 AS (SELECT task * {n} + start AS seed, idx, r, {first} AS u FROM (SELECT DISTINCT {task}::BIGINT AS task, m{mode}::BIGINT AS idx FROM {cells}), {R2}, (SELECT unnest(range(0, {n})) AS start))")
-        ctes += [f"u{mode}_{k + 1} AS (SELECT seed, idx, r, (u * u + u * 48271 + {12345 * (k + 1)}) % 2147483647 AS u FROM u{mode}_{k})" for k in range(4)]
-        ctes.append(f"z{mode} AS MATERIALIZED (SELECT seed, idx, r, u / 2147483647::DOUBLE AS v FROM u{mode}_4)")
+    """CTEs z0, z1, z2 (seed, idx, r, v): n starts of each task, drawn by MT19937 mode after mode; 2 x 227 words, so up to 227 numbers a start."""
+    ctes = [
+        f"w0 AS (SELECT start, 0::BIGINT AS i, start AS x FROM (SELECT unnest(range(0, {n})) AS start) UNION ALL SELECT start, i + 1, (1812433253::BIGINT * xor(x, x >> 30) + i + 1) & 4294967295 FROM w0 WHERE i < 623)",
+    ]
+    twist = "xor(c.x, xor(y >> 1, (y & 1) * 2567483615))"
+    for k in range(2):
+        near = f"(SELECT a.start, a.i, (a.x & 2147483648) | (b.x & 2147483647) AS y FROM w{k} a JOIN w{k} b ON b.start = a.start AND b.i = a.i + 1 WHERE a.i >= {227 * k} AND a.i < {227 * (k + 1)})"
+        ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT * FROM w{k} UNION ALL SELECT start, n.i + 624, {twist} FROM {near} n JOIN w{k} c USING (start) WHERE c.i = n.i + 397)")
+    steps = ["xor(x, x >> 11)", "xor(x, (x << 7) & 2636928640)", "xor(x, (x << 15) & 4022730752)", "xor(x, x >> 18)"]
+    source = "(SELECT start, i - 624 AS i, x FROM w2 WHERE i >= 624)"
+    for step in steps:
+        source = f"(SELECT start, i, {step} AS x FROM {source})"
+    ctes.append(f"uu AS MATERIALIZED (SELECT start, i // 2 AS k, (sum((x >> 5) * 67108864) FILTER (i % 2 = 0) + sum(x >> 6) FILTER (i % 2 = 1))::DOUBLE / 9007199254740992 AS v FROM {source} GROUP BY ALL)")
+    ctes.append(f"nn AS (SELECT {task}::BIGINT AS task, count(DISTINCT m0) AS n0, (SELECT count(DISTINCT m1) FROM {cells}) AS n1 FROM {cells} GROUP BY ALL)")
+    for mode, before in enumerate(("0", "n0", "n0 + n1")):
+        ctes.append(f"""z{mode} AS MATERIALIZED (SELECT task * {n} + start AS seed, idx, r, v FROM (SELECT DISTINCT {task}::BIGINT AS task, m{mode}::BIGINT AS idx FROM {cells})
+            JOIN nn USING (task), {R2}, uu WHERE k = ({before} + idx) * 2 + r)""")
     return ctes
 
 
