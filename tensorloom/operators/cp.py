@@ -19,7 +19,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ConvergenceError
@@ -34,6 +34,9 @@ TASK_BYTES = 256 << 20
 #: Columns (tasks times starts times rank) that one pass over a tensor held as blocks updates, about.
 PASS_COLUMNS = 512
 
+#: Numbers of a factor (starts times R x R + 1) up to which they are added up while it is written; more take a job of their own.
+OBSERVED = 64
+
 RESULT = "task string, seed int, status string, n_iter int, error double, mode int, idx int, row array<double>"
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
 KINDS = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
@@ -262,11 +265,16 @@ def _narrowed(factor: DataFrame, rank: int, old: int, kept: list[int]) -> DataFr
 
 def _written(slices: DataFrame, rank: int, starts: int) -> tuple[str, DataFrame, np.ndarray, np.ndarray]:
     """Path and table of a factor, its starts' Grams, and inner products with what it was updated by."""
-    path, factor = settled_at(slices, "factor")
     size = starts * rank * rank
     sums = np.zeros(size + starts)
-    for k, v in factor.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col")).collect():  # starts x (R x R + 1) numbers
-        sums[k] = v
+    if len(sums) <= OBSERVED:
+        seen = Observation()
+        path, factor = settled_at(slices.observe(seen, *[F.sum(F.col("sums")[k]).alias(str(k)) for k in range(len(sums))]), "factor")
+        sums[:] = [seen.get[str(k)] or 0.0 for k in range(len(sums))]
+    else:
+        path, factor = settled_at(slices, "factor")
+        for k, v in factor.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col")).collect():  # starts x (R x R + 1) numbers
+            sums[k] = v
     return path, factor, sums[:size].reshape(starts, rank, rank), sums[size:]
 
 

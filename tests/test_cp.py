@@ -70,7 +70,10 @@ def test_cp_in_spark(spark):
         cp.cp(coo.withColumn("x", F.lit(None).cast("double")), 2)
 
 
-def test_table_form_equals_kernel(spark):
+@pytest.mark.parametrize("observed", [0, cp.OBSERVED])
+def test_table_form_equals_kernel(spark, monkeypatch, observed):
+    """Sums of slices added up in a job of their own, and while slices are written."""
+    monkeypatch.setattr(cp, "OBSERVED", observed)
     x, _ = planted((5, 3, 4))
     coo = tensorize.from_numpy(spark, x)
     init = [spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(f)], "idx int, row array<double>") for f in kernel.start(x.shape, 2, 3)]
