@@ -28,21 +28,28 @@ def mixed(idx: Column, round_: Column, seed: int = 0) -> Column:
 
 #: Values of the hash, and sample indices, that are numbered together.
 HASH_RANGE, INDEX_RANGE = 64, 4096
+#: Rows that a task numbers, about.
+TASK_ROWS = 1 << 18
 
 
-def numbered(rows: DataFrame, by: list[str], name: str, order: str, width: int, *ties: str) -> DataFrame:
-    """rows with their place, from 0, in the order of a whole number and then of ties, which tell the rows of `by` apart.
+def numbered(rows: DataFrame, n: int, by: list[str], name: str, order: str, width: int, *ties: str, beside: DataFrame | None = None) -> DataFrame:
+    """n rows with their place, from 0, in the order of a whole number and then of ties, which tell the rows of `by` apart.
 
     Ranges of `width` values are counted and the counts added up; then rows are numbered
     in their range. So nothing is sorted but the rows of a range, and a group of any size
-    is the work of many tasks.
+    is the work of many tasks: one for TASK_ROWS rows, whatever the session's number of
+    partitions. Rows are sorted once, as the join by range keeps the order of their numbers.
+    The join has to merge: by the size of a compressed file Spark would send all rows to every task.
+    beside: further columns by columns of `by`, joined to the ranges and not to the rows.
     """
     held = rows.withColumn("_range", F.floor(F.col(order) / width))
     counts = held.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*by, "_range", before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order, *ties)) - 1 + F.col("_before")
-    return held.join(starts, [*by, "_range"]).withColumn(name, place.cast("int")).drop("_range", "_before")
+    if beside is not None:
+        starts = starts.join(beside, [c for c in by if c in beside.columns])
+    placed = held.repartition(max(1, -(-n // TASK_ROWS)), *by, "_range").withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order, *ties)) - 1)
+    return placed.join(starts.hint("merge"), [*by, "_range"]).withColumn(name, (F.col("_place") + F.col("_before")).cast("int")).drop("_range", "_before", "_place")
 
 
 def strata_counts(samples: DataFrame) -> DataFrame:
@@ -75,10 +82,12 @@ def check_strata(samples: DataFrame) -> None:
 
 def half_half(samples: DataFrame, repeats: int, seed: int = 0) -> DataFrame:
     """task_a (split), task_b (0 train, 1 test), pos, sample_idx of stratified half splits."""
+    n = samples.count() * repeats
     rows = samples.select("sample_idx", "stratum", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("task_a"))
-    rows = numbered(rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("task_a"), seed)), ["task_a", "stratum"], "_k", "_h", HASH_RANGE, "sample_idx")
-    rows = rows.join(train_counts(samples), "stratum").select("task_a", (F.col("_k") >= F.col("n_train")).cast("int").alias("task_b"), "sample_idx")
-    return numbered(rows, ["task_a", "task_b"], "pos", "sample_idx", INDEX_RANGE).select("task_a", "task_b", "pos", "sample_idx")
+    rows = rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("task_a"), seed))
+    rows = numbered(rows, n, ["task_a", "stratum"], "_k", "_h", HASH_RANGE, "sample_idx", beside=train_counts(samples).select("stratum", "n_train"))
+    rows = rows.select("task_a", (F.col("_k") >= F.col("n_train")).cast("int").alias("task_b"), "sample_idx")
+    return numbered(rows, n, ["task_a", "task_b"], "pos", "sample_idx", INDEX_RANGE).select("task_a", "task_b", "pos", "sample_idx")
 
 
 def cv_folds(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> DataFrame:
@@ -89,11 +98,11 @@ def cv_folds(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> Da
     """
     c = strata_counts(samples)
     before = F.coalesce(F.sum("n_c").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.select("stratum", before.alias("_before"))
+    c = c.select("stratum", before.alias("_first"))
     rows = samples.select("sample_idx", "stratum", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     rows = rows.withColumn("_h", mixed(F.col("sample_idx"), F.col("repeat"), seed))
-    rows = numbered(rows, ["repeat", "stratum"], "_k", "_h", HASH_RANGE, "sample_idx").join(c, "stratum")
-    return rows.select("repeat", ((F.col("_before") + F.col("_k")) % splits).cast("int").alias("fold"), "sample_idx")
+    rows = numbered(rows, samples.count() * repeats, ["repeat", "stratum"], "_k", "_h", HASH_RANGE, "sample_idx", beside=c)
+    return rows.select("repeat", ((F.col("_first") + F.col("_k")) % splits).cast("int").alias("fold"), "sample_idx")
 
 
 def cv_tasks(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> DataFrame:
@@ -102,7 +111,7 @@ def cv_tasks(samples: DataFrame, splits: int, repeats: int, seed: int = 0) -> Da
     other = F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_out")
     rows = folds.select("repeat", "fold", "sample_idx", other).where("_out != fold")
     rows = rows.select((F.col("repeat") * splits + F.col("_out")).alias("task_a"), F.col("repeat").alias("task_b"), "sample_idx")
-    return numbered(rows, ["task_a"], "pos", "sample_idx", INDEX_RANGE).select("task_a", "task_b", "pos", "sample_idx")
+    return numbered(rows, samples.count() * repeats * (splits - 1), ["task_a"], "pos", "sample_idx", INDEX_RANGE).select("task_a", "task_b", "pos", "sample_idx")
 
 
 def cv_pairs(splits: int, repeats: int, spark) -> DataFrame:
@@ -112,6 +121,16 @@ def cv_pairs(splits: int, repeats: int, spark) -> DataFrame:
     return folds.join(other, "repeat").where("fold_i < fold_j")
 
 
+def common_train(folds: DataFrame, splits: int, repeats: int) -> DataFrame:
+    """fold_i, fold_j and the samples that the train sets of both hold: those that neither fold tests.
+
+    folds is the table of cv_folds; the few pairs go to its rows, so no sample is shuffled or sorted.
+    """
+    pairs = F.broadcast(cv_pairs(splits, repeats, folds.sparkSession))
+    held = [F.col(side) % splits != F.col("fold") for side in ("fold_i", "fold_j")]
+    return folds.join(pairs, "repeat").where(held[0] & held[1]).select("fold_i", "fold_j", "sample_idx")
+
+
 def common_members(members: DataFrame, pairs: DataFrame, group: str, member: str) -> DataFrame:
     """fold_i, fold_j and the members that both groups of each pair hold."""
     sides = [members.select(F.col(group).alias(side), member) for side in ("fold_i", "fold_j")]

@@ -309,8 +309,7 @@ def cv_fold_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def cv_pairs(spark: SparkSession, d: str) -> DataFrame:
     """For each pair of folds of one repeat, the samples that both train sets hold."""
-    tasks = rep.cv_tasks(samples(spark, d), 5, 2)
-    both = rep.common_members(tasks, rep.cv_pairs(5, 2, spark).drop("repeat"), "task_a", "sample_idx")
+    both = rep.common_train(rep.cv_folds(samples(spark, d), 5, 2), 5, 2)
     rows = both.groupBy("fold_i", "fold_j").agg(F.count(F.lit(1)).alias("n_common"))
     return typed(rows, fold_i="bigint", fold_j="bigint", n_common="bigint")
 
