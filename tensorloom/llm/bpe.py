@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,11 +27,13 @@ from .common import map_batches
 #: Pieces of byte-level tokenizers with use_regex (fixed value of the tokenizer files).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose encoding a worker keeps; further ones are encoded each time.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 1 << 17
 #: Longest piece that is kept.
 KEPT_LENGTH = 40
-#: Pairs of tokens whose compatibility a worker keeps.
-KEPT_PAIRS = 200_000
+#: Places, a power of two, where a worker keeps the compatibility of pairs of tokens, 8 bytes each; a later pair takes an earlier one's place.
+KEPT_PAIRS = 1 << 19
+#: Tokens after which a worker hands on the rows it has encoded.
+BATCH_TOKENS = 1 << 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -83,10 +86,12 @@ class Codec:
             if t not in self.special:
                 self.ends.add_word(raw[t].decode("latin-1"), (len(raw[t]), i))
         self.ends.make_automaton()
-        self.known: dict[tuple[int, int], bool] = {}
+        #: left token << 32 | right token << 1 | whether they are compatible, each at a place that follows from both
+        self.known = array("q", [-1]) * KEPT_PAIRS
         self.alone = self._alone()
         self.whole = {b: i for i, b in self.bytes.items() if i in self.alone and i not in self.special.values()}
-        self.kept: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.kept: dict[str, tuple[int, ...]] = {}
+        self.decimals = {i: str(i) for i in self.bytes}
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether rank-order merging of left's and right's bytes gives these two tokens.
@@ -121,12 +126,14 @@ class Codec:
             if before < 0:
                 fits = token in alone
             elif size[before]:
-                pair = last[before], token
-                fits = known.get(pair)
-                if fits is None:
-                    fits = self._compatible(*pair)
-                    if len(known) < KEPT_PAIRS:
-                        known[pair] = fits
+                left = last[before]
+                place, pair = left * 40_503 + token & KEPT_PAIRS - 1, left << 32 | token << 1
+                held = known[place]
+                if held & -2 == pair:
+                    fits = held & 1
+                else:
+                    fits = self._compatible(left, token)
+                    known[place] = pair | fits
             else:
                 fits = False
             if fits:
@@ -147,29 +154,22 @@ class Codec:
             self.rank[a, b] = r
         return out
 
-    def _parts(self, text: str) -> Iterator[tuple[tuple[int, ...], str]]:
+    def encode(self, text: str | None) -> tuple[list[int], str]:
+        """The ids of a text (null is empty), and the same as decimals joined by commas."""
         kept, pieces = self.kept, self.pieces
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+        ids: list[int] = []
+        for k, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
             if k % 2:
-                yield (self.special[part],), str(self.special[part])
+                ids.append(self.special[part])
                 continue
             for piece in pieces.findall(part):
                 found = kept.get(piece)
                 if found is None:
-                    ids = tuple(self.encode_piece(piece.encode()))
-                    found = ids, ",".join(map(str, ids))
+                    found = tuple(self.encode_piece(piece.encode()))
                     if len(kept) < KEPT_PIECES and len(piece) <= KEPT_LENGTH:
                         kept[piece] = found
-                yield found
-
-    def encode(self, text: str | None) -> tuple[list[int], str]:
-        """The ids of a text (null is empty), and the same as decimals joined by commas."""
-        ids: list[int] = []
-        listed: list[str] = []
-        for part, decimals in self._parts(text or ""):
-            ids += part
-            listed.append(decimals)
-        return ids, ",".join(listed)
+                ids += found
+        return ids, ",".join(map(self.decimals.__getitem__, ids))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -190,19 +190,24 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][: len(names) - 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
-            rows = []
-            for t in b.column("text"):
+            # rows go on as soon as they hold enough tokens, so a worker never has the ids of a whole batch
+            first, held, rows = 0, 0, []
+            for k, t in enumerate(b.column("text"), 1):
                 ids, listed = c.encode(t.as_py())
                 text = c.decode(ids)
                 rows.append((len(ids), sha(listed), sha(text), *((ids, text) if with_ids else ())))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            columns = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds[: len(names) - 1]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names)
+                held += len(ids)
+                if held >= BATCH_TOKENS or k == b.num_rows:
+                    columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(rows)), *columns], names)
+                    first, held, rows = k, 0, []
+            pa.default_memory_pool().release_unused()  # a worker stays after its stage
 
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(held, run, schema)

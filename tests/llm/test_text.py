@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from conftest import same_as_sql
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -262,6 +265,35 @@ def test_bpe_edges(spark, tokenizer):
     assert bpe.encode_decode(docs(spark, []), tokenizer[0]).count() == 0
 
 
+#: What a worker does with batches, and the MB by which its memory is larger after any of them.
+WORKER = """
+import pickle, random, re, sys
+import pyarrow as pa
+import tensorloom.llm.bpe
+own = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+run = pickle.load(open(sys.argv[1], "rb"))
+rng = random.Random(4)
+texts = [" ".join("".join(rng.choices("abcdefghiklmnoprstuvw", k=7)) for _ in range(1000)) for _ in range(300)]
+batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+before, most, ids = own(), 0, []
+for out in run(iter([batch])):
+    most = max(most, own() - before)
+    ids += out.column(0).to_pylist()
+assert ids == list(range(300))
+print(most)
+"""
+
+
+def test_bpe_worker_stays_small(spark, tmp_path, monkeypatch, tokenizer):
+    """Workers outlive their stage, so an executor has them beside the heap of later ones."""
+    held = []
+    monkeypatch.setattr(bpe, "map_batches", lambda rows, run, schema: held.append(run) or rows)
+    bpe.encode_decode(docs(spark, []), tokenizer[0], with_ids=True)
+    (tmp_path / "run").write_bytes(cloudpickle.dumps(held[0]))
+    done = subprocess.run([sys.executable, "-c", WORKER, str(tmp_path / "run")], capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 115
+
+
 def brute_counts(text, ids, codec, rule):
     spans, raw, at = [], text.encode(), 0
     for i in ids:
