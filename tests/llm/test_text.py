@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from conftest import same_as_sql
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -251,6 +252,57 @@ def test_bpe_equals_the_library(tokenizer):
     assert codec.encode(None) == ([], "")
 
 
+def lines_run(module, f, *args):
+    """How many lines of a module run while f does."""
+    count = [0]
+
+    def step(frame, event, arg):
+        count[0] += event == "line"
+        return step
+
+    before = sys.gettrace()
+    sys.settrace(lambda frame, event, arg: step if frame.f_code.co_filename == module.__file__ else None)
+    try:
+        f(*args)
+    finally:
+        sys.settrace(before)
+    return count[0]
+
+
+def test_bpe_takes_few_steps(tokenizer):
+    """Counted in lines, so that the machine's speed doesn't matter: new words take few for each token, known ones none."""
+    rng = random.Random(8)
+    codec = bpe.Codec(tokenizer[0])
+    parts = "the of and ing tion ent er on re st en le que eau é ou ment ciónes".split()
+    words = ["".join(rng.choices(parts, k=rng.randint(2, 5))) for _ in range(5000)]
+    codec.encode(" ".join(words[:3000]))
+    known, new = " ".join(words[:1000]), " ".join(words[3000:])
+    n_tokens = len(codec.encode(new)[0])
+    codec.kept.clear(), codec.encode(known)
+    assert lines_run(bpe, codec.encode, known) < 100
+    codec.kept.clear(), codec.prefixes.clear()
+    assert lines_run(bpe, codec.encode, new) < 25 * n_tokens
+
+
+def test_bpe_cuts_pieces_as_the_pattern_does():
+    """The quicker pattern, over every character that it is used for; later ones take the general one."""
+    general, plain = regex.compile(bpe.PIECES), bpe.plain_pieces()
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]):
+        text = f"a{c}b 1{c}2 {c}{c} !{c}? {c}\n {c} x'{c}s{c}'s"
+        assert plain.findall(text) == general.findall(text)
+
+
+def test_bpe_equals_the_library_on_new_words(tokenizer, monkeypatch):
+    """Words of any script, some of them long, while kept prefixes are dropped again and again."""
+    monkeypatch.setattr(bpe, "KEPT_PREFIXES", 50)
+    path, library = tokenizer
+    codec, rng = bpe.Codec(path), random.Random(9)
+    pool = [chr(rng.choice([rng.randrange(97, 123), rng.randrange(0xC0, 0x250), rng.randrange(0x3B0, 0x600), rng.randrange(0x4E00, 0x5000), rng.randrange(0x1F300, 0x1F600)])) for _ in range(400)]
+    texts = ["".join(rng.choices(pool[: rng.choice([5, 40, 400])], k=rng.randrange(1, 60))) for _ in range(3000)] + [" ".join("".join(rng.choices("abcdefghiklmnoprst", k=rng.randrange(1, 45))) for _ in range(5000))]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert codec.encode(text)[0] == want.ids
+
+
 def test_bpe_query(spark, data, tokenizer):
     _, library = tokenizer
     got = op6_bpe(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
